@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from platwork.functions.text import SPACE, WORD, _col, collapse
+from platwork.functions.text import WORD, _col, collapse
 
 # Postal abbreviations of street suffixes and directions.
 ABBREVIATIONS = {
@@ -46,21 +46,30 @@ STREET_TYPES = (
 )
 
 
+# A mark for a dropped character; it keeps the words beside it apart until they are abbreviated.
+CUT = "\x01"
+
+
 def normalize_address(c: Column | str) -> Column:
-    """Upper-case, abbreviate, drop units and everything after a comma, drop punctuation.
+    """Upper-case, drop units and everything after a comma, abbreviate, drop punctuation.
 
-    Words are abbreviated in one pass: the text is cut into alternating word / non-word pieces
-    and each piece is looked up, instead of one regular expression per abbreviation.
+    Whole words are abbreviated by plain replacement between spaces: punctuation is first set
+    apart as a mark and every space doubled, so that neighbouring words do not share one. This
+    keeps the whole function inside generated code.
     """
     text = collapse(F.upper(_col(c)))
-    lookup = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    pieces = F.regexp_extract_all(text, F.lit(f"([{WORD}]+|[^{WORD}]+)"), F.lit(1))
-    short = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(lookup, w), w)), "")
-    noise = [rf"(?<![{WORD}]){word}{SPACE}+[{WORD}]+" for word in UNIT_WORDS]
-    noise += [f"#[{WORD}]+", ",.*"]
-    bare = reduce(lambda acc, pattern: F.regexp_replace(acc, pattern, ""), noise, short)
-    plain = F.regexp_replace(bare, rf"[^{WORD}\s\p{{Z}}]", "")
-    return F.coalesce(collapse(plain), F.lit(""))
+    noise = [rf"(?<![{WORD}]){word} +[{WORD}]+" for word in UNIT_WORDS] + [f"#[{WORD}]+", ",.*"]
+    bare = reduce(lambda acc, pattern: F.regexp_replace(acc, pattern, ""), noise, text)
+    # Most addresses name no unit: one look decides whether the removals run at all.
+    noisy = text.rlike("#|,|" + "|".join(f"{word} " for word in UNIT_WORDS))
+    kept = F.when(noisy, bare).otherwise(text)
+    words = F.replace(F.regexp_replace(kept, f"[^{WORD} ]", f" {CUT} "), F.lit(" "), F.lit("  "))
+    padded = F.concat(F.lit(" "), words, F.lit(" "))
+    short = reduce(
+        lambda acc, pair: F.replace(acc, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), ABBREVIATIONS.items(), padded
+    )
+    joined = F.replace(short, F.lit(f"  {CUT}  "), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.trim(joined), " +", " "), F.lit(""))
 
 
 def parse_address(c: Column | str) -> Column:

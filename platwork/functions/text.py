@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-# Whitespace as the source data means it: the Unicode class, not only the ASCII space.
-SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+# Whitespace as the source data means it: every Unicode whitespace character.
+WHITESPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+SPACE = f"[{WHITESPACE}]"
 
 
 def _col(c: Column | str) -> Column:
@@ -16,7 +17,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def collapse(c: Column | str) -> Column:

@@ -1,8 +1,7 @@
-"""Substring joins by n-gram blocking: which texts contain which query fragments.
+"""Substring joins by n-gram blocking: which texts contain which queries.
 
-A ``contains`` condition alone is a nested loop. Here a query is represented by one of its own
-substrings (a gram) and looked up among the grams of the texts, then verified on the whole text.
-Of the grams a query offers, the one found in the fewest texts is used.
+A ``contains`` condition alone is a nested loop. Here a query is looked up by its opening gram
+among the grams of the texts, an equi-join, and the pair is then verified on the whole text.
 """
 
 from __future__ import annotations
@@ -12,65 +11,59 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platwork.operators.skew import salted_join
+# Gram lengths. A query uses the longest one that fits, so short queries are looked up whole and
+# others by at least two thirds of themselves, up to the longest gram.
+GRAM_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
-# Gram lengths. A fragment uses the longest one that fits, so short fragments are looked up whole
-# and every fragment by at least two thirds of itself, up to the longest gram.
-GRAM_SIZES = (1, 2, 3, 4, 6, 8, 12, 16)
+# A gram may occur in a large share of the texts. Its texts are spread over this many pieces and
+# each query is repeated once per piece: queries are one row each against dozens of grams per
+# text, so the repetition stays below the size of the other side. What is still uneven after that
+# is left to the adaptive skew join.
+PIECES = 32
 
 
-def gram_size(fragment: Column) -> Column:
-    chain = F.when(F.length(fragment) >= GRAM_SIZES[-1], GRAM_SIZES[-1])
+def gram_size(text: Column) -> Column:
+    """Longest gram length that fits ``text``; 0 for empty text."""
+    chain = F.when(F.length(text) >= GRAM_SIZES[-1], GRAM_SIZES[-1])
     for size in reversed(GRAM_SIZES[:-1]):
-        chain = chain.when(F.length(fragment) >= size, size)
+        chain = chain.when(F.length(text) >= size, size)
     return chain.otherwise(0)
 
 
-def _windows(text: Column, size: Column) -> Column:
-    """All substrings of ``size`` characters; none where the text is shorter."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(
-        (size > 0) & (F.length(text) >= size),
-        F.transform(starts, lambda i: F.substring(text, i, size)),
-    ).otherwise(F.array().cast("array<string>"))
+def opening_gram(text: Column) -> Column:
+    return F.substring(text, F.lit(1), gram_size(text))
 
 
-def gram_candidates(
+def text_grams(text: Column) -> Column:
+    """Distinct grams of every length, as an array; its size is linear in the text's length."""
+    length = F.length(text)
+    sizes = F.filter(F.array(*[F.lit(s) for s in GRAM_SIZES]), lambda s: s <= length)
+    per_size = F.transform(
+        sizes, lambda s: F.transform(F.sequence(F.lit(1), length - s + 1), lambda i: F.substring(text, i, s))
+    )
+    return F.array_distinct(F.flatten(per_size))
+
+
+def gram_join(
     queries: DataFrame,
     texts: DataFrame,
-    query_key: str,
-    fragments: Column,
+    anchor: Column,
     text: str,
-    text_columns: Sequence[str],
+    verify: Callable[[Column], Column],
     equal: Sequence[str] = (),
-    verify: Callable[[Column], Column] | None = None,
+    pieces: int = PIECES,
 ) -> DataFrame:
-    """Pairs of a query and a text that holds the query's rarest gram and passes ``verify``.
+    """Rows of ``queries`` with rows of ``texts`` for which ``verify(text)`` holds.
 
-    ``fragments`` is the array of literal pieces the text must contain; ``equal`` names columns
-    that must agree on both sides. One row per query (``queries`` columns) and text
-    (``text_columns``). Queries must have at least one non-empty fragment.
+    ``anchor`` is a non-empty piece of each query that ``verify`` implies to be part of the text;
+    ``equal`` names columns that must agree on both sides. Text rows come along as they are, so
+    callers pass only the columns they need. A pair comes out once.
     """
-    equal = list(equal)
-    offered = queries.select(*queries.columns, F.explode(F.array_distinct(fragments)).alias("_fragment"))
-    offered = offered.withColumn("_size", gram_size(F.col("_fragment")))
-    # At most len(GRAM_SIZES) values, read as a scalar: texts are cut only into sizes in use.
-    sizes = offered.agg(F.collect_set("_size")).scalar()
-    offered = offered.select(
-        *queries.columns,
-        F.explode(F.array_distinct(_windows(F.col("_fragment"), F.col("_size")))).alias("_gram"),
-    )
-    body = F.col(text)
-    postings = texts.select(
-        *equal,
-        *[c for c in dict.fromkeys([text, *text_columns]) if c not in equal],
-        F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda s: _windows(body, s))))).alias("_gram"),
+    keys = [*equal, "_gram", "_piece"]
+    asked = queries.withColumn("_gram", opening_gram(anchor)).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
     )
-    block = [*equal, "_gram"]
-    counts = postings.groupBy(*block).agg(F.count("*").alias("_texts"))
-    # A gram found in no text ends up without a count and sorts first: such a query has no match.
-    best = F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_best")
-    rarest = offered.join(counts, block, "left").groupBy(*queries.columns).agg(best)
-    picked = rarest.filter(F.col("_best.n") > 0).select(*queries.columns, F.col("_best.g").alias("_gram"))
-    pairs = salted_join(postings, picked, block, counts, "_texts", "inner")
-    return pairs.filter(verify(body) if verify else F.contains(body, F.col(query_key)))
+    columns = texts.columns
+    spread = texts.withColumn("_piece", F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int"))
+    postings = spread.select(*columns, "_piece", F.explode(text_grams(F.col(text))).alias("_gram"))
+    return postings.join(asked, keys).filter(verify(F.col(text))).drop("_gram", "_piece")

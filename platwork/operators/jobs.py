@@ -93,9 +93,10 @@ def _staging_tail(df: DataFrame, as_of) -> list[Column]:
     ]
 
 
-def staging_id(*columns: str) -> Column:
-    """A repeatable row id from identifying columns, in place of a central counter."""
-    return F.xxhash64(*columns)
+def _row_id(row_id: Column | None) -> Column:
+    # Unique within one written job without a central counter. It is fixed once written; give a
+    # key of the source instead where rows are numbered before they are written.
+    return F.monotonically_increasing_id() if row_id is None else row_id
 
 
 def permit_staging_rows(df: DataFrame, job_id: Column | int, as_of, row_id: Column | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def permit_staging_rows(df: DataFrame, job_id: Column | int, as_of, row_id: Colu
     job = job_id if isinstance(job_id, Column) else F.lit(job_id).cast("bigint")
     text = _text_or_null(df, "description")
     return df.select(
-        (row_id if row_id is not None else staging_id(*df.columns)).alias("PermitStagingID"),
+        _row_id(row_id).alias("PermitStagingID"),
         job.alias("ImportJobID"),
         _text_or_null(df, "permit_number").alias("PermitNumber"),
         _text_or_null(df, "permit_type").alias("PermitType"),
@@ -123,7 +124,7 @@ def property_staging_rows(df: DataFrame, job_id: Column | int, as_of, row_id: Co
     """Cleaned property accounts in the property staging layout."""
     job = job_id if isinstance(job_id, Column) else F.lit(job_id).cast("bigint")
     return df.select(
-        (row_id if row_id is not None else staging_id(*df.columns)).alias("PersonalPropertyStagingID"),
+        _row_id(row_id).alias("PersonalPropertyStagingID"),
         job.alias("ImportJobID"),
         _text_or_null(df, "account_number").alias("TaxpayerID"),
         _text_or_null(df, "business_name").alias("BusinessName"),

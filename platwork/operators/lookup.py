@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.functions import format_situs, normalize_parcel_number, upper_trim
-from platwork.operators.grams import gram_candidates, gram_size
+from platwork.operators.grams import gram_join
 from platwork.operators.match import first_per_key
 
 SEARCH_LIMIT = 10
@@ -20,39 +20,23 @@ def primary_owner(parcels: DataFrame, owners: DataFrame, key: str = "pid") -> Da
     return parcels.join(primary, key, "left")
 
 
-def _first_containing(queries: DataFrame, texts: DataFrame, text: str, payload: Sequence[str], order: str) -> DataFrame:
-    """Per distinct ``query``, the text row lowest by ``order`` whose ``text`` contains it.
+def _first_containing(queries: DataFrame, texts: DataFrame, text: str, key: str, order: str) -> DataFrame:
+    """Per distinct ``query``, the ``key`` of the text row lowest by ``order`` that contains it.
 
-    Three exact routes: an empty query takes the overall first row; a query as long as a gram is
-    an equality with that gram, so the lowest row per gram is found without any pairs; the rest
-    go through the verified gram join.
+    Only the order, key and text columns take part; the minimum is taken per task before its
+    shuffle, so a query found in very many texts sends one row per task. An empty query is
+    contained everywhere and takes the overall first row.
     """
-    row = F.struct(F.col(order).alias("_order"), *[F.col(c).alias(f"v_{c}") for c in payload])
-    cut = F.length("query") == gram_size(F.col("query"))
-    empty = queries.filter(F.col("query") == "")
-    whole = queries.filter((F.col("query") != "") & cut)
-    longer = queries.filter((F.col("query") != "") & ~cut)
-
-    overall = texts.filter(F.col(text).isNotNull()).agg(F.min(row)).scalar()
-    from_empty = empty.withColumn("hit", overall).filter(F.col("hit").isNotNull())
-
-    lengths = whole.agg(F.collect_set(F.length("query"))).scalar()
-    body = F.col(text)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: F.length(body) >= n),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(body) - n + 1), lambda i: F.substring(body, i, n)),
-        )
+    row = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    known = texts.filter(F.col(text).isNotNull())
+    narrow = known.select(*dict.fromkeys([order, key, text]))
+    pairs = gram_join(
+        queries.filter(F.col("query") != ""), narrow, F.col("query"), text, lambda t: F.contains(t, F.col("query"))
     )
-    per_gram = texts.select(row.alias("hit"), F.explode(F.array_distinct(pieces)).alias("query"))
-    from_whole = whole.join(per_gram.groupBy("query").agg(F.min("hit").alias("hit")), "query")
-
-    columns = list(dict.fromkeys([order, *payload]))
-    pairs = gram_candidates(longer, texts, "query", F.array("query"), text, columns)
-    from_longer = pairs.groupBy("query").agg(F.min(row).alias("hit"))
-
-    hits = from_empty.unionByName(from_whole).unionByName(from_longer)
-    return hits.select("query", *[F.col(f"hit.v_{c}").alias(c) for c in payload])
+    found = pairs.groupBy("query").agg(F.min(row).alias("hit"))
+    overall = queries.filter(F.col("query") == "").withColumn("hit", known.agg(F.min(row)).scalar())
+    hits = found.unionByName(overall.filter(F.col("hit").isNotNull()))
+    return hits.select("query", F.col("hit.k").alias(key))
 
 
 def _lookup(
@@ -61,13 +45,15 @@ def _lookup(
 ) -> DataFrame:
     queries = requests.filter(F.col(column).isNotNull()).select(prepare(column).alias("query")).distinct()
     texts = parcels.withColumn("_text", text)
-    wanted = list(dict.fromkeys([key, number, *payload]))
-    found = _first_containing(queries, texts, "_text", wanted, number)
+    hits = _first_containing(queries, texts, "_text", key, number)
+    rows = parcels.select(*dict.fromkeys([key, number, *payload]))
+    found = hits.join(rows, key).select("query", *rows.columns)
     if owners is None:
         return found
-    # The owner is joined to the few winning parcels only; the lowest name if several are primary.
-    one = owners.filter(F.col("IsPrimary").cast("int") == 1).groupBy(key).agg(F.min("OwnerName").alias("OwnerName"))
-    return primary_owner(found, one.withColumn("IsPrimary", F.lit(1)), key)
+    # Only the winning parcels meet the owners; the lowest name if several are primary.
+    primary = owners.filter(F.col("IsPrimary").cast("int") == 1)
+    one = primary.groupBy(key).agg(F.min("OwnerName").alias("owner_name"))
+    return found.join(one, key, "left").select("query", *rows.columns, "owner_name")
 
 
 def parcel_by_address(
@@ -122,11 +108,11 @@ def parcel_search(
     literal = F.regexp_replace(asked, r"([\\%_])", r"\\$1")
     queries = queries.withColumn("_pattern", F.concat(F.lit("%"), F.replace(literal, F.lit(" "), F.lit("%")), F.lit("%")))
     words = F.filter(F.split(asked, " "), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
     columns = ["pid", "street_number", "street_name", "city", "state", "zip_code", "full_address"]
     order = [F.col("street_number"), F.col("street_name"), F.col("pid")]
-    pairs = gram_candidates(
-        queries.filter(F.size(words) > 0), texts, "query", words, "_text", columns,
-        verify=lambda body: F.like(body, F.col("_pattern")),
+    pairs = gram_join(
+        queries.filter(F.size(words) > 0), texts, longest, "_text", lambda text: F.like(text, F.col("_pattern"))
     ).select("query", *columns)
     # A query without words matches every parcel; a constant number of rows answers it.
     head = texts.orderBy(*order).limit(limit).agg(F.collect_list(F.struct(*columns))).scalar()

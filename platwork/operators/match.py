@@ -9,7 +9,7 @@ from platwork.functions import normalize_address, parse_address, token_sort_key
 from platwork.functions.similarity import key_ratio, reachable
 from platwork.functions.text import strip
 from platwork.operators.clean import blank
-from platwork.operators.grams import gram_candidates
+from platwork.operators.grams import gram_join
 from platwork.operators.shape import ERRORS
 from platwork.operators.skew import FLOOR, SHARE, salted_join
 
@@ -79,9 +79,9 @@ def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     firsts = candidate_cap(placed, ["street_number", "street_name"])
     streets = placed.select(F.col("street_number").alias("q_number"), "street_name").distinct()
     asked = numbered.select("q_number", "q_name").distinct()
-    pairs = gram_candidates(
-        asked, streets, "q_name", F.array("q_name"), "street_name", ["street_name"], equal=["q_number"]
-    ).select("q_number", "q_name", "street_name")
+    pairs = gram_join(
+        asked, streets, F.col("q_name"), "street_name", lambda text: F.contains(text, F.col("q_name")), equal=["q_number"]
+    )
     found = pairs.withColumnRenamed("q_number", "street_number").join(firsts, ["street_number", "street_name"])
     capped = candidate_cap(found, ["street_number", "q_name"]).withColumn("q_number", F.col("street_number"))
     matched = numbered.join(capped, ["q_number", "q_name"]).select("normalized", *PARCEL_COLUMNS)
@@ -98,7 +98,10 @@ def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
 
 def score_candidates(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Add ``confidence`` and ``match_method`` and keep what reaches ``min_confidence``."""
-    keyed = candidates.withColumn("_situs", normalize_address("full_address"))
+    # Scoring is the costly step, so pairs are spread evenly first, by address: the ranking that
+    # follows needs that partitioning anyway. An address has at most 100 pairs.
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = candidates.repartition(parts, "normalized").withColumn("_situs", normalize_address("full_address"))
     keyed = keyed.withColumn("_a", token_sort_key("normalized")).withColumn("_b", token_sort_key("_situs"))
     a, b = F.col("_a"), F.col("_b")
     scored = keyed.filter(reachable(a, b, min_confidence)).withColumn("confidence", key_ratio(a, b))

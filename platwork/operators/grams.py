@@ -11,15 +11,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Gram lengths. A query uses the longest one that fits, so short queries are looked up whole and
-# others by at least two thirds of themselves, up to the longest gram.
-GRAM_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+# Gram lengths. A query uses the longest one that fits: at least half of it, up to the longest.
+GRAM_SIZES = (1, 2, 4, 8, 16, 32)
 
 # A gram may occur in a large share of the texts. Its texts are spread over this many pieces and
 # each query is repeated once per piece: queries are one row each against dozens of grams per
 # text, so the repetition stays below the size of the other side. What is still uneven after that
 # is left to the adaptive skew join.
-PIECES = 32
+PIECES = 16
 
 
 def gram_size(text: Column) -> Column:

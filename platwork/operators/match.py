@@ -19,6 +19,7 @@ CANDIDATE_CAP = 100
 LOW_CONFIDENCE = 80
 
 PARCEL_COLUMNS = ("pid", "full_address", "street_number", "street_name", "street_type", "city", "state", "zip_code")
+CANDIDATE_COLUMNS = ("normalized", "address_key", *PARCEL_COLUMNS, "situs_normalized", "situs_key")
 
 
 def parcel_dimension(parcels: DataFrame, address: str = "situs_address") -> DataFrame:
@@ -58,10 +59,31 @@ def min_confidence_filter(scored: DataFrame, min_confidence: float = MIN_CONFIDE
     return scored.filter(F.col("confidence") >= min_confidence)
 
 
-def distinct_addresses(requests: DataFrame, address: str) -> DataFrame:
-    """One row per non-blank normalized address with the number of requests behind it."""
-    asked = requests.filter(~blank(strip(F.col(address)))).select(normalize_address(address).alias("normalized"))
-    return asked.groupBy("normalized").agg(F.count("*").alias("requests"))
+def spelled_addresses(requests: DataFrame, address: str) -> DataFrame:
+    """One row per distinct non-blank address text: ``spelling``, ``normalized``, ``requests``.
+
+    Grouping the texts as they are comes first, with partial counts before the shuffle, so that
+    the costly normalization runs once per spelling and not once per record.
+    """
+    asked = requests.filter(~blank(strip(F.col(address)))).select(F.col(address).alias("spelling"))
+    counted = asked.groupBy("spelling").agg(F.count("*").alias("requests"))
+    return counted.withColumn("normalized", _after_grouping(normalize_address("spelling")))
+
+
+def _after_grouping(value: Column) -> Column:
+    # Tied to the count, which only exists after the grouping. Otherwise filters on the value
+    # would move below the grouping and compute it again for every record of every branch.
+    return F.when(F.col("requests") > 0, value)
+
+
+def distinct_addresses(spelled: DataFrame) -> DataFrame:
+    """One row per ``normalized`` address with its number of ``requests``."""
+    return spelled.groupBy("normalized").agg(F.sum("requests").alias("requests"))
+
+
+def _with_situs_key(parcels: DataFrame) -> DataFrame:
+    situs = parcels.withColumn("situs_normalized", normalize_address("full_address"))
+    return situs.withColumn("situs_key", token_sort_key("situs_normalized"))
 
 
 def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
@@ -69,14 +91,19 @@ def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     address's, at most 100 by parcel id. Addresses without a number get the first 100 parcels.
 
     Everything is done on distinct street names: at most 100 parcels per (number, name) can ever
-    be candidates, and the substring join runs between distinct names within one number.
+    be candidates, and the substring join runs between distinct names within one number. What
+    scoring needs of either side is made once per address and once per parcel, not per pair.
     """
-    parsed = addresses.select("normalized", parse_address("normalized").alias("p")).select(
-        "normalized", F.col("p.street_number").alias("q_number"), F.col("p.street_name").alias("q_name")
+    parts = F.struct(parse_address("normalized").alias("p"), token_sort_key("normalized").alias("key"))
+    parsed = addresses.select("normalized", _after_grouping(parts).alias("q")).select(
+        "normalized",
+        F.col("q.p.street_number").alias("q_number"),
+        F.col("q.p.street_name").alias("q_name"),
+        F.col("q.key").alias("address_key"),
     )
     numbered = parsed.filter(F.col("q_number") != "")
     placed = parcels.filter(F.col("street_number").isNotNull() & F.col("street_name").isNotNull())
-    firsts = candidate_cap(placed, ["street_number", "street_name"])
+    firsts = _with_situs_key(candidate_cap(placed, ["street_number", "street_name"]))
     streets = placed.select(F.col("street_number").alias("q_number"), "street_name").distinct()
     asked = numbered.select("q_number", "q_name").distinct()
     pairs = gram_join(
@@ -84,29 +111,30 @@ def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     )
     found = pairs.withColumnRenamed("q_number", "street_number").join(firsts, ["street_number", "street_name"])
     capped = candidate_cap(found, ["street_number", "q_name"]).withColumn("q_number", F.col("street_number"))
-    matched = numbered.join(capped, ["q_number", "q_name"]).select("normalized", *PARCEL_COLUMNS)
+    matched = numbered.join(capped, ["q_number", "q_name"]).select(*CANDIDATE_COLUMNS)
     # A constant number of rows, whatever the size of the table, so they travel as one array.
-    head = parcels.orderBy("pid").limit(CANDIDATE_CAP).select(F.struct(*PARCEL_COLUMNS).alias("c"))
-    head_rows = head.agg(F.collect_list("c")).scalar()
+    head = _with_situs_key(parcels.orderBy("pid").limit(CANDIDATE_CAP))
+    head_rows = head.agg(F.collect_list(F.struct(*head.columns))).scalar()
     unnumbered = (
         parsed.filter(F.col("q_number") == "")
-        .select("normalized", F.explode(head_rows).alias("c"))
-        .select("normalized", *[F.col(f"c.{name}").alias(name) for name in PARCEL_COLUMNS])
+        .select("normalized", "address_key", F.explode(head_rows).alias("c"))
+        .select("normalized", "address_key", "c.*")
+        .select(*CANDIDATE_COLUMNS)
     )
     return matched.unionByName(unnumbered)
 
 
 def score_candidates(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Add ``confidence`` and ``match_method`` and keep what reaches ``min_confidence``."""
+    """Pairs of :func:`candidate_parcels` with ``confidence`` and ``match_method``, those that
+    reach ``min_confidence``."""
     # Scoring is the costly step, so pairs are spread evenly first, by address: the ranking that
     # follows needs that partitioning anyway. An address has at most 100 pairs.
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = candidates.repartition(parts, "normalized").withColumn("_situs", normalize_address("full_address"))
-    keyed = keyed.withColumn("_a", token_sort_key("normalized")).withColumn("_b", token_sort_key("_situs"))
-    a, b = F.col("_a"), F.col("_b")
-    scored = keyed.filter(reachable(a, b, min_confidence)).withColumn("confidence", key_ratio(a, b))
-    method = F.when(F.col("_situs") == F.col("normalized"), "Exact").otherwise("Fuzzy")
-    return min_confidence_filter(scored.withColumn("match_method", method), min_confidence).drop("_situs", "_a", "_b")
+    a, b = F.col("address_key"), F.col("situs_key")
+    near = candidates.filter(reachable(a, b, min_confidence)).repartition(parts, "normalized")
+    method = F.when(F.col("situs_normalized") == F.col("normalized"), "Exact").otherwise("Fuzzy")
+    scored = near.select("normalized", *PARCEL_COLUMNS, key_ratio(a, b).alias("confidence"), method.alias("match_method"))
+    return min_confidence_filter(scored, min_confidence)
 
 
 def match_distinct(
@@ -115,7 +143,7 @@ def match_distinct(
     min_confidence: float = MIN_CONFIDENCE,
     max_results: int = MAX_RESULTS,
 ) -> DataFrame:
-    """Ranked matches of a table of distinct ``normalized`` addresses."""
+    """Ranked matches of a table from :func:`distinct_addresses`."""
     scored = score_candidates(candidate_parcels(addresses, parcels), min_confidence)
     return rank_matches(scored, ["normalized"], max_results)
 
@@ -129,7 +157,7 @@ def match_addresses(
 ) -> DataFrame:
     """Up to ``max_results`` parcels per distinct normalized address: ``normalized``, the parcel
     columns, ``confidence``, ``match_method``, ``match_rank``. Blank addresses give no rows."""
-    addresses = distinct_addresses(requests, address).select("normalized")
+    addresses = distinct_addresses(spelled_addresses(requests, address))
     return match_distinct(addresses, parcels, min_confidence, max_results)
 
 
@@ -152,16 +180,18 @@ def attach_best_parcel(
     if ERRORS not in df.columns:
         df = df.withColumn(ERRORS, F.lit(""))
     wanted = blank(F.col("parcel_id")) & ~blank(strip(F.col(address)))
-    addresses = distinct_addresses(df.filter(wanted), address)
-    best = match_distinct(addresses.select("normalized"), parcels, min_confidence, max_results=1).select(
-        F.col("normalized").alias("_norm"),
+    spelled = spelled_addresses(df.filter(wanted), address)
+    best = match_distinct(distinct_addresses(spelled), parcels, min_confidence, max_results=1)
+    # Records are joined by the text they carry, so none of them is normalized on its own.
+    found = spelled.join(best, "normalized").select(
+        F.col("spelling").alias("_spelling"),
         F.col("pid").alias("_pid"),
         F.col("confidence").alias("_confidence"),
         F.col("match_method").alias("_method"),
     )
-    keyed = df.withColumn("_norm", F.when(wanted, normalize_address(address)))
-    counts = addresses.withColumnRenamed("normalized", "_norm")
-    joined = salted_join(keyed, best, ["_norm"], counts, "requests", "left", share=share, floor=floor)
+    keyed = df.withColumn("_spelling", F.when(wanted, F.col(address)))
+    counts = spelled.select(F.col("spelling").alias("_spelling"), "requests")
+    joined = salted_join(keyed, found, ["_spelling"], counts, "requests", "left", share=share, floor=floor)
     confidence = F.col("_confidence").cast("double")
     low = F.when(confidence < LOW_CONFIDENCE, f"Low confidence {label} match; ").otherwise("")
     kept = [F.col(c) for c in df.columns if c not in ("parcel_id", "match_confidence", "match_method", ERRORS)]

@@ -218,7 +218,7 @@ def _candidate_cap(t: Tables) -> DataFrame:
 
 
 def _scored(t: Tables) -> DataFrame:
-    addresses = match.distinct_addresses(_permits(t), "address").select("normalized")
+    addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
     return match.score_candidates(match.candidate_parcels(addresses, _parcels(t)), 40)
 
 

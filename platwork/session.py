@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Methods above this many bytes are never compiled by the JVM; fall back to smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

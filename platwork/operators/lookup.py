@@ -108,7 +108,7 @@ def parcel_search(
     literal = F.regexp_replace(asked, r"([\\%_])", r"\\$1")
     queries = queries.withColumn("_pattern", F.concat(F.lit("%"), F.replace(literal, F.lit(" "), F.lit("%")), F.lit("%")))
     words = F.filter(F.split(asked, " "), lambda w: w != "")
-    longest = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct(-F.length(w), w.alias("w")))), F.lit(1))["w"]
     columns = ["pid", "street_number", "street_name", "city", "state", "zip_code", "full_address"]
     order = [F.col("street_number"), F.col("street_name"), F.col("pid")]
     pairs = gram_join(

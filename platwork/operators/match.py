@@ -113,7 +113,10 @@ def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     capped = candidate_cap(found, ["street_number", "q_name"]).withColumn("q_number", F.col("street_number"))
     matched = numbered.join(capped, ["q_number", "q_name"]).select(*CANDIDATE_COLUMNS)
     # A constant number of rows, whatever the size of the table, so they travel as one array.
-    head = _with_situs_key(parcels.orderBy("pid").limit(CANDIDATE_CAP))
+    # They are gathered before their keys are made, or the optimizer would make keys for the whole
+    # table below the limit.
+    first = parcels.orderBy("pid").limit(CANDIDATE_CAP).agg(F.collect_list(F.struct(*PARCEL_COLUMNS)).alias("c"))
+    head = _with_situs_key(first.select(F.inline("c")))
     head_rows = head.agg(F.collect_list(F.struct(*head.columns))).scalar()
     unnumbered = (
         parsed.filter(F.col("q_number") == "")

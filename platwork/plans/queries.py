@@ -506,7 +506,7 @@ def _stage_stream(t: Tables) -> DataFrame:
     folder, out, errors, state = (shared_dir(t.spark, label) for label in ("watch", "staged", "errors", "stage-state"))
     raw = t.view("fx_permit_raw").withColumnRenamed("src_row", watch.RECORD)
     raw.repartition(4, watch.RECORD).write.options(header=True, **sinks.CSV_WRITE).csv(folder)
-    rows = watch.stream_watch_folder(t.spark, folder, raw.columns, max_files=2)
+    rows = watch.stream_watch_folder(t.spark, folder, raw.columns)
     rows = rows.withColumn(watch.RECORD, F.col(watch.RECORD).cast("bigint"))
     query = watch.stream_match_and_stage(rows, lambda: _parcels(t), watch.PERMIT, out, errors, state, AS_OF, first_job_id=1)
     query.awaitTermination()

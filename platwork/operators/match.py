@@ -77,8 +77,8 @@ def _after_grouping(value: Column) -> Column:
 
 
 def distinct_addresses(spelled: DataFrame) -> DataFrame:
-    """One row per ``normalized`` address with its number of ``requests``."""
-    return spelled.groupBy("normalized").agg(F.sum("requests").alias("requests"))
+    """One row per ``normalized`` address with its numbers of ``requests`` and ``spellings``."""
+    return spelled.groupBy("normalized").agg(F.sum("requests").alias("requests"), F.count("*").alias("spellings"))
 
 
 def _with_situs_key(parcels: DataFrame) -> DataFrame:
@@ -184,14 +184,18 @@ def attach_best_parcel(
         df = df.withColumn(ERRORS, F.lit(""))
     wanted = blank(F.col("parcel_id")) & ~blank(strip(F.col(address)))
     spelled = spelled_addresses(df.filter(wanted), address)
-    best = match_distinct(distinct_addresses(spelled), parcels, min_confidence, max_results=1)
-    # Records are joined by the text they carry, so none of them is normalized on its own.
-    found = spelled.join(best, "normalized").select(
-        F.col("spelling").alias("_spelling"),
+    addresses = distinct_addresses(spelled)
+    best = match_distinct(addresses, parcels, min_confidence, max_results=1).select(
+        "normalized",
         F.col("pid").alias("_pid"),
         F.col("confidence").alias("_confidence"),
         F.col("match_method").alias("_method"),
     )
+    # Both joins split hot keys: one address may have very many spellings (a tower's units), and
+    # one spelling very many records. Records are joined by the text they carry, so none of them
+    # is normalized on its own.
+    found = salted_join(spelled, best, ["normalized"], addresses, "spellings", share=share, floor=floor)
+    found = found.select(F.col("spelling").alias("_spelling"), "_pid", "_confidence", "_method")
     keyed = df.withColumn("_spelling", F.when(wanted, F.col(address)))
     counts = spelled.select(F.col("spelling").alias("_spelling"), "requests")
     joined = salted_join(keyed, found, ["_spelling"], counts, "requests", "left", share=share, floor=floor)

@@ -7,9 +7,10 @@ import sys
 import pytest
 from compare import ROOT, compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from platwork.operators import match
-from platwork.plans.queries import AS_OF, Tables
+from platwork.plans.oracles import ORACLES
+from platwork.plans.queries import AS_OF, QUERIES, Tables
 from platwork.plans.imports import import_permits
 
 
@@ -19,12 +20,12 @@ def con(folder):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, con, folder, name):
-    problem, *_ = compare(spark, con, name, queries()[name], oracle_sql()[name], folder)
+    problem, *_ = compare(spark, con, name, QUERIES[name], ORACLES[name], folder)
     assert problem is None, problem
 
 
@@ -41,7 +42,7 @@ def plan_of(df) -> str:
     "name", ["match_addresses", "attach_best_parcel", "parcel_by_address", "parcel_by_number", "parcel_search", "flag_duplicate_permits", "upsert_keyed"]
 )
 def test_no_cross_joins_and_no_python(spark, folder, name):
-    plan = plan_of(queries()[name](spark, folder))
+    plan = plan_of(QUERIES[name](spark, folder))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan
 

@@ -217,7 +217,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Worker.of(*shared.value)
-        for part in slices(batches, "text", BLOCK_BYTES):
+        for part in (s for batch in batches for s in slices(batch, "text", BLOCK_BYTES)):
             ids = worker.encode([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

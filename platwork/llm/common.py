@@ -32,15 +32,14 @@ def raw_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``most_bytes`` at once (a row stays whole)."""
-    for batch in batches:
-        start = held = 0
-        lengths = pa.compute.binary_length(batch.column(column).cast(pa.binary())).to_pylist()
-        for i, n in enumerate(lengths):
-            if held and held + (n or 0) > most_bytes:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n or 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that ``column`` holds about ``most_bytes`` at once (a row stays whole)."""
+    start = held = 0
+    lengths = pa.compute.binary_length(batch.column(column).cast(pa.binary())).to_pylist()
+    for i, n in enumerate(lengths):
+        if held and held + (n or 0) > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)

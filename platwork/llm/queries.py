@@ -5,6 +5,7 @@ from __future__ import annotations
 from platwork.llm.byte_bpe import op8_byte_bpe
 from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from platwork.llm.quality import op4_quality
+from platwork.llm.topk import OP5_SQL, op5_topk
 from platwork.llm.url_filter import OP3_SQL, op3_url_filter
 from platwork.llm.warc import OP2_SQL, op2_warc
 
@@ -12,11 +13,13 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES = {
+    "op5_topk": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op2_warc": OP2_SQL,
     "op3_url_filter": OP3_SQL,

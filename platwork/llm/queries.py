@@ -5,6 +5,7 @@ from __future__ import annotations
 from platwork.llm.byte_bpe import op8_byte_bpe
 from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from platwork.llm.language_model import op10_language_model
+from platwork.llm.packing import op7_packing
 from platwork.llm.quality import op4_quality
 from platwork.llm.topk import OP5_SQL, op5_topk
 from platwork.llm.url_filter import OP3_SQL, op3_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_language_model": op10_language_model,
 }

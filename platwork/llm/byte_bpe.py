@@ -26,8 +26,8 @@ from platwork.llm.common import raw_bytes, slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Text bytes per block, and remembered pieces per Python worker before it starts anew.
-BLOCK_BYTES = 32 << 20
-KNOWN_PIECES = 1_500_000
+BLOCK_BYTES = 6 << 20
+KNOWN_PIECES = 600_000
 # A rank with fewer positions than this is merged one position at a time.
 FEW = 24
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from platwork.llm.byte_bpe import op8_byte_bpe
 from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from platwork.llm.jaccard import op9_jaccard
 from platwork.llm.language_model import op10_language_model
 from platwork.llm.packing import op7_packing
 from platwork.llm.quality import op4_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard": op9_jaccard,
     "op10_language_model": op10_language_model,
 }
 

@@ -6,6 +6,7 @@ from platwork.llm.byte_bpe import op8_byte_bpe
 from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from platwork.llm.jaccard import op9_jaccard
 from platwork.llm.language_model import op10_language_model
+from platwork.llm.license_scan import OP1_SQL, op1_license_scan
 from platwork.llm.packing import op7_packing
 from platwork.llm.quality import op4_quality
 from platwork.llm.topk import OP5_SQL, op5_topk
@@ -13,6 +14,7 @@ from platwork.llm.url_filter import OP3_SQL, op3_url_filter
 from platwork.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_warc": op2_warc,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": OP1_SQL,
     "op5_topk": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op2_warc": OP2_SQL,

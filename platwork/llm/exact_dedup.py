@@ -213,9 +213,8 @@ def exact_duplicates(
     null id comes last. Of rows equal in both, one is kept. Other columns are not looked at.
     """
     prints = stored(fingerprints(docs, hashing, huge).withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
-    best = F.max_by(
-        F.struct("doc_id", "_row"),
-        F.struct("n_chars", F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("_row")),
+    best = F.min_by(
+        F.struct("doc_id", "_row"), F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "_row")
     ).alias("best")
 
     def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,13 +10,13 @@ the weights, of fixed size, travel. Fitting takes a bounded sample of the labell
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platwork.llm.common import raw_bytes, table
@@ -103,8 +103,11 @@ def _telling(rows: list[np.ndarray], grades: np.ndarray, least: int = 4, deviati
 def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 20, rate: float = 0.08, shrink: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood by AdaGrad over batches in a fixed order; buckets that tell no grade keep weight zero.
 
-    Without rows, or with one grade only, the thresholds follow the smoothed shares of the grades.
+    Without telling buckets the thresholds follow the smoothed shares of the grades. Without any row
+    nothing speaks against a document: every one gets the highest grade.
     """
+    if not len(rows):
+        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -40.0))
     counts = np.bincount(grades, minlength=GRADES) + 1.0
     tail = 1 - np.cumsum(counts)[:-1] / counts.sum()
     thresholds = -np.log(tail / (1 - tail))
@@ -168,13 +171,9 @@ def fit_on_sample(docs: DataFrame, ratings: DataFrame, most: int = MAX_LABELLED)
     return fit([np.frombuffer(r["f"], "<i4").astype(np.int64) for r in made], np.array([r["grade"] for r in made], np.int64))
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep_from: int = KEEP_FROM, least: float = MIN_PROBABILITY) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail_probability`` of ``keep_from`` and ``kept``; such columns are replaced.
-
-    Whole texts are read. A null or empty text, or one of blanks, has no features and gets the grade
-    of the thresholds alone. Equal texts get equal results; all rows and other columns stay.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def grader(spark: SparkSession, model: OrdinalModel, keep_from: int = KEEP_FROM) -> Callable[[Column], Column]:
+    """A function of a text column: (expected_grade, tail_probability of ``keep_from``)."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade:double,tail_probability:double>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -184,7 +183,16 @@ def score(docs: DataFrame, model: OrdinalModel, keep_from: int = KEEP_FROM, leas
             tails = own.tails(scores)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, keep_from - 1]})
 
-    out = docs.withColumn("_judged", judge(F.coalesce(F.col("text"), F.lit(""))))
+    return lambda text: judge(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: OrdinalModel, keep_from: int = KEEP_FROM, least: float = MIN_PROBABILITY) -> DataFrame:
+    """``docs`` with ``expected_grade``, ``tail_probability`` of ``keep_from`` and ``kept``; such columns are replaced.
+
+    Whole texts are read. A null or empty text, or one of blanks, has no features and gets the grade
+    of the thresholds alone. Equal texts get equal results; all rows and other columns stay.
+    """
+    out = docs.withColumn("_judged", grader(docs.sparkSession, model, keep_from)(F.col("text")))
     return out.withColumns(
         {
             "expected_grade": F.col("_judged.expected_grade"), "tail_probability": F.col("_judged.tail_probability"),

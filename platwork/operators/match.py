@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platwork.functions import normalize_address, parse_address, token_sort_key
 from platwork.functions.similarity import key_ratio, reachable
 from platwork.functions.text import strip
+from platwork.functions.values import as_timestamp
 from platwork.operators.clean import blank
 from platwork.operators.grams import gram_join
 from platwork.operators.shape import ERRORS
 from platwork.operators.skew import FLOOR, SHARE, salted_join
+from platwork.session import stored
 
 MIN_CONFIDENCE = 70.0
 MAX_RESULTS = 5
-CANDIDATE_CAP = 100
 LOW_CONFIDENCE = 80
+ATTEMPTED = "match_attempted"
 
 PARCEL_COLUMNS = ("pid", "full_address", "street_number", "street_name", "street_type", "city", "state", "zip_code")
-CANDIDATE_COLUMNS = ("normalized", "address_key", *PARCEL_COLUMNS, "situs_normalized", "situs_key")
+# Parcels of one text are alike to the matcher.
+TEXT_KEY = ["street_number", "street_name", "situs_normalized"]
 
 
 def parcel_dimension(parcels: DataFrame, address: str = "situs_address") -> DataFrame:
@@ -43,8 +48,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def candidate_cap(candidates: DataFrame, keys: list[str], n: int = CANDIDATE_CAP) -> DataFrame:
-    """The first ``n`` candidates by parcel id, taken before any scoring."""
+def candidate_cap(candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first ``n`` candidates of each key by parcel id."""
     return first_per_key(candidates, keys, [F.col("pid")], n)
 
 
@@ -81,65 +86,65 @@ def distinct_addresses(spelled: DataFrame) -> DataFrame:
     return spelled.groupBy("normalized").agg(F.sum("requests").alias("requests"), F.count("*").alias("spellings"))
 
 
-def _with_situs_key(parcels: DataFrame) -> DataFrame:
-    situs = parcels.withColumn("situs_normalized", normalize_address("full_address"))
-    return situs.withColumn("situs_key", token_sort_key("situs_normalized"))
+def situs_texts(parcels: DataFrame) -> DataFrame:
+    """Parcels with their normalized situs text; those without a street name cannot be candidates."""
+    placed = parcels.filter(F.col("street_name").isNotNull())
+    return placed.withColumn("street_number", F.coalesce("street_number", F.lit(""))).withColumn(
+        "situs_normalized", normalize_address("full_address")
+    )
 
 
-def candidate_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
-    """(normalized, parcel) pairs: same street number, parcel street name containing the
-    address's, at most 100 by parcel id. Addresses without a number get the first 100 parcels.
+def candidate_texts(addresses: DataFrame, situs: DataFrame) -> DataFrame:
+    """(normalized, text of parcels) pairs: same street number, parcel street name containing the
+    address's. An address without a number is looked up by its words in all street names.
 
-    Everything is done on distinct street names: at most 100 parcels per (number, name) can ever
-    be candidates, and the substring join runs between distinct names within one number. What
-    scoring needs of either side is made once per address and once per parcel, not per pair.
+    ``situs`` comes from :func:`situs_texts`. All parcels of one number, street name and normalized
+    situs score alike, so pairs are made of distinct texts and none is left out. The substring join
+    runs between distinct names, within one number where there is one. What scoring needs of either
+    side is made once per address and once per text.
     """
-    parts = F.struct(parse_address("normalized").alias("p"), token_sort_key("normalized").alias("key"))
+    parts = F.struct(parse_address("normalized").alias("p"), parse_address(F.concat(F.lit("0 "), "normalized")).alias("u"), token_sort_key("normalized").alias("key"))
     parsed = addresses.select("normalized", _after_grouping(parts).alias("q")).select(
         "normalized",
         F.col("q.p.street_number").alias("q_number"),
-        F.col("q.p.street_name").alias("q_name"),
+        F.when(F.col("q.p.street_number") == "", F.col("q.u.street_name")).otherwise(F.col("q.p.street_name")).alias("q_name"),
         F.col("q.key").alias("address_key"),
+    ).filter("q_name <> ''")
+    texts = situs.select(*TEXT_KEY).distinct().withColumn("situs_key", token_sort_key("situs_normalized"))
+    streets = situs.select(F.col("street_number").alias("q_number"), "street_name").distinct()
+    verify = lambda text: F.contains(text, F.col("q_name"))
+    asked = parsed.select("q_number", "q_name").distinct()
+    numbered = gram_join(asked.filter("q_number <> ''"), streets, F.col("q_name"), "street_name", verify, equal=["q_number"])
+    free = gram_join(
+        asked.filter("q_number = ''").select("q_name"), streets.select("street_name").distinct(), F.col("q_name"), "street_name", verify
     )
-    numbered = parsed.filter(F.col("q_number") != "")
-    placed = parcels.filter(F.col("street_number").isNotNull() & F.col("street_name").isNotNull())
-    firsts = _with_situs_key(candidate_cap(placed, ["street_number", "street_name"]))
-    streets = placed.select(F.col("street_number").alias("q_number"), "street_name").distinct()
-    asked = numbered.select("q_number", "q_name").distinct()
-    pairs = gram_join(
-        asked, streets, F.col("q_name"), "street_name", lambda text: F.contains(text, F.col("q_name")), equal=["q_number"]
+    everywhere = free.join(streets, "street_name").select(
+        F.lit("").alias("q_number"), "q_name", F.col("q_number").alias("street_number"), "street_name"
     )
-    found = pairs.withColumnRenamed("q_number", "street_number").join(firsts, ["street_number", "street_name"])
-    capped = candidate_cap(found, ["street_number", "q_name"]).withColumn("q_number", F.col("street_number"))
-    matched = numbered.join(capped, ["q_number", "q_name"]).select(*CANDIDATE_COLUMNS)
-    # A constant number of rows, whatever the size of the table, so they travel as one array.
-    # They are gathered before their keys are made, or the optimizer would make keys for the whole
-    # table below the limit.
-    first = parcels.orderBy("pid").limit(CANDIDATE_CAP).agg(F.collect_list(F.struct(*PARCEL_COLUMNS)).alias("c"))
-    head = _with_situs_key(first.select(F.inline("c")))
-    head_rows = head.agg(F.collect_list(F.struct(*head.columns))).scalar()
-    unnumbered = (
-        parsed.filter(F.col("q_number") == "")
-        .select("normalized", "address_key", F.explode(head_rows).alias("c"))
-        .select("normalized", "address_key", "c.*")
-        .select(*CANDIDATE_COLUMNS)
+    found = numbered.select("q_number", "q_name", F.col("q_number").alias("street_number"), "street_name").unionByName(everywhere)
+    return parsed.join(found, ["q_number", "q_name"]).join(texts, ["street_number", "street_name"]).select(
+        "normalized", "address_key", *TEXT_KEY, "situs_key"
     )
-    return matched.unionByName(unnumbered)
 
 
 def score_candidates(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Pairs of :func:`candidate_parcels` with ``confidence`` and ``match_method``, those that
-    reach ``min_confidence``."""
-    # Scoring is the costly step, so pairs are spread evenly first, by address: the ranking that
-    # follows needs that partitioning anyway. An address has at most 100 pairs.
-    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Pairs of :func:`candidate_texts` with ``confidence`` and ``match_method``, those that reach
+    ``min_confidence``."""
     a, b = F.col("address_key"), F.col("situs_key")
-    near = candidates.filter(reachable(a, b, min_confidence)).repartition(parts, "normalized")
+    # Scoring is the costly step, so the pairs left to score are spread evenly first.
+    near = candidates.filter(reachable(a, b, min_confidence)).repartition("normalized", *TEXT_KEY)
     method = F.when(F.col("situs_normalized") == F.col("normalized"), "Exact").otherwise("Fuzzy")
-    scored = near.select("normalized", *PARCEL_COLUMNS, key_ratio(a, b).alias("confidence"), method.alias("match_method"))
+    scored = near.select("normalized", *TEXT_KEY, key_ratio(a, b).alias("confidence"), method.alias("match_method"))
     return min_confidence_filter(scored, min_confidence)
 
 
+def parcels_of_texts(scored: DataFrame, situs: DataFrame, n: int | None = None) -> DataFrame:
+    """Scored texts with their parcels, or with the first ``n`` of each text by parcel id: a ranking
+    of ``n`` by confidence, then id, can use no others."""
+    chosen = situs if n is None else first_per_key(situs, TEXT_KEY, [F.col("pid")], n)
+    return scored.join(chosen, TEXT_KEY).select("normalized", *PARCEL_COLUMNS, "confidence", "match_method")
+
+
 def match_distinct(
     addresses: DataFrame,
     parcels: DataFrame,
@@ -147,8 +152,9 @@ def match_distinct(
     max_results: int = MAX_RESULTS,
 ) -> DataFrame:
     """Ranked matches of a table from :func:`distinct_addresses`."""
-    scored = score_candidates(candidate_parcels(addresses, parcels), min_confidence)
-    return rank_matches(scored, ["normalized"], max_results)
+    situs = situs_texts(parcels)
+    scored = score_candidates(candidate_texts(addresses, situs), min_confidence)
+    return rank_matches(parcels_of_texts(scored, situs, max_results), ["normalized"], max_results)
 
 
 def match_addresses(
@@ -175,16 +181,22 @@ def attach_best_parcel(
 ) -> DataFrame:
     """Fill ``parcel_id`` and ``match_confidence`` from the best match of ``address``.
 
-    Only rows with an address and no parcel id are matched; the others keep their parcel id and
-    get confidence 0. A match below 80 adds ``"Low confidence <label> match; "``.
+    Only rows with an address and no parcel id are matched, which ``match_attempted`` marks; the
+    others keep their parcel id, and the confidence and method they came with (0 and null without
+    any), so a second run changes nothing and a ``Manual`` match stays. A match below 80 adds
+    ``"Low confidence <label> match; "``.
     """
+    for name, kind in (("match_confidence", "double"), ("match_method", "string"), (ATTEMPTED, "boolean")):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(kind))
     if "parcel_id" not in df.columns:
         df = df.withColumn("parcel_id", F.lit(""))
     if ERRORS not in df.columns:
         df = df.withColumn(ERRORS, F.lit(""))
     wanted = blank(F.col("parcel_id")) & ~blank(strip(F.col(address)))
-    spelled = spelled_addresses(df.filter(wanted), address)
-    addresses = distinct_addresses(spelled)
+    # One row per distinct text, written once: the feed below is read here and in the last join only.
+    spelled = stored(spelled_addresses(df.filter(wanted), address), "spelled")
+    addresses = stored(distinct_addresses(spelled), "addresses")
     best = match_distinct(addresses, parcels, min_confidence, max_results=1).select(
         "normalized",
         F.col("pid").alias("_pid"),
@@ -201,12 +213,13 @@ def attach_best_parcel(
     joined = salted_join(keyed, found, ["_spelling"], counts, "requests", "left", share=share, floor=floor)
     confidence = F.col("_confidence").cast("double")
     low = F.when(confidence < LOW_CONFIDENCE, f"Low confidence {label} match; ").otherwise("")
-    kept = [F.col(c) for c in df.columns if c not in ("parcel_id", "match_confidence", "match_method", ERRORS)]
+    kept = [F.col(c) for c in df.columns if c not in ("parcel_id", "match_confidence", "match_method", ATTEMPTED, ERRORS)]
     return joined.select(
         *kept,
         F.coalesce("_pid", "parcel_id", F.lit("")).alias("parcel_id"),
-        F.coalesce(confidence, F.lit(0.0)).alias("match_confidence"),
-        F.col("_method").alias("match_method"),
+        F.coalesce(confidence, F.col("match_confidence").cast("double"), F.lit(0.0)).alias("match_confidence"),
+        F.coalesce("_method", "match_method").alias("match_method"),
+        (F.coalesce(F.col(ATTEMPTED), F.lit(False)) | F.col("_spelling").isNotNull()).alias(ATTEMPTED),
         F.concat(F.coalesce(F.col(ERRORS), F.lit("")), low).alias(ERRORS),
     )
 
@@ -216,16 +229,27 @@ def attach_best_parcel_property(df: DataFrame, parcels: DataFrame, **options) ->
     return attach_best_parcel(df, parcels, address="property_location", label="location", **options)
 
 
-def address_match_rows(df: DataFrame, address: str = "address") -> DataFrame:
-    """Address-match records of rows that went through :func:`attach_best_parcel` with an address
-    to match. Unmatched rows count as fuzzy attempts without a parcel; a ``Manual`` method set by
-    a person is kept."""
-    return df.filter(~blank(F.col(address)) & (F.col("match_confidence").isNotNull())).select(
+def address_match_rows(
+    df: DataFrame,
+    address: str = "address",
+    matched_at: Column | datetime | str | None = None,
+    job_id: Column | int | None = None,
+    record_type: str | None = None,
+    record_id: str | None = None,
+) -> DataFrame:
+    """Address-match records of the rows that :func:`attach_best_parcel` compared, or that a person
+    matched. Unmatched rows count as fuzzy attempts without a parcel."""
+    asked = F.coalesce(F.col(ATTEMPTED), F.lit(False)) | F.coalesce(F.col("match_method") == "Manual", F.lit(False))
+    return df.filter(~blank(F.col(address)) & asked).select(
         F.col(address).alias("SourceAddress"),
         normalize_address(address).alias("StandardizedAddress"),
         F.nullif(F.col("parcel_id"), F.lit("")).alias("ParcelNumber"),
         F.col("match_confidence").cast("decimal(5,2)").alias("ConfidenceScore"),
         F.coalesce("match_method", F.lit("Fuzzy")).alias("MatchMethod"),
+        (F.lit(None).cast("timestamp_ntz") if matched_at is None else as_timestamp(matched_at)).alias("MatchDate"),
+        (job_id if isinstance(job_id, Column) else F.lit(job_id)).cast("bigint").alias("ImportJobID"),
+        F.lit(record_type).cast("string").alias("RecordType"),
+        (F.lit(None) if record_id is None else F.col(record_id)).cast("bigint").alias("RecordID"),
     )
 
 

@@ -189,10 +189,10 @@ def _matching(asked: str) -> list[str]:
     norm = _normalize("address")
     return [
         f"wanted AS (SELECT DISTINCT {norm} AS normalized FROM {asked} WHERE coalesce({_strip('address')}, '') <> '')",
-        f"parsed AS (SELECT normalized, {_number('normalized')} AS num, {_name('normalized')} AS nm FROM wanted)",
-        "cand AS (SELECT * FROM (SELECT w.normalized, p.pid, p.situs_address, "
-        "row_number() OVER (PARTITION BY w.normalized ORDER BY p.pid) AS rn FROM parsed w JOIN fx_parcel p "
-        "ON w.num = '' OR (p.street_number = w.num AND contains(p.street_name, w.nm))) WHERE rn <= 100)",
+        f"numbered AS (SELECT normalized, {_number('normalized')} AS num, '0 ' || normalized AS bare FROM wanted)",
+        f"parsed AS (SELECT normalized, num, CASE WHEN num = '' THEN {_name('bare')} ELSE {_name('normalized')} END AS nm FROM numbered)",
+        "cand AS (SELECT w.normalized, p.pid, p.situs_address FROM parsed w JOIN fx_parcel p "
+        "ON w.nm <> '' AND (w.num = '' OR p.street_number = w.num) AND contains(p.street_name, w.nm))",
         f"keyed AS (SELECT normalized, pid, situs_address, {_normalize('situs_address')} AS situs FROM cand)",
         f"sides AS (SELECT *, {_score_key('normalized')} AS a, {_score_key('situs')} AS b FROM keyed)",
         *_lcs("sides"),
@@ -351,7 +351,7 @@ ORACLES: dict[str, str] = {
     ),
     "candidate_cap": _with(
         [FX_L], [],
-        "SELECT street_name, pid FROM (SELECT street_name, pid, row_number() OVER (PARTITION BY street_name ORDER BY pid) AS rn FROM fx_parcel) WHERE rn <= 100",
+        "SELECT street_name, pid FROM (SELECT street_name, pid, row_number() OVER (PARTITION BY street_name ORDER BY pid) AS rn FROM fx_parcel) WHERE rn <= 3",
     ),
     "min_confidence_filter": _with(
         [FX_P, FX_L], [PERMIT, *_matching("permit")],
@@ -365,6 +365,11 @@ ORACLES: dict[str, str] = {
         [FX_P, FX_L], [PERMIT, *_matching("permit"), _ranked(70, 5)],
         "SELECT normalized, pid, full_address, confidence, method AS match_method, match_rank::INTEGER AS match_rank FROM ranked", recursive=True,
     ),
+    "match_addresses_dense": _with(
+        ["fx_parcel_dense", "fx_dense_address"],
+        ["fx_parcel AS (SELECT * FROM fx_parcel_dense)", *_matching("fx_dense_address"), _ranked(70, 5)],
+        "SELECT normalized, pid, full_address, confidence, method AS match_method, match_rank::INTEGER AS match_rank FROM ranked", recursive=True,
+    ),
     "attach_best_parcel": _with(
         [FX_P, FX_L], ATTACHED, "SELECT src_row, parcel_id, match_confidence, validation_errors FROM attached", recursive=True
     ),
@@ -376,7 +381,7 @@ ORACLES: dict[str, str] = {
         "SELECT coalesce(method, 'Fuzzy') AS MatchMethod, count(*) AS TotalMatches, avg(match_confidence) AS AvgConfidence, "
         "count(nullif(parcel_id, '')) AS SuccessfulMatches, count(*) - count(nullif(parcel_id, '')) AS FailedMatches, "
         + _half_up_percent("count(nullif(parcel_id, ''))", "count(*)")
-        + " AS SuccessRate FROM attached WHERE address <> '' GROUP BY 1",
+        + " AS SuccessRate FROM attached WHERE norm IS NOT NULL GROUP BY 1",
         recursive=True,
     ),
     "parcel_by_address": _with(

@@ -214,12 +214,13 @@ def _like_contains(t: Tables) -> DataFrame:
 
 @register("candidate_cap")
 def _candidate_cap(t: Tables) -> DataFrame:
-    return match.candidate_cap(_parcels(t), ["street_name"]).select("street_name", "pid")
+    return match.candidate_cap(_parcels(t), ["street_name"], 3).select("street_name", "pid")
 
 
 def _scored(t: Tables) -> DataFrame:
     addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
-    return match.score_candidates(match.candidate_parcels(addresses, _parcels(t)), 40)
+    situs = match.situs_texts(_parcels(t))
+    return match.parcels_of_texts(match.score_candidates(match.candidate_texts(addresses, situs), 40), situs)
 
 
 @register("min_confidence_filter")
@@ -239,6 +240,14 @@ def _match_addresses(t: Tables) -> DataFrame:
     )
 
 
+@register("match_addresses_dense")
+def _match_dense(t: Tables) -> DataFrame:
+    parcels = match.parcel_dimension(t.view("fx_parcel_dense"))
+    return match.match_addresses(t.view("fx_dense_address"), parcels).select(
+        "normalized", "pid", "full_address", "confidence", "match_method", "match_rank"
+    )
+
+
 @register("attach_best_parcel")
 def _attach(t: Tables) -> DataFrame:
     return _matched(t).select("src_row", "parcel_id", "match_confidence", "validation_errors")
@@ -254,7 +263,8 @@ def _attach_property(t: Tables) -> DataFrame:
 
 @register("address_match_stats")
 def _match_stats(t: Tables) -> DataFrame:
-    stats = match.address_match_stats(match.address_match_rows(_matched(t)))
+    rows = match.address_match_rows(_matched(t), matched_at=AS_OF, job_id=JOB, record_type="Permit", record_id="src_row")
+    stats = match.address_match_stats(rows)
     return stats.withColumn("SuccessRate", F.col("SuccessRate").cast("double"))
 
 

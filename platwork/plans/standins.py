@@ -100,6 +100,22 @@ SELECT 'C' || CAST(o_custkey + o_orderkey % 3 AS STRING) AS category, o_orderpri
        CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'note ' || CAST(o_orderkey AS STRING) END AS description,
        o_orderkey AS seq
 FROM {orders}
+""",
+    # As fx_parcel and the permits' addresses, but with many parcels on each street number.
+    "fx_parcel_dense": """
+SELECT lpad(CAST(c.c_custkey AS STRING), 8, '0') AS pid, CAST(100 + c.c_custkey % 3 AS STRING) AS street_number,
+       CASE c.c_custkey % 5 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'N MAIN' WHEN 2 THEN 'MAINLAND' WHEN 3 THEN 'OLD MAIN' ELSE 'ELM' END AS street_name,
+       'ST' AS street_type, n.n_name AS city, 'X' AS state, '00000' AS zip_code,
+       CAST(100 + c.c_custkey % 3 AS STRING) || ' ' ||
+       CASE c.c_custkey % 5 WHEN 0 THEN 'Main' WHEN 1 THEN 'North Main' WHEN 2 THEN 'Mainland' WHEN 3 THEN 'Old Main' ELSE 'Elm' END || ' ' ||
+       CASE WHEN c.c_custkey % 11 = 0 THEN 'Street, Unit 4' WHEN c.c_custkey % 13 = 0 THEN 'Street East' ELSE 'Street' END AS situs_address
+FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+""",
+    "fx_dense_address": """
+SELECT o.o_orderkey AS src_row,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN '' ELSE CAST(100 + o.o_custkey % 3 AS STRING) || ' ' END ||
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'Main St' WHEN 1 THEN 'north main street' WHEN 2 THEN 'Elm  St' ELSE 'Mainland St' END AS address
+FROM {orders} o
 """,
 }
 
@@ -125,15 +141,7 @@ class Tables:
 
     def view(self, name: str) -> DataFrame:
         sql = VIEWS[name]
-        return self.spark.sql(sql, **{n: self._spread(n) for n in _names(sql)})
-
-    def _spread(self, name: str) -> DataFrame:
-        """The table; one in fewer files than there are cores is dealt out to all of them, since
-        the rules that follow are bound by the processor. Tables of many files stay as they are."""
-        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
-        if name not in ("orders", "events") or len(df.inputFiles()) >= cores:
-            return df
-        return df.repartition(cores, df.columns[0])
+        return self.spark.sql(sql, **{n: self.base(n) for n in _names(sql)})
 
 
 def oracle_ctes(*names: str) -> str:

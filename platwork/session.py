@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Applied only where the caller's own configuration has not already decided.
 ENGINE_CONF = {
@@ -34,11 +34,20 @@ def build_session(app_name: str = "platwork", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    The setting names storage every executor can reach. Only when it is unset (tests on one
-    machine) is a temporary folder chosen and recorded in the session.
+    The setting names storage every executor can reach. Where it is unset a temporary folder is
+    chosen in local mode only, where all tasks run on this machine; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="platwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/platwork/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: its lineage ends here."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

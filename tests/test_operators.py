@@ -46,16 +46,36 @@ def test_match_addresses(spark, three):
     assert match.match_addresses(addresses(spark, "123 Main St"), three, max_results=1).count() == 1
 
 
-def test_candidates_are_capped_before_scoring(spark):
-    # 130 parcels on one street; the exact one is beyond the first hundred ids.
+def test_exact_parcel_is_found_behind_many_others(spark):
+    # 130 parcels of lower ids on streets that contain the name, and 130 of the same text as the hit.
     rows = [(f"{i:05d}", f"7 ELM GROVE {i} ST", "7", f"ELM GROVE {i}", "ST") for i in range(130)]
-    hit = [("00999", "7 ELM GROVE ST", "7", "ELM GROVE", "ST")]
-    table = parcels_of(spark, rows + hit)
-    got = match.match_addresses(addresses(spark, "7 Elm Grove St"), table, max_results=200)
-    assert got.count() == 100 and got.filter("pid = '00999'").count() == 0
-    # Without a number the first hundred parcels of the table are scored.
-    free = match.match_addresses(addresses(spark, "Elm Grove 5 St"), table, min_confidence=1, max_results=500)
-    assert free.count() == 100
+    rows += [(f"9{i:04d}", "7 Elm Grove Street", "7", "ELM GROVE", "ST") for i in range(130)]
+    table = parcels_of(spark, rows)
+    got = match.match_addresses(addresses(spark, "7 Elm Grove St"), table).collect()
+    assert [(r.pid, r.confidence, r.match_method) for r in sorted(got, key=lambda r: r.match_rank)] == [(f"9{i:04d}", 100, "Exact") for i in range(5)]
+    assert match.match_addresses(addresses(spark, "7 Elm Grove St"), table, max_results=500).count() == 260
+
+
+def test_address_without_a_number_is_looked_up_by_its_words(spark, three):
+    got = match.match_addresses(addresses(spark, "N Main St", "Elm St", "St"), three, min_confidence=1).collect()
+    assert [(r.normalized, r.pid) for r in got] == [("N MAIN ST", "345678")]
+
+
+def test_attach_twice_changes_nothing_and_keeps_manual_matches(spark, three):
+    df = spark.createDataFrame(
+        [(1, "123 MAIN ST", None, None, None), (2, "9 NOWHERE RD", "77", 55.0, "Manual"), (3, "9 NOWHERE RD", None, None, None), (4, "123 MAIN ST", "5", None, None)],
+        "id int, address string, parcel_id string, match_confidence double, match_method string",
+    )
+    once = match.attach_best_parcel(df, three)
+    again = match.attach_best_parcel(once, three)
+    rows = sorted((r.id, r.parcel_id, r.match_confidence, r.match_method, r.match_attempted) for r in once.collect())
+    assert rows == [(1, "123456", 100.0, "Exact", True), (2, "77", 55.0, "Manual", False), (3, "", 0.0, None, True), (4, "5", 0.0, None, False)]
+    assert sorted((r.id, r.parcel_id, r.match_confidence, r.match_method, r.match_attempted) for r in again.collect()) == rows
+    log = match.address_match_rows(again, matched_at="2025-06-30 12:00:00", job_id=9, record_type="Permit", record_id="id")
+    assert sorted((r.RecordID, r.MatchMethod, r.ParcelNumber, r.ImportJobID, r.RecordType, str(r.MatchDate)) for r in log.collect()) == [
+        (1, "Exact", "123456", 9, "Permit", "2025-06-30 12:00:00"), (2, "Manual", "77", 9, "Permit", "2025-06-30 12:00:00"),
+        (3, "Fuzzy", None, 9, "Permit", "2025-06-30 12:00:00"),
+    ]
 
 
 def test_attach_best_parcel(spark, three):

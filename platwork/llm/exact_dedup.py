@@ -147,7 +147,8 @@ KEY = ["n_bytes", "h1", "h2"]
 
 def _filter_bits(shared: DataFrame, bits: int) -> bytes:
     """A bitmap with the bit of every shared fingerprint set; ``bits`` / 8 bytes at most."""
-    spot = shared.select(F.pmod(F.xxhash64(*KEY), F.lit(bits)).alias("b"))
+    # The bitmap functions count from 1.
+    spot = shared.select((F.pmod(F.xxhash64(*KEY), F.lit(bits)) + 1).alias("b"))
     words = spot.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     out = bytearray(bits // 8)
     for row in words.toLocalIterator():  # at most bits / 32768 rows

@@ -291,7 +291,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(class, comp) of all classes that link with another, directly or by others."""
-    band = F.floor(F.log("n") / F.lit(log(100 / percent)))
+    # Blocks of sizes: two sets that link lie in one block or in neighbouring ones.
+    band = F.floor(F.log("n") / F.lit(log(100 / percent))) if percent < 100 else F.col("n")
     postings = stored(
         sets.select("class", "n", F.explode("prefix").alias("p")).select("class", "n", band.cast("int").alias("band"), "p.token", "p.at"), "postings"
     )

@@ -9,8 +9,24 @@ from pyspark.sql import functions as F
 
 from platwork.functions.text import strip
 
-# Accepted date layouts. Single-letter fields also accept two digits.
-DATE_FORMATS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+# Accepted date layouts, each with the shape of the texts it reads. Single-letter
+# fields also accept two digits.
+DATE_LAYOUTS = (
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", "M/d/yyyy H:mm"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M", "M/d/yyyy h:mm a"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M", "M/d/yyyy h:mm:ss a"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{8}", "yyyyMMdd"),
+    (r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "d-MMM-yyyy"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
+)
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+SHORT_YEAR = r"^(\d{1,2}/\d{1,2}/)(\d{2})$"
+# Fixed value: two-digit years from this one on belong to the last century.
+PIVOT = 69
 
 
 def parse_money(c: Column | str) -> Column:
@@ -27,9 +43,31 @@ def as_timestamp(value: Column | datetime | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def read_date(c: Column | str) -> Column:
+    """The timestamp of a text in one of the known layouts, else null; months and AM/PM in any case.
+
+    The shape of the text chooses the one layout that is tried.
+    """
+    text = F.regexp_replace(strip(c), r"\s+", " ")
+    named = F.when(text.rlike("[A-Za-z]{3}"), F.initcap(F.lower(text))).otherwise(F.upper(text))
+    year = F.regexp_extract(text, SHORT_YEAR, 2)
+    century = F.when(year.try_cast("int") >= PIVOT, "19").otherwise("20")
+    long_year = F.concat(F.regexp_extract(text, SHORT_YEAR, 1), century, year)
+    # Months follow a hyphen too, where words do not begin for initcap.
+    month = F.regexp_extract(named, r"^(\d{1,2}-)([a-z])(.*)$", 2)
+    spelled = F.when(
+        month != "", F.concat(F.regexp_extract(named, r"^(\d{1,2}-)", 1), F.upper(month), F.regexp_extract(named, r"^\d{1,2}-[a-z](.*)$", 1))
+    ).otherwise(named)
+    full = F.regexp_replace(spelled, r"(\d)([AP]M)$", "$1 $2")
+    parsed = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz")).when(
+        text.rlike(SHORT_YEAR), F.try_to_timestamp(long_year, F.lit("M/d/yyyy")).cast("timestamp_ntz")
+    )
+    for shape, layout in DATE_LAYOUTS:
+        parsed = parsed.when(full.rlike(f"^{shape}$"), F.try_to_timestamp(full, F.lit(layout)).cast("timestamp_ntz"))
+    return parsed
+
+
 def parse_date(c: Column | str, as_of: Column | datetime | str) -> Column:
-    """First layout that fits; otherwise midnight of the processing day."""
-    text = strip(c)
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
+    """The date of a known layout; otherwise midnight of the processing day."""
     fallback = F.date_trunc("day", as_timestamp(as_of)).cast("timestamp_ntz")
-    return F.coalesce(*parsed, fallback)
+    return F.coalesce(read_date(c), fallback)

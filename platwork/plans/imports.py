@@ -21,7 +21,7 @@ def import_permits(
 ) -> DataFrame:
     """Map, clean, validate and, where parcels are given, match a permit feed."""
     df = map_columns(raw, columns_map) if columns_map else raw
-    df = validate_permits(clean_permits(df, as_of), as_of)
+    df = validate_permits(clean_permits(df, as_of, report=True), as_of)
     return attach_best_parcel(df, parcels) if parcels is not None and "address" in df.columns else df
 
 

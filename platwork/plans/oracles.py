@@ -149,7 +149,11 @@ PERMIT = f"""permit AS (
          {_money('"Valuation"')} AS valuation, {_collapse('"Description"')} AS description,
          {_identifier('"Parcel ID"')} AS parcel_id, upper({_strip('"Status"')}) AS status, src_row
   FROM fx_permit_raw)"""
-CHECKED = f"checked AS (SELECT *, {PERMIT_ERRORS} AS errors FROM permit)"
+CHECKED = (
+    "unread AS (SELECT src_row AS unread_row FROM fx_permit_raw WHERE "
+    f"{_strip('"Issue Date"')} <> '' AND coalesce(try_strptime({_strip('"Issue Date"')}, '%m/%d/%Y'), try_strptime({_strip('"Issue Date"')}, '%Y-%m-%d')) IS NULL),\n"
+    f"checked AS (SELECT permit.*, {_message('unread_row IS NOT NULL', 'Unreadable issue date')} || {PERMIT_ERRORS} AS errors FROM permit LEFT JOIN unread ON src_row = unread_row)"
+)
 PROPERTY = f"""property AS (
   SELECT {_identifier('"Account Number"')} AS account_number, {_title('"Owner Name"')} AS owner_name,
          {_address('"Owner Address"')} AS owner_address, {_title('"Business Name"')} AS business_name,
@@ -330,6 +334,26 @@ ORACLES: dict[str, str] = {
     ),
     "clean_permits": _with([FX_P], [PERMIT], f"SELECT * REPLACE ({_iso('issue_date')} AS issue_date) FROM permit"),
     "clean_property": _with([FX_A], [PROPERTY], "SELECT * FROM property"),
+    "clean_permits_typed": _with(
+        ["fx_permit_typed"], [], f"SELECT src_row, coalesce(valuation, 0) AS valuation, {_iso(f'coalesce(issue_date, {TODAY})')} AS issue_date FROM fx_permit_typed"
+    ),
+    "clean_property_typed": _with(["fx_property_typed"], [], "SELECT src_row, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM fx_property_typed"),
+    "parse_date_layouts": _with(
+        ["fx_date_text"], [],
+        "SELECT src_row, strftime(date_trunc('second', coalesce(CASE "
+        + " ".join(
+            f"WHEN regexp_full_match(trim(text), '{shape}') THEN try_strptime(trim(text), '{layout}')"
+            for shape, layout in (
+                ("[0-9]+/[0-9]+/[0-9]{4}", "%m/%d/%Y"), ("[0-9]{4}-[0-9]+-[0-9]+", "%Y-%m-%d"), ("[0-9]{4}-[^ ]+T[^ ]+", "%Y-%m-%dT%H:%M:%S"),
+                ("[0-9]{4}-[^ ]+ [^ ]+[.][0-9]+", "%Y-%m-%d %H:%M:%S.%g"), ("[0-9]{4}-[^ ]+ [0-9]+:[0-9]+", "%Y-%m-%d %H:%M"),
+                ("[^ ]+/[^ ]+ [0-9]+:[0-9]+ PM", "%m/%d/%Y %I:%M %p"), ("[^ ]+/[^ ]+ [0-9]+:[0-9]+:[0-9]+", "%m/%d/%Y %H:%M:%S"),
+                ("[^ ]+/[^ ]+ [0-9]+:[0-9]+:[0-9]+ am", "%m/%d/%Y %I:%M:%S %p"), ("[0-9]{4}/[0-9]+/[0-9]+", "%Y/%m/%d"),
+                ("[0-9]{2}-[0-9]{2}-[0-9]{4}", "%m-%d-%Y"), ("[0-9]{8}", "%Y%m%d"), ("[0-9]+-[A-Z][a-z]+-[0-9]+", "%d-%b-%Y"),
+                ("[A-Z]{3} [0-9]+, [0-9]+", "%b %d, %Y"), ("[0-9]+/[0-9]+/[0-9]{2}", "%m/%d/%y"),
+            )
+        )
+        + f" END, {TODAY})), '%Y-%m-%d %H:%M:%S') AS result FROM fx_date_text",
+    ),
     "validate_permits": _with([FX_P], [PERMIT, CHECKED], "SELECT src_row, errors AS validation_errors FROM checked"),
     "validate_property": _with([FX_A], [PROPERTY, CHECKED_PROPERTY], "SELECT src_row, errors AS validation_errors FROM checked_property"),
     "split_valid_invalid": _with(

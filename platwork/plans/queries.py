@@ -92,7 +92,7 @@ def _permits(t: Tables) -> DataFrame:
 
 
 def _valid_permits(t: Tables) -> DataFrame:
-    return validate.validate_permits(_permits(t), AS_OF)
+    return validate.validate_permits(clean.clean_permits(t.view("fx_permit_raw"), AS_OF, report=True), AS_OF)
 
 
 def _property(t: Tables) -> DataFrame:
@@ -166,6 +166,22 @@ def _clean_permits(t: Tables) -> DataFrame:
     return _day(_permits(t), "issue_date")
 
 
+@register("clean_permits_typed")
+def _clean_permits_typed(t: Tables) -> DataFrame:
+    return _day(clean.clean_permits(t.view("fx_permit_typed"), AS_OF), "issue_date")
+
+
+@register("clean_property_typed")
+def _clean_property_typed(t: Tables) -> DataFrame:
+    return clean.clean_property(t.view("fx_property_typed"))
+
+
+@register("parse_date_layouts")
+def _parse_date_layouts(t: Tables) -> DataFrame:
+    parsed = F.date_format(fn.parse_date("text", AS_OF), "yyyy-MM-dd HH:mm:ss")
+    return t.view("fx_date_text").select("src_row", parsed.alias("result"))
+
+
 @register("clean_property")
 def _clean_property(t: Tables) -> DataFrame:
     return _property(t)

@@ -100,6 +100,26 @@ SELECT 'C' || CAST(o_custkey + o_orderkey % 3 AS STRING) AS category, o_orderpri
        CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'note ' || CAST(o_orderkey AS STRING) END AS description,
        o_orderkey AS seq
 FROM {orders}
+""",
+    # Feeds from tables: money and dates with types of their own, values over 10^7 and below 0.
+    "fx_permit_typed": """
+SELECT o.o_orderkey AS src_row, CAST(o.o_totalprice AS DOUBLE) * CASE o.o_orderkey % 5 WHEN 0 THEN 1000 WHEN 1 THEN -1 ELSE 1 END AS valuation,
+       CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE CAST(o.o_orderdate AS TIMESTAMP) END AS issue_date
+FROM {orders} o
+""",
+    "fx_property_typed": """
+SELECT c.c_custkey AS src_row, CASE WHEN c.c_custkey % 7 = 0 THEN NULL ELSE c.c_custkey * 10000000 - 25000000 END AS value FROM {customer} c
+""",
+    # Every date layout, by turns.
+    "fx_date_text": """
+SELECT src_row,
+       CASE src_row % 16 WHEN 0 THEN m || '/' || d || '/' || y WHEN 1 THEN y || '-' || m || '-' || d WHEN 2 THEN y || '-' || m || '-' || d || 'T10:20:30'
+            WHEN 3 THEN y || '-' || m || '-' || d || ' 10:20:30.123' WHEN 4 THEN m || '/' || d || '/' || y || ' 3:05 PM'
+            WHEN 5 THEN m || '/' || d || '/' || y || ' 13:05:09' WHEN 6 THEN y || '/' || m || '/' || d WHEN 7 THEN m || '-' || d || '-' || y
+            WHEN 8 THEN y || m || d WHEN 9 THEN d || '-Mar-' || y WHEN 10 THEN 'JAN ' || d || ', ' || y WHEN 11 THEN m || '/' || d || '/' || substring(y, 3, 2)
+            WHEN 12 THEN ' ' || y || '-' || m || '-' || d || ' 10:20 ' WHEN 13 THEN '13/45/' || y WHEN 14 THEN m || '/' || d || '/' || y || ' 9:07:01 am' ELSE 'soon' END AS text
+FROM (SELECT o.o_orderkey AS src_row, CAST(year(o.o_orderdate) AS STRING) AS y, lpad(CAST(month(o.o_orderdate) AS STRING), 2, '0') AS m,
+             lpad(CAST(day(o.o_orderdate) AS STRING), 2, '0') AS d FROM {orders} o)
 """,
     # As fx_parcel and the permits' addresses, but with many parcels on each street number.
     "fx_parcel_dense": """

@@ -49,7 +49,7 @@ def process_feed(
     extra = [c for c in ("source_file", RECORD) if c in df.columns]
     shaped = map_columns(df, {**mapping, **{c: c for c in extra}}) if mapping else clean_column_names(df)
     if import_type == PERMIT:
-        return validate_permits(clean_permits(shaped, as_of), as_of)
+        return validate_permits(clean_permits(shaped, as_of, report=True), as_of)
     if import_type == PROPERTY:
         return validate_property(clean_property(shaped))
     raise ValueError(f"Unsupported import type: {import_type}")

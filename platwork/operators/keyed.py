@@ -27,13 +27,13 @@ def settings_rows(settings: DataFrame, order: str) -> DataFrame:
     return settings.groupBy(*KEY).agg(last).select(*KEY, "s.value", "s.description")
 
 
-def settings_map(settings: DataFrame, order: str, category: str | None = None) -> DataFrame:
-    """Per category, a map from name to (value, description), names in order.
+def settings_map(settings: DataFrame, order: str, requests: DataFrame) -> DataFrame:
+    """The map from name to (value, description) of each requested ``category``, names in order.
 
-    A map is one value of one row; tables whose categories hold more names than a row should
-    carry are read as rows with :func:`settings_rows`, which has the same content.
+    A map is one value of one row, so it is made for categories that are asked for; whole tables
+    are read as rows with :func:`settings_rows`, which has the same content.
     """
-    rows = settings_rows(category_filter(settings, category), order)
+    rows = settings_rows(settings.join(requests.select("category").distinct(), "category", "left_semi"), order)
     entries = F.array_sort(F.collect_list(F.struct("name", F.struct("value", "description").alias("setting"))))
     return rows.groupBy("category").agg(F.map_from_entries(entries).alias("settings"))
 
@@ -59,9 +59,13 @@ def upsert_keyed(settings: DataFrame, updates: DataFrame, order: str) -> DataFra
     )
 
 
-def insert_if_absent(settings: DataFrame, additions: DataFrame) -> DataFrame:
-    """The next version of the table: keys not present yet are added with a standard description."""
-    new = additions.join(settings, KEY, "left_anti").select(
+def insert_if_absent(settings: DataFrame, additions: DataFrame, order: str) -> DataFrame:
+    """The next version of the table: keys not present yet are added with a standard description.
+
+    Of several additions of one key the first by ``order`` counts.
+    """
+    firsts = additions.groupBy(*KEY).agg(F.min_by("value", order).alias("value"))
+    new = firsts.join(settings, KEY, "left_anti").select(
         *KEY, "value", F.concat(F.col("category"), F.lit(" - "), F.col("name"), F.lit(" setting")).alias("description")
     )
     return settings.select(*KEY, "value", "description").unionByName(new)

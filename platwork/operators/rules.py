@@ -1,7 +1,7 @@
 """Validation and transformation rules held as data, compiled to column expressions.
 
-Rule tables are metadata: they are read once, with a checked size, and become part of the plan;
-the records they apply to never leave the executors.
+Rule tables are metadata, written by people: they are read once and become part of the plan; the
+records they apply to never leave the executors.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from platwork.operators.clean import blank
 from platwork.operators.shape import field
 from platwork.operators.validate import append_errors
 
-MAX_RULES = 10_000
-
 Rules = DataFrame | Iterable[Mapping[str, Any]]
 
 
@@ -26,9 +24,7 @@ def read_rules(rules: Rules, import_type: str, order: list[str]) -> list[dict[st
     """Active rules of an import type in ``order``."""
     if isinstance(rules, DataFrame):
         active = rules.filter((F.col("ImportType") == import_type) & F.col("IsActive").cast("boolean"))
-        rows = [r.asDict() for r in active.limit(MAX_RULES + 1).collect()]
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"More than {MAX_RULES} active rules for {import_type}")
+        rows = [r.asDict() for r in active.toLocalIterator()]
     else:
         rows = [dict(r) for r in rules if r["ImportType"] == import_type and r.get("IsActive", True)]
     return sorted(rows, key=lambda r: tuple(r[c] for c in order))

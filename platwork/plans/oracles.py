@@ -531,9 +531,9 @@ ORACLES: dict[str, str] = {
         "FROM fx_setting_update) WHERE rn = 1",
     ),
     "settings_map": _with(
-        ["fx_settings"], [],
+        ["fx_settings", "fx_setting_update"], [],
         "SELECT category, '{' || string_agg('\"' || name || '\":{\"value\":\"' || value || '\",\"description\":\"' || description || '\"}', ',' ORDER BY name) "
-        "|| '}' AS settings FROM fx_settings GROUP BY category",
+        "|| '}' AS settings FROM fx_settings WHERE category IN (SELECT category FROM fx_setting_update) GROUP BY category",
     ),
     "upsert_keyed": _with(
         ["fx_settings", "fx_setting_update"],
@@ -552,8 +552,8 @@ ORACLES: dict[str, str] = {
     "insert_if_absent": _with(
         ["fx_settings", "fx_setting_update"], [],
         "SELECT category, name, value, description FROM fx_settings UNION ALL "
-        "SELECT DISTINCT u.category, u.name, '0', u.category || ' - ' || u.name || ' setting' FROM fx_setting_update u "
-        "WHERE NOT EXISTS (SELECT 1 FROM fx_settings s WHERE s.category = u.category AND s.name = u.name)",
+        "SELECT u.category, u.name, arg_min(u.value, u.seq), u.category || ' - ' || u.name || ' setting' FROM fx_setting_update u "
+        "WHERE NOT EXISTS (SELECT 1 FROM fx_settings s WHERE s.category = u.category AND s.name = u.name) GROUP BY u.category, u.name",
     ),
     "sql_query": _with(
         [FX_P], [], 'SELECT src_row, "Status" AS status FROM fx_permit_raw WHERE "Status" = \'o\' OR "Description" LIKE \'%Remodel%\''
@@ -594,6 +594,20 @@ ORACLES: dict[str, str] = {
         "nullif(regexp_replace(validation_errors, '; $', ''), '') AS LoggedError FROM attached",
         recursive=True,
     ),
+    **{
+        f"run_import_{kind}": _with(
+            views, ctes,
+            f"SELECT src_row, {name}, nullif(parcel_id, '') AS ParcelNumber, " + STATUS.replace("errors", "validation_errors")
+            + " AS ValidationStatus, nullif(validation_errors, '') AS ValidationMessage, "
+            "nullif(regexp_replace(validation_errors, '; $', ''), '') AS LoggedError, "
+            "(SELECT count(*) FROM attached) AS RecordsTotal, (SELECT count(*) FROM attached WHERE validation_errors <> '') AS RecordsFailed FROM attached",
+            recursive=True,
+        )
+        for kind, views, ctes, name in (
+            ("permits", [FX_P, FX_L], ATTACHED, "permit_number AS PermitNumber"),
+            ("property", [FX_A, FX_L], ATTACHED_PROPERTY, "account_number AS TaxpayerID"),
+        )
+    },
     "import_permits": _with(
         [FX_P, FX_L], ATTACHED,
         f"SELECT src_row, permit_number, {_iso('issue_date')} AS issue_date, address, parcel_id, validation_errors FROM attached", recursive=True,

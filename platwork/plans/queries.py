@@ -425,8 +425,7 @@ def _settings_rows(t: Tables) -> DataFrame:
 
 @register("settings_map")
 def _settings_map(t: Tables) -> DataFrame:
-    # Names per category are the order priorities, so a map stays small however many categories.
-    return keyed.settings_map(t.view("fx_settings"), "seq").select("category", F.to_json("settings").alias("settings"))
+    return keyed.settings_map(t.view("fx_settings"), "seq", t.view("fx_setting_update")).select("category", F.to_json("settings").alias("settings"))
 
 
 @register("upsert_keyed")
@@ -436,8 +435,7 @@ def _upsert(t: Tables) -> DataFrame:
 
 @register("insert_if_absent")
 def _insert(t: Tables) -> DataFrame:
-    new = t.view("fx_setting_update").select("category", "name", F.lit("0").alias("value")).distinct()
-    return keyed.insert_if_absent(_settings(t), new)
+    return keyed.insert_if_absent(_settings(t), t.view("fx_setting_update"), "seq")
 
 
 # Sources, sinks and streams: the feed is written to the shared folder first and read back.
@@ -484,7 +482,8 @@ def _skip_rows(t: Tables) -> DataFrame:
 @register("write_feed")
 def _write_feed(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "cleaned") + ".parquet"
-    sinks.write_feed(_valid_permits(t), path)
+    if not sinks.write_feed(_valid_permits(t), path):
+        raise OSError(f"Could not write {path}")
     return t.spark.read.parquet(path).select("src_row", "permit_number", "valuation", "validation_errors")
 
 
@@ -534,7 +533,7 @@ def _stage_stream(t: Tables) -> DataFrame:
     raw.repartition(4, watch.RECORD).write.options(header=True, **sinks.CSV_WRITE).csv(folder)
     rows = watch.stream_watch_folder(t.spark, folder, raw.columns)
     rows = rows.withColumn(watch.RECORD, F.col(watch.RECORD).cast("bigint"))
-    query = watch.stream_match_and_stage(rows, lambda: _parcels(t), watch.PERMIT, out, errors, state, AS_OF, first_job_id=1)
+    query = watch.stream_match_and_stage(rows, lambda: _parcels(t), watch.PERMIT, out, errors, state, AS_OF)
     query.awaitTermination()
     staged = sinks.read_staging(t.spark, out)
     logged = t.spark.read.parquet(errors).select(F.col("RecordIndex").alias("PermitStagingID"), F.col("ErrorMessage").alias("LoggedError"))
@@ -557,6 +556,29 @@ def _import_property(t: Tables) -> DataFrame:
     return done.select("src_row", "account_number", "owner_name", "property_type", "value", "parcel_id", "validation_errors")
 
 
+def _run_rows(run: imports.ImportRun, number: str, name: str, parcel: str = "ParcelNumber") -> DataFrame:
+    """Every staged record with its logged error and the totals of its job."""
+    logged = run.errors.select(F.col("RecordIndex").alias(number), F.col("ErrorMessage").alias("LoggedError"))
+    totals = F.broadcast(run.job.select("ImportJobID", "RecordsTotal", "RecordsFailed"))
+    return run.staging.join(logged, number, "left").join(totals, "ImportJobID").select(
+        F.col(number).alias("src_row"), name, parcel, "ValidationStatus", "ValidationMessage", "LoggedError", "RecordsTotal", "RecordsFailed"
+    )
+
+
+@register("run_import_permits")
+def _run_permits(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "run")
+    run = imports.run_import(t.view("fx_permit_raw"), "Permit", JOB, "permits.csv", folder, AS_OF, _parcels(t), PERMIT_MAP)
+    return _run_rows(run, "PermitStagingID", "PermitNumber")
+
+
+@register("run_import_property")
+def _run_property(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "run")
+    run = imports.run_import(t.view("fx_property_raw"), "PersonalProperty", JOB, "property.csv", folder, AS_OF, _parcels(t))
+    return _run_rows(run, "PersonalPropertyStagingID", "TaxpayerID")
+
+
 @register("permit_type_report")
 def permit_type_report(t: Tables) -> DataFrame:
     return imports.permit_type_report(imports.import_permits(t.view("fx_permit_raw"), AS_OF, _parcels(t)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from platwork.operators.clean import clean_permits, clean_property
-from platwork.operators.jobs import log_import_errors, permit_staging_rows, property_staging_rows
+from platwork.operators.jobs import log_import, log_import_errors, permit_staging_rows, property_staging_rows
 from platwork.operators.match import attach_best_parcel, attach_best_parcel_property
 from platwork.operators.shape import clean_column_names, map_columns
 from platwork.operators.validate import validate_permits, validate_property
+from platwork.session import stored
 from platwork.sources.feeds import CSV_OPTIONS, null_tokens, text_schema
 
 RECORD = "record_id"
@@ -63,8 +65,10 @@ def stage_batch(
     staging_path: str,
     error_path: str,
     as_of: Column | datetime | str,
+    job_path: str | None = None,
 ) -> None:
-    """Match one batch and write its staging and error rows, in folders of its own job id.
+    """Match one batch and write its staging, error and (with ``job_path``) job rows, in folders of
+    its own job id.
 
     Writing the same batch again replaces those folders, so a retried batch adds nothing twice.
     The matched batch is written once and the errors are derived from what was written.
@@ -74,7 +78,7 @@ def stage_batch(
         else (attach_best_parcel_property, property_staging_rows)
     )
     matched = attach(processed, parcels)
-    staged = f"{staging_path.rstrip('/')}/import_job_id={job_id}"
+    staged = f"{staging_path.rstrip('/')}/import_job_id={job_id}/load_id=1"
     key = F.col(RECORD) if RECORD in processed.columns else None
     rows(matched, job_id, as_of, row_id=key).drop("ImportJobID").write.mode("overwrite").parquet(staged)
     spark = processed.sparkSession
@@ -85,6 +89,16 @@ def stage_batch(
     )
     errors = log_import_errors(written, job_id, as_of).withColumn("RecordData", F.get_json_object("RecordData", "$.record"))
     errors.drop("ImportJobID").write.mode("overwrite").parquet(f"{error_path.rstrip('/')}/import_job_id={job_id}")
+    if job_path:
+        job = log_import(written, import_type, "stream", job_id, as_of)
+        job.drop("ImportJobID").write.mode("overwrite").parquet(f"{job_path.rstrip('/')}/import_job_id={job_id}")
+
+
+def batch_job_id(query_id: str, batch_id: int) -> int:
+    """The import job of a micro-batch. The query id lives in the checkpoint: a retried batch keeps
+    its job, and a stream with a new checkpoint cannot meet the jobs of an earlier one."""
+    digest = hashlib.sha256(f"{query_id}/{batch_id}".encode()).digest()
+    return int.from_bytes(digest[:8], "big") >> 1
 
 
 def stream_match_and_stage(
@@ -96,18 +110,21 @@ def stream_match_and_stage(
     checkpoint: str,
     as_of: Column | datetime | str,
     mapping: dict[str, str] | None = None,
-    first_job_id: int = 0,
+    job_path: str | None = None,
 ) -> StreamingQuery:
     """Process all files waiting in the watched folder, then stop; run again for later files.
 
-    Each micro-batch is one import job, numbered ``first_job_id + batch id``; ``parcels`` may be a
-    function, so that a long-running stream sees the current parcel table.
+    Each micro-batch is one import job with the number of :func:`batch_job_id`; ``parcels`` may be
+    a function, so that a long-running stream sees the current parcel table. A batch is cleaned
+    once, into a table that matching and staging read.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         current = parcels() if callable(parcels) else parcels
-        processed = process_feed(batch, import_type, as_of, mapping)
-        stage_batch(processed, current, import_type, first_job_id + batch_id, staging_path, error_path, as_of)
+        processed = stored(process_feed(batch, import_type, as_of, mapping), "batch")
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        job_id = batch_job_id(query_id, batch_id)
+        stage_batch(processed, current, import_type, job_id, staging_path, error_path, as_of, job_path)
 
     return (
         rows.writeStream.foreachBatch(handle)

@@ -282,9 +282,9 @@ def test_profile_and_sample(spark):
 def test_settings(spark):
     schema = "category string, name string, value string, description string, seq int"
     table = spark.createDataFrame([("Db", "Server", "a", "d1", 1), ("Db", "Port", "1", None, 2), ("Ui", "Theme", "light", "", 3)], schema)
-    maps = {r.category: r for r in keyed.settings_map(table, "seq").select("*", F.map_keys("settings").alias("names")).collect()}
+    maps = {r.category: r for r in keyed.settings_map(table, "seq", table).select("*", F.map_keys("settings").alias("names")).collect()}
     assert maps["Db"].names == ["Port", "Server"] and maps["Db"].settings["Server"].value == "a"
-    assert [r.category for r in keyed.settings_map(table, "seq", "Ui").collect()] == ["Ui"]
+    assert [r.category for r in keyed.settings_map(table, "seq", table.filter("category = 'Ui'")).collect()] == ["Ui"]
     updates = spark.createDataFrame(
         [("Db", "Server", "b", "", 1), ("Db", "Server", "c", None, 2), ("Db", "Port", "2", "the port", 3), ("New", "K", "v", None, 4), ("New", "K", "w", "late", 5), ("New", "L", "v", "", 6)],
         schema,
@@ -295,9 +295,11 @@ def test_settings(spark):
         ("Db", "Server"): ("c", "d1"), ("Db", "Port"): ("2", "the port"), ("Ui", "Theme"): ("light", ""),
         ("New", "K"): ("w", "late"), ("New", "L"): ("v", "New - L"),
     }
-    added = keyed.insert_if_absent(base, updates.select("category", "name", "value").filter("name in ('L', 'Port')"))
+    added = keyed.insert_if_absent(base, updates.filter("name in ('L', 'Port')"), "seq")
     assert {(r.category, r.name): (r.value, r.description) for r in added.collect()}[("New", "L")] == ("v", "New - L setting")
-    assert added.count() == 4 and keyed.insert_if_absent(added, added.select("category", "name", "value")).count() == 4
+    assert added.count() == 4 and keyed.insert_if_absent(added, added, "value").count() == 4
+    twice = keyed.insert_if_absent(base, updates.filter("name = 'K'"), "seq")
+    assert [(r.name, r.value) for r in twice.filter("category = 'New'").collect()] == [("K", "v")]
     counts = {(r.category, r.name): r.n for r in keyed.existing_key_count(base, updates).collect()}
     assert counts[("Db", "Port")] == 1 and counts[("New", "L")] == 0
 

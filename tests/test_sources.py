@@ -138,6 +138,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_staging(rows.withColumn("ImportJobID", F.lit(4)), str(tmp_path / "s"))
     sinks.write_staging(rows, str(tmp_path / "s"))
     assert sorted(r.ImportJobID for r in sinks.read_staging(spark, str(tmp_path / "s")).collect()) == [3, 3, 4, 4]
+    sinks.write_staging(rows.limit(1), str(tmp_path / "s"), load_id="second file")
+    assert sorted(r.ImportJobID for r in sinks.read_staging(spark, str(tmp_path / "s")).collect()) == [3, 3, 3, 4, 4]
 
 
 def test_stream_equals_batch_and_archives(spark, folder, tmp_path):
@@ -151,7 +153,7 @@ def test_stream_equals_batch_and_archives(spark, folder, tmp_path):
         rows = watch.stream_watch_folder(spark, str(inbox), raw.columns, archive=str(archive))
         rows = rows.withColumn(watch.RECORD, F.col(watch.RECORD).cast("bigint"))
         query = watch.stream_match_and_stage(
-            rows, parcels, watch.PERMIT, str(tmp_path / "staged"), str(tmp_path / "errors"), str(tmp_path / "state"), AS_OF, first_job_id=10
+            rows, parcels, watch.PERMIT, str(tmp_path / "staged"), str(tmp_path / "errors"), str(tmp_path / "state"), AS_OF, job_path=str(tmp_path / "jobs")
         )
         query.awaitTermination()
 
@@ -160,8 +162,11 @@ def test_stream_equals_batch_and_archives(spark, folder, tmp_path):
     run()
     staged = sinks.read_staging(spark, str(tmp_path / "staged"))
     assert staged.select("ImportJobID").distinct().count() == 2
+    logged = {r.import_job_id: r.RecordsTotal for r in spark.read.parquet(str(tmp_path / "jobs")).collect()}
+    assert logged == {r.ImportJobID: r["count"] for r in staged.groupBy("ImportJobID").count().collect()}
+    assert watch.batch_job_id("a", 0) == watch.batch_job_id("a", 0) != watch.batch_job_id("b", 0)
     columns = ["PermitStagingID", "PermitNumber", "ParcelNumber", "ValidationStatus", "ValidationMessage"]
-    batch = match.attach_best_parcel(validate.validate_permits(clean.clean_permits(raw, AS_OF), AS_OF), parcels)
+    batch = match.attach_best_parcel(validate.validate_permits(clean.clean_permits(raw, AS_OF, report=True), AS_OF), parcels)
     want = jobs.permit_staging_rows(batch, 1, AS_OF, row_id=F.col(watch.RECORD)).select(*columns)
     # An empty cell cannot be told from a missing one in delimited text.
     blank = F.nullif(F.col("PermitNumber"), F.lit("")).alias("PermitNumber")

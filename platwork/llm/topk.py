@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from platwork.llm.common import stored, table
 
-BLOCK = 2048
+BLOCK = 4096
 QUERIES = 64
 FIRST_DEPTH = 8
 
@@ -31,28 +31,38 @@ def threshold_top(query: np.ndarray, rows: np.ndarray, order: np.ndarray, ids: n
     ``rows`` is n x d, ``order`` d x n: positions by ascending component.
     """
     n = len(rows)
-    used = np.flatnonzero(query)
-    if not len(used):
-        best = np.lexsort((ids,))
+    rising, falling = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+    if not len(rising) + len(falling):
+        best = np.argsort(ids, kind="stable")
         return [int(i) for i in best if i != skip][:k], 0
-    lists = np.where((query[used] > 0)[:, None], order[used][:, ::-1], order[used])
-    met = np.zeros(n, bool)
+    # A row is new until some list has shown it.
+    new, met = np.zeros(n, bool), np.zeros(n, bool)
     if skip >= 0:
         met[skip] = True
     top, scores = np.empty(0, np.int64), np.empty(0)
-    depth, further = 0, FIRST_DEPTH
+    depth, further = 0, max(FIRST_DEPTH, n // 32)
     while depth < n:
         end = min(n, further)
-        new = np.unique(lists[:, depth:end])
-        new = new[~met[new]]
-        met[new] = True
-        top, scores = np.r_[top, new], np.r_[scores, rows[new] @ query]
+        new[order[rising, depth:end]] = True
+        new[order[falling, n - end : n - depth]] = True
+        new &= ~met
+        fresh = np.flatnonzero(new)
+        met |= new
+        # Many new rows are scored where they lie; a copy of them would cost more.
+        found = rows[fresh] @ query if 4 * len(fresh) < n else (rows @ query)[fresh]
+        if len(top) == k:
+            better = found >= scores[-1]
+            fresh, found = fresh[better], found[better]
+        elif len(fresh) > 4 * k:
+            better = found >= np.partition(found, len(found) - k)[len(found) - k]
+            fresh, found = fresh[better], found[better]
+        top, scores = np.r_[top, fresh], np.r_[scores, found]
         best = np.lexsort((ids[top], -scores))[:k]
         top, scores = top[best], scores[best]
         depth, further = end, 2 * end
-        bound = float(rows[lists[:, end - 1], used] @ query[used])
+        bound = rows[order[rising, end - 1], rising] @ query[rising] + rows[order[falling, n - end], falling] @ query[falling]
         # A row of the same score but a smaller id could still come: stop below, not at, the bound.
-        if len(top) == k and bound < scores[-1]:
+        if len(top) == k and bound < scores[-1] or met.all():
             break
     return top.tolist(), depth
 
@@ -122,6 +132,9 @@ def top_k(
                     parts[d] = ids, {n: j for j, n in enumerate(numbers.tolist())}, rows, np.frombuffer(r["lists"], np.int32).reshape(d, len(ids))
                 elif d in parts:
                     have, places, own, order = parts[d]
+                    # Whole numbers this small are summed exactly in 32-bit floats too.
+                    if d and np.abs(own).max() * np.abs(rows).max() * d < 1 << 24:
+                        own, rows = own.astype(np.float32), rows.astype(np.float32)
                     out = []
                     for q, number, x in zip(ids.tolist(), numbers.tolist(), rows):
                         best, _ = threshold_top(x, own, order, have, places.get(number, -1), k)

@@ -7,7 +7,7 @@ class with too few of them is done. Classes are indexed under the first shingles
 rarest first, as many as the threshold asks for (prefix filter).
 
 An index list is cut into blocks by set size; a probe opens only the blocks whose sizes can reach
-the threshold, and passes over postings whose positions leave too little room (index skipping).
+the threshold, and passes over postings with too few shared tokens from there on (index skipping).
 The answers of a class are derived from those of classes similar to it (answer skipping): each block
 first compares its members with one of them, links found join classes into groups, and from then on
 only classes of different groups are compared, every member of a list's smaller groups with all the
@@ -118,10 +118,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(class, n, prefix array of (token, at), shared): the classes that can have a partner.
+    """(class, n, prefix array of (token, left), shared): the classes that can have a partner.
 
     ``shared`` holds the set's tokens (48 bits) that other classes have too, sorted. ``prefix`` are
-    the indexed ones with their position in the set, the rarest first.
+    the indexed ones, the rarest first, with the number of shared tokens from that one on.
     """
     rows = _texts(docs)
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -210,14 +210,14 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
                 continue
             # The n - own tokens of no other class come first in the order and are not indexed.
             indexed = tokens[a : a + own - least + 1].astype(np.int64).tolist()
-            prefix = [{"token": t, "at": n - own + i} for i, t in enumerate(indexed)]
+            prefix = [{"token": t, "left": own - i} for i, t in enumerate(indexed)]
             out.append((int(classes[a]), n, prefix, _packed(np.sort(tokens[a:b]))))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64())])), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("left", pa.int64())])), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], names=["class", "n", "prefix", "shared"])
 
     sent = rows.mapInArrow(scatter, "bucket int, classes binary, sizes binary, counts binary, tokens binary")
     counted = sent.groupBy("bucket").applyInArrow(count, "spot int, classes binary, sizes binary, counts binary, tokens binary, df binary")
-    return counted.groupBy("spot").applyInArrow(assemble, "class long, n long, prefix array<struct<token:long,at:long>>, shared binary")
+    return counted.groupBy("spot").applyInArrow(assemble, "class long, n long, prefix array<struct<token:long,left:long>>, shared binary")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -226,10 +226,13 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _can_link(x: str, y: str, percent: int) -> Column:
-    """Sizes and positions of two postings of one token leave room for a link."""
-    n, m, i, j = (F.col(c) for c in (f"n{x}", f"n{y}", f"at{x}", f"at{y}"))
-    room = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= _needed(n, m, percent))
+    """Two postings of one token leave room for a link if it is the first token they share.
+
+    Every pair that links meets at its first common token, and there all tokens it shares lie from
+    that one on: ``left`` counts them in each set, those of no other class left out.
+    """
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.least(f"left{x}", f"left{y}") >= _needed(n, m, percent))
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,30 +265,31 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["x", "y"])
 
     first = pairs.join(sets.select(F.col("class").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx")), "x")
-    other = sets.select(F.col("class").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
-    both = salted_join(first, other, ["y"], pairs.groupBy("y").agg(F.count("*").alias("times")), "times")
+    both = first.join(sets.select(F.col("class").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy")), "y")
     return both.select("x", "nx", "sx", "y", "ny", "sy").mapInArrow(run, "x long, y long")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(class, comp): every class on an edge with the smallest class that it is connected to.
 
     Each round takes the smallest label among the neighbours and then that label's own label, so
-    the number of rounds grows with the logarithm of the longest path.
+    the number of rounds grows with the logarithm of the longest path. After ``rounds`` rounds, if
+    given, labels may still differ within a group, but never agree across groups.
+
+    Both joins read stored tables: a small one is broadcast by its size, and in larger ones the
+    adaptive join splits classes with very many neighbours or members.
     """
-    ways = stored(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    degrees = stored(ways.groupBy("x").agg(F.count("*").alias("times"), F.min("y").alias("least")), "degrees")
-    labels = stored(degrees.select(F.col("x").alias("class"), F.least("x", "least").alias("comp")), "labels")
+    ways = stored(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
+    labels = stored(ways.groupBy(F.col("x").alias("class")).agg(F.least("x", F.min("y")).alias("comp")), "labels")
+    done = 0
     while True:
-        known = labels.select(F.col("class").alias("x"), "comp")
-        sent = salted_join(ways, known, ["x"], degrees.select("x", "times"), "times")
-        lower = sent.groupBy(F.col("y").alias("class")).agg(F.min("comp").alias("near"))
-        stepped = stored(labels.join(lower, "class").select("class", F.col("comp").alias("old"), F.least("comp", "near").alias("via")), "stepped")
-        sizes = stepped.groupBy("via").agg(F.count("*").alias("times"))
-        jumped = salted_join(stepped, stepped.select(F.col("class").alias("via"), F.col("via").alias("comp")), ["via"], sizes, "times")
+        sent = ways.join(labels.select(F.col("class").alias("x"), "comp"), "x").select(F.col("y").alias("class"), "comp", F.lit(None).cast("long").alias("old"))
+        own = labels.select("class", "comp", F.col("comp").alias("old"))
+        stepped = stored(own.unionByName(sent).groupBy("class").agg(F.min("comp").alias("via"), F.max("old").alias("old")), "stepped")
+        jumped = stepped.join(stepped.select(F.col("class").alias("via"), F.col("via").alias("comp")), "via")
         after = stored(jumped.select("class", "old", "comp"), "labels")
-        labels = after.select("class", "comp")
-        if after.filter("old <> comp").isEmpty():
+        labels, done = after.select("class", "comp"), done + 1
+        if done == rounds or after.filter("old <> comp").isEmpty():
             return labels
 
 
@@ -294,7 +298,7 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     # Blocks of sizes: two sets that link lie in one block or in neighbouring ones.
     band = F.floor(F.log("n") / F.lit(log(100 / percent))) if percent < 100 else F.col("n")
     postings = stored(
-        sets.select("class", "n", F.explode("prefix").alias("p")).select("class", "n", band.cast("int").alias("band"), "p.token", "p.at"), "postings"
+        sets.select("class", "n", F.explode("prefix").alias("p")).select("class", "n", band.cast("int").alias("band"), "p.token", "p.left"), "postings"
     )
     edges = comps = None
     for number in range(STAR_ROUNDS + 1):
@@ -307,38 +311,31 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
         pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
         links = stored(verified_links(pairs, sets, percent), "links")
         edges = links if edges is None else edges.unionByName(links)
-        comps = connected(edges)
+        # Between the rounds labels only save comparisons; the last ones are the groups.
+        comps = connected(edges, 3 if number < STAR_ROUNDS else None)
     return comps
 
 
 def _star_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
     """Each posting of a block with the block's pivot and with that of the block of sizes just below."""
     choice = F.xxhash64("token", "class", F.lit(number))
-    pivots = labelled.groupBy("token", "band").agg(
-        F.min(F.struct(choice.alias("h"), "class", "n", "at", "comp")).alias("p"), F.count("*").alias("times")
-    )
-    pivots = stored(pivots.select("token", "band", "times", *(F.col(f"p.{c}").alias(f"{c}y") for c in ("class", "n", "at", "comp"))), "pivots")
-    times = pivots.select("token", "band", "times")
-    served = pivots.drop("times").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    members = labelled.withColumnsRenamed({"class": "classx", "n": "nx", "at": "atx", "comp": "compx"})
-    met = salted_join(members, served, ["token", "band"], times, "times")
+    pivots = labelled.groupBy("token", "band").agg(F.min(F.struct(choice.alias("h"), "class", "n", "left", "comp")).alias("p"))
+    pivots = stored(pivots.select("token", "band", *(F.col(f"p.{c}").alias(f"{c}y") for c in ("class", "n", "left", "comp"))), "pivots")
+    served = pivots.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    members = labelled.withColumnsRenamed({"class": "classx", "n": "nx", "left": "leftx", "comp": "compx"})
+    met = members.join(served, ["token", "band"])
     return met.filter((F.col("compx") != F.col("compy")) & _can_link("x", "y", percent)).select(F.col("classx").alias("x"), F.col("classy").alias("y"))
 
 
 def _remaining_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     """All postings of a list outside its largest group with all postings of other groups."""
     per = labelled.groupBy("token", "comp").agg(F.count("*").alias("times"))
-    lists = stored(
-        per.groupBy("token").agg(F.max_by("comp", F.struct("times", "comp")).alias("main"), F.count("*").alias("groups"), F.sum("times").alias("times")).filter("groups > 1"),
-        "lists",
-    )
-    counts = lists.select("token", "times")
-    mixed = stored(salted_join(labelled, lists.select("token", "main"), ["token"], counts, "times"), "mixed")
-    probes = mixed.filter("comp <> main").withColumnsRenamed({"class": "classy", "n": "ny", "at": "aty", "comp": "compy", "band": "bandy"}).drop("main")
-    probes = probes.withColumn("band", F.explode(F.array(F.col("bandy") - 1, "bandy", F.col("bandy") + 1))).drop("bandy")
-    members = mixed.withColumnsRenamed({"class": "classx", "n": "nx", "at": "atx", "comp": "compx"})
-    sizes = mixed.groupBy("token", "band").agg(F.count("*").alias("times"))
-    met = salted_join(members, probes, ["token", "band"], sizes, "times")
+    lists = per.groupBy("token").agg(F.max_by("comp", F.struct("times", "comp")).alias("main"), F.count("*").alias("groups"))
+    mixed = stored(labelled.join(stored(lists.filter("groups > 1").select("token", "main"), "lists"), "token"), "mixed")
+    probes = mixed.filter("comp <> main").withColumnsRenamed({"class": "classy", "n": "ny", "left": "lefty", "comp": "compy", "band": "bandy"}).drop("main")
+    probes = stored(probes.withColumn("band", F.explode(F.array(F.col("bandy") - 1, "bandy", F.col("bandy") + 1))).drop("bandy"), "probes")
+    members = mixed.withColumnsRenamed({"class": "classx", "n": "nx", "left": "leftx", "comp": "compx"})
+    met = members.join(probes, ["token", "band"])
     once = (F.col("compx") == F.col("main")) | (F.col("classx") < F.col("classy"))
     return met.filter((F.col("compx") != F.col("compy")) & once & _can_link("x", "y", percent)).select(F.col("classx").alias("x"), F.col("classy").alias("y"))
 
@@ -356,10 +353,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, bucket_b
     comps = linked_classes(sets, percent)
     classes = stored(held.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")), "classes")
     linked = classes.join(comps, "class", "left")
-    groups = linked.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("group_least"), F.count("*").alias("members"))
-    groups = stored(groups, "groups")
-    named = salted_join(linked, groups.drop("members"), ["comp"], groups.select("comp", "members"), "members", "left")
-    named = stored(named.filter("times > 1 OR group_least IS NOT NULL").select("class", F.coalesce("group_least", "least").alias("component"), "times"), "named")
+    groups = linked.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("group_least"))
+    named = linked.join(stored(groups, "groups"), "comp", "left").filter("times > 1 OR group_least IS NOT NULL")
+    named = stored(named.select("class", F.coalesce("group_least", "least").alias("component"), "times"), "named")
     out = salted_join(held, named.select("class", "component"), ["class"], named.select("class", "times"), "times", "left")
     return out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -567,6 +567,14 @@ ORACLES: dict[str, str] = {
         'SELECT CAST(src_row AS VARCHAR) AS src_row, "Permit Number" AS permit_number, nullif("Valuation", \'n/a\') AS valuation, '
         "'' AS validation_errors FROM fx_permit_raw",
     ),
+    "scan_csv_multiline": _with(
+        [FX_P], [], "SELECT src_row, \"Description\" || chr(10) || 'second \"line\", ' || \"Address\" AS note FROM fx_permit_raw"
+    ),
+    "scan_csv_ragged": _with(
+        [FX_P], [],
+        "SELECT src_row, CASE WHEN src_row % 5 = 0 THEN src_row || ',x,y' WHEN src_row % 7 = 0 THEN CAST(src_row AS VARCHAR) END AS line, "
+        "CASE WHEN src_row % 5 = 0 OR src_row % 7 = 0 THEN 'Ragged record; ' ELSE '' END AS validation_errors FROM fx_permit_raw",
+    ),
     "skip_rows": _with([FX_P], [], 'SELECT CAST(src_row AS VARCHAR) AS src_row, "Description" AS note FROM fx_permit_raw'),
     "write_feed": _with([FX_P], [PERMIT, CHECKED], "SELECT src_row, permit_number, valuation, errors AS validation_errors FROM checked"),
     "write_run_output": _with(

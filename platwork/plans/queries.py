@@ -459,6 +459,31 @@ def _scan_csv(t: Tables) -> DataFrame:
     return back.select("src_row", "Permit Number", "Valuation", "Address", "Parcel ID", "Description")
 
 
+@register("scan_csv_multiline")
+def _scan_multiline(t: Tables) -> DataFrame:
+    # Texts with line breaks, quotes and commas, written and read back.
+    path = shared_dir(t.spark, "breaks") + ".csv"
+    broken = F.concat("Description", F.lit('\nsecond "line", '), "Address")
+    if not sinks.write_feed(t.view("fx_permit_raw").select("src_row", broken.alias("note")), path):
+        raise OSError(f"Could not write {path}")
+    back = feeds.scan_csv(t.spark, path, multi_line=True)
+    return back.select(F.col("src_row").cast("bigint").alias("src_row"), "note")
+
+
+@register("scan_csv_ragged")
+def _scan_ragged(t: Tables) -> DataFrame:
+    # Every fifth record has a cell too many, every seventh one too few.
+    path = shared_dir(t.spark, "ragged")
+    cells = F.when(F.col("src_row") % 5 == 0, F.lit(",x,y")).when(F.col("src_row") % 7 == 0, F.lit("")).otherwise(F.lit(",x"))
+    lines = t.view("fx_permit_raw").select(F.concat(F.col("src_row").cast("string"), cells).alias("value"))
+    lines.selectExpr("value as `src_row,note`").write.options(header=True, quote="\u0000", escapeQuotes=False, sep="\u0001").csv(path)
+    back = feeds.scan_feed(t.spark, path, format_type="csv", ragged=feeds.RAGGED)
+    return back.select(
+        F.regexp_extract(F.coalesce(feeds.RAGGED, "src_row"), "^([0-9]+)", 1).cast("bigint").alias("src_row"),
+        F.col(feeds.RAGGED).alias("line"), "validation_errors",
+    )
+
+
 @register("scan_feed")
 def _scan_feed(t: Tables) -> DataFrame:
     return feeds.scan_feed(t.spark, _write_feed_files(t), columns_map=PERMIT_MAP).select("src_row", "permit_number", "valuation", "validation_errors")

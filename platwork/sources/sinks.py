@@ -36,7 +36,8 @@ def _flat(df: DataFrame) -> DataFrame:
 def write_feed(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """Write by extension: ``.csv`` or ``.parquet``; any other falls back to CSV with a warning.
 
-    The output is a folder of part files. True on success, False (logged) where Spark or the file
+    The output is a folder of part files. Texts with line breaks are kept; they are read back with
+    ``multi_line``. True on success, False (logged) where Spark or the file
     system refuses.
     """
     suffix = PurePosixPath(path).suffix.lower()

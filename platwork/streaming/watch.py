@@ -28,15 +28,18 @@ def stream_watch_folder(
     columns: list[str],
     archive: str | None = None,
     max_files: int = 1000,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Rows of every new CSV file in ``folder``, as text, with ``source_file``.
 
-    A file is read once per checkpoint. With ``archive`` processed files are moved there.
+    A file is read once per checkpoint. With ``archive`` processed files are moved there. As in
+    :func:`scan_csv`, ``multi_line`` allows line breaks in quoted values, and a record of another
+    number of cells than the header fails the batch.
     """
     reader = (
         spark.readStream.schema(text_schema(columns))
         .options(**CSV_OPTIONS)
-        .options(header=True, enforceSchema=False, maxFilesPerTrigger=max_files)
+        .options(header=True, enforceSchema=False, maxFilesPerTrigger=max_files, multiLine=multi_line, mode="FAILFAST", columnPruning=False)
     )
     if archive:
         reader = reader.options(cleanSource="archive", sourceArchiveDir=archive)

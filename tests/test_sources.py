@@ -55,6 +55,22 @@ def test_skip_rows(spark, tmp_path):
         feeds.scan_csv(spark, str(tmp_path), skip_rows=2)
 
 
+def test_ragged_records_are_never_cut_in_silence(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("id,note\n1,a,b,c\n2\n3,ok\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        feeds.scan_csv(spark, str(tmp_path / "r.csv")).collect()
+    kept = feeds.scan_feed(spark, str(tmp_path / "r.csv"), ragged="line", columns_map={"key": "id"}).collect()
+    assert sorted((r.line, r.validation_errors) for r in kept if r.line) == [("1,a,b,c", "Ragged record; "), ("2", "Ragged record; ")]
+    assert [(r.key, r.validation_errors) for r in kept if not r.line] == [("3", "")]
+    (tmp_path / "s.csv").write_text("title\nid,note\n1,a,b,c\n3,ok\n")
+    skipped = feeds.scan_csv(spark, str(tmp_path / "s.csv"), skip_rows=1, ragged="line").collect()
+    assert sorted((r.id, r.line) for r in skipped if not r.line) == [("3", None)] and len(skipped) == 2
+    broken = spark.createDataFrame([(1, 'one\ntwo, "three"'), (2, "x")], "id int, note string")
+    assert sinks.write_feed(broken, str(tmp_path / "b.csv"))
+    back = feeds.scan_csv(spark, str(tmp_path / "b.csv"), multi_line=True).collect()
+    assert sorted((r.id, r.note) for r in back) == [("1", 'one\ntwo, "three"'), ("2", "x")]
+
+
 def write_workbook(path, sheets):
     """A minimal workbook; cells are (kind, value) with kinds shared, inline, number, date, bool."""
     shared, parts = [], {}

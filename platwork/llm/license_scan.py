@@ -54,7 +54,8 @@ def heavy_terms(vector: Mapping[str, float], threshold: float) -> set[str]:
     """The heaviest terms of a unit vector without which its norm is below the threshold."""
     rest, out = sum(w * w for w in vector.values()), set()
     for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-        if rest < threshold * threshold - 1e-9:
+        # Scores are rounded to six digits, so a cosine just below the threshold may count.
+        if rest < (threshold - 1e-5) ** 2:
             break
         out.add(term)
         rest -= w * w

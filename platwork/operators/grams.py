@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platwork.session import stored
+
 # Gram lengths. A query uses the longest one that fits: at least half of it, up to the longest.
 GRAM_SIZES = (1, 2, 4, 8, 16, 32)
 
@@ -66,3 +68,45 @@ def gram_join(
     spread = texts.withColumn("_piece", F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int"))
     postings = spread.select(*columns, "_piece", F.explode(text_grams(F.col(text))).alias("_gram"))
     return postings.join(asked, keys).filter(verify(F.col(text))).drop("_gram", "_piece")
+
+
+# Gram lengths of the rarest-gram join; a word uses the longest one that fits it.
+RARE_SIZES = (1, 2, 4, 8)
+
+
+def _rare_size(text: Column) -> Column:
+    chain = F.when(F.length(text) >= RARE_SIZES[-1], RARE_SIZES[-1])
+    for size in reversed(RARE_SIZES[:-1]):
+        chain = chain.when(F.length(text) >= size, size)
+    return chain.otherwise(0)
+
+
+def _grams_of(text: Column, size: Column) -> Column:
+    """All grams of one length; none where the text is shorter."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def rare_gram_join(
+    queries: DataFrame, texts: DataFrame, words: Column, text: str, verify: Callable[[Column], Column]
+) -> DataFrame:
+    """As :func:`gram_join`, looking each query up by the rarest gram of all its ``words``.
+
+    ``words`` is an array of non-empty pieces that ``verify`` implies to be parts of the text. Grams
+    that any query asks for are counted over the texts first; a query is then joined under its
+    rarest one only, and only texts holding such a gram leave their task. Very common grams are
+    left to queries that have no rarer one, and split by the adaptive join. A query one of whose
+    grams occurs nowhere has no pairs.
+    """
+    grams = F.array_distinct(F.flatten(F.transform(words, lambda w: _grams_of(w, _rare_size(w)))))
+    asked = queries.select(*queries.columns, F.explode(grams).alias("_gram"))
+    wanted = asked.select("_gram").distinct()
+    sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in RARE_SIZES]))
+    postings = texts.filter(F.col(text).isNotNull()).select(*texts.columns, F.explode(F.array_distinct(sizes)).alias("_gram"))
+    counts = postings.select("_gram").join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarity = F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))
+    chosen = asked.join(counts, "_gram", "left").groupBy(*queries.columns).agg(F.min_by("_gram", rarity).alias("_gram"))
+    chosen = stored(chosen, "rarest-grams")
+    return postings.join(chosen, "_gram").filter(verify(F.col(text))).drop("_gram")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.functions import format_situs, normalize_parcel_number, upper_trim
-from platwork.operators.grams import gram_join
+from platwork.operators.grams import rare_gram_join
 from platwork.operators.match import first_per_key
 
 SEARCH_LIMIT = 10
@@ -30,8 +30,8 @@ def _first_containing(queries: DataFrame, texts: DataFrame, text: str, key: str,
     row = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
     known = texts.filter(F.col(text).isNotNull())
     narrow = known.select(*dict.fromkeys([order, key, text]))
-    pairs = gram_join(
-        queries.filter(F.col("query") != ""), narrow, F.col("query"), text, lambda t: F.contains(t, F.col("query"))
+    pairs = rare_gram_join(
+        queries.filter(F.col("query") != ""), narrow, F.array("query"), text, lambda t: F.contains(t, F.col("query"))
     )
     found = pairs.groupBy("query").agg(F.min(row).alias("hit"))
     overall = queries.filter(F.col("query") == "").withColumn("hit", known.agg(F.min(row)).scalar())
@@ -108,12 +108,13 @@ def parcel_search(
     literal = F.regexp_replace(asked, r"([\\%_])", r"\\$1")
     queries = queries.withColumn("_pattern", F.concat(F.lit("%"), F.replace(literal, F.lit(" "), F.lit("%")), F.lit("%")))
     words = F.filter(F.split(asked, " "), lambda w: w != "")
-    longest = F.try_element_at(F.array_sort(F.transform(words, lambda w: F.struct(-F.length(w), w.alias("w")))), F.lit(1))["w"]
     columns = ["pid", "street_number", "street_name", "city", "state", "zip_code", "full_address"]
     order = [F.col("street_number"), F.col("street_name"), F.col("pid")]
-    pairs = gram_join(
-        queries.filter(F.size(words) > 0), texts, longest, "_text", lambda text: F.like(text, F.col("_pattern"))
-    ).select("query", *columns)
+    # Only ids and what the order needs travel with the postings; the rest comes in for the rows shown.
+    narrow = texts.select("pid", "street_number", "street_name", "_text")
+    found = rare_gram_join(queries.filter(F.size(words) > 0), narrow, words, "_text", lambda text: F.like(text, F.col("_pattern")))
+    shown = first_per_key(found.select("query", "pid", "street_number", "street_name"), ["query"], order, limit)
+    pairs = shown.select("query", "pid").join(texts.drop("_text"), "pid").select("query", *columns)
     # A query without words matches every parcel; a constant number of rows answers it.
     head = texts.orderBy(*order).limit(limit).agg(F.collect_list(F.struct(*columns))).scalar()
     open_hits = (
@@ -121,7 +122,7 @@ def parcel_search(
         .select("query", F.explode(head).alias("c"))
         .select("query", *[F.col(f"c.{c}").alias(c) for c in columns])
     )
-    return first_per_key(pairs.unionByName(open_hits), ["query"], order, limit)
+    return pairs.unionByName(open_hits)
 
 
 def parcel_exact(requests: DataFrame, parcels: DataFrame, pid: str = "pid") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platwork.operators import clean, duplicates, jobs, keyed, lookup, match, paging, profile, rules, shape, validate
-from platwork.operators.grams import gram_join
+from platwork.operators.grams import gram_join, rare_gram_join
 from platwork.operators.skew import hot_keys, salted_join
 
 AS_OF = "2025-06-30 12:00:00"
@@ -129,6 +129,10 @@ def test_gram_join_against_brute_force(spark):
     assert sorted((r.q, r.i) for r in got) == sorted((x, i) for x in asked for i, body in enumerate(texts) if x in body)
 
 
+    rare = rare_gram_join(q, t, F.array("q"), "body", lambda c: F.contains(c, F.col("q"))).select("q", "i").collect()
+    assert sorted((r.q, r.i) for r in rare) == sorted((x, i) for x in asked for i, body in enumerate(texts) if x in body)
+
+
 @pytest.fixture(scope="module")
 def county(spark):
     rows = [

@@ -19,6 +19,8 @@ from platwork.llm.jaccard import near_duplicates
 from platwork.llm.packing import TOKENIZER, pack_documents, tokenizer_source
 from platwork.llm.quality import MIN_PROBABILITY, fit_on_sample, graded, grader
 
+# Near duplicates share 80 percent or more of their shingles of five words.
+WORDS, PERCENT = 5, 80
 # Fewer decisions than this (about 100 bytes each) are broadcast to the documents, more are joined.
 BROADCAST_ROWS = 100_000
 
@@ -58,7 +60,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by the similarity of their shingles the one with the smallest id."""
-    decided = near_duplicates(docs.select(_identity().alias("doc_id"), "text"))
+    decided = near_duplicates(docs.select(_identity().alias("doc_id"), "text"), WORDS, PERCENT)
     return _keep(docs, decided.select(F.col("doc_id").alias("id"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 

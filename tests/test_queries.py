@@ -12,6 +12,7 @@ from platwork.operators import match
 from platwork.plans.oracles import ORACLES
 from platwork.plans.queries import AS_OF, QUERIES, Tables
 from platwork.plans.imports import import_permits
+from platwork.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,11 @@ def test_no_cross_joins_and_no_python(spark, folder, name):
         assert bad not in plan
 
 
+def test_the_feed_is_read_once_for_the_texts_and_once_for_the_result(spark, folder):
+    # The distinct texts were written by the first read; the plan that is left reads the feed once.
+    assert plan_of(QUERIES["attach_best_parcel"](spark, folder)).count("/orders.parquet]") <= 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     orders = Tables(spark, folder).base("orders").withColumnsRenamed({"o_orderstatus": "status", "o_orderkey": "src_row"})
     plan = plan_of(orders.filter("status = 'F'").select("src_row"))
@@ -56,17 +62,29 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
 
 def test_rank_limit_runs_before_the_shuffle(spark, folder):
     parcels = match.parcel_dimension(Tables(spark, folder).view("fx_parcel"))
-    plan = plan_of(match.candidate_cap(parcels, ["street_number"]))
+    plan = plan_of(match.candidate_cap(parcels, ["street_number"], 100))
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_a_session_without_a_shared_folder_is_refused_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")
+
+
 def test_flow_without_parcels(spark, folder):
     raw = Tables(spark, folder).view("fx_permit_raw")
     assert "match_confidence" not in import_permits(raw, AS_OF).columns
 
 
 def test_bench_prints_one_json_line(folder):
-    code = "import bench, os; bench.HEADLINE = ('permit_import_stats',); bench.main()"
+    code = "import bench, os; bench.HEADLINE, bench.NUMBERED = ('permit_import_stats',), (); bench.main()"
     env = {"BENCH_SF_DIR": folder, "BENCH_CPUS": "2"}
     import os
 

@@ -17,7 +17,7 @@ def docs_of(spark, rows):
 
 
 def ids(df):
-    return sorted((r.doc_id for r in df.collect()), key=repr)
+    return sorted(r.doc_id for r in df.collect())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -10,8 +10,8 @@ An index list is cut into blocks by set size; a probe opens only the blocks whos
 the threshold, and passes over postings with too few shared tokens from there on (index skipping).
 The answers of a class are derived from those of classes similar to it (answer skipping): each block
 first compares its members with one of them, links found join classes into groups, and from then on
-only classes of different groups are compared, every member of a list's smaller groups with all the
-rest of the list. What is skipped is linked already, so the groups are the exact ones.
+only classes of different groups are compared: every member of a list's smaller groups visits the
+other groups of the list. What is skipped is linked already, so the groups are the exact ones.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from platwork.llm.common import LOWER_ASCII, raw_bytes, slices, stored, table
 from platwork.operators.skew import salted_join
 
-KNOWN_WORDS = 600_000
-FLUSH_TOKENS = 2_000_000
+KNOWN_WORDS = 300_000
+FLUSH_TOKENS = 1_500_000
 FLUSH_DOCS = 60_000
 BUCKET_BYTES = 24 << 20  # of text
 LEAST_BUCKETS = 8
 MASK = np.uint64((1 << 48) - 1)
 STAR_ROUNDS = 2
+# Sets per block of a visited group, and visitors per piece.
+BLOCK_SETS, PIECE_VISITORS = 256, 4096
 
 
 class Shingles(dict):
@@ -300,20 +302,20 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     postings = stored(
         sets.select("class", "n", F.explode("prefix").alias("p")).select("class", "n", band.cast("int").alias("band"), "p.token", "p.left"), "postings"
     )
-    edges = comps = None
-    for number in range(STAR_ROUNDS + 1):
-        labelled = postings.withColumn("comp", F.col("class"))
-        if comps is not None:
-            labelled = postings.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        labelled = stored(labelled, "labelled")
-        pairs = _star_pairs(labelled, number, percent) if number < STAR_ROUNDS else _remaining_pairs(labelled, percent)
+    labelled, edges, comps = postings.withColumn("comp", F.col("class")), None, None
+    for number in range(STAR_ROUNDS):
+        pairs = _star_pairs(labelled, number, percent)
         # Each pair once, whichever way round it was met.
         pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
         links = stored(verified_links(pairs, sets, percent), "links")
         edges = links if edges is None else edges.unionByName(links)
-        # Between the rounds labels only save comparisons; the last ones are the groups.
-        comps = connected(edges, 3 if number < STAR_ROUNDS else None)
-    return comps
+        # Labels between the rounds only save comparisons.
+        comps = connected(edges, 3)
+        labelled = stored(postings.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "labelled")
+    visits = stored(_remaining_visits(labelled, percent), "visits")
+    rest = stored(_visited_links(visits, sets, comps, percent), "links")
+    # A visitor may link with any member of a group, so the labels' own links count as well.
+    return connected(edges.unionByName(rest))
 
 
 def _star_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
@@ -327,17 +329,72 @@ def _star_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
     return met.filter((F.col("compx") != F.col("compy")) & _can_link("x", "y", percent)).select(F.col("classx").alias("x"), F.col("classy").alias("y"))
 
 
-def _remaining_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """All postings of a list outside its largest group with all postings of other groups."""
-    per = labelled.groupBy("token", "comp").agg(F.count("*").alias("times"))
+def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
+    """(x, comp): the classes outside the largest group of some list, and the other groups in it
+    whose members they could link with."""
+    per = stored(
+        labelled.groupBy("token", "comp").agg(
+            F.count("*").alias("times"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("lefty")
+        ),
+        "list-groups",
+    )
     lists = per.groupBy("token").agg(F.max_by("comp", F.struct("times", "comp")).alias("main"), F.count("*").alias("groups"))
-    mixed = stored(labelled.join(stored(lists.filter("groups > 1").select("token", "main"), "lists"), "token"), "mixed")
-    probes = mixed.filter("comp <> main").withColumnsRenamed({"class": "classy", "n": "ny", "left": "lefty", "comp": "compy", "band": "bandy"}).drop("main")
-    probes = stored(probes.withColumn("band", F.explode(F.array(F.col("bandy") - 1, "bandy", F.col("bandy") + 1))).drop("bandy"), "probes")
-    members = mixed.withColumnsRenamed({"class": "classx", "n": "nx", "left": "leftx", "comp": "compx"})
-    met = members.join(probes, ["token", "band"])
-    once = (F.col("compx") == F.col("main")) | (F.col("classx") < F.col("classy"))
-    return met.filter((F.col("compx") != F.col("compy")) & once & _can_link("x", "y", percent)).select(F.col("classx").alias("x"), F.col("classy").alias("y"))
+    mixed = stored(lists.filter("groups > 1").select("token", "main"), "lists")
+    probes = stored(labelled.join(mixed, "token").filter("comp <> main").select("token", "class", "n", "left", F.col("comp").alias("own")), "probes")
+    met = probes.join(per.join(mixed, "token"), "token")
+    smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100.0 - 1e-9))
+    near = (F.col("most_n") >= smallest) & (F.col("least_n") * percent <= F.col("n") * 100)
+    room = F.least("left", "lefty") >= _needed(F.col("n"), smallest, percent)
+    once = (F.col("comp") == F.col("main")) | (F.col("own") < F.col("comp"))
+    return met.filter((F.col("own") != F.col("comp")) & once & near & room).select(F.col("class").alias("x"), "comp").distinct()
+
+
+def _visited_links(visits: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """One link for each visiting class and block of the visited group, where there is one.
+
+    Groups are cut into blocks of members and their visitors into pieces, so that a task holds one
+    block and meets its visitors one after the other.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, ready = None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                key = r["comp"], r["block"], r["piece"]
+                if key != at:
+                    at, members, ready = key, [], None
+                own = _unpacked(r["shared"])
+                if not r["visits"]:
+                    members.append((r["class"], r["n"], own))
+                    continue
+                if ready is None:
+                    tokens, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+                    order = np.argsort(tokens, kind="stable")
+                    ready = tokens[order], owner[order], np.array([m[1] for m in members])
+                tokens, owner, sizes = ready
+                first, last = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+                spans = last - first
+                spots = np.repeat(first - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+                common = np.bincount(owner[spots], minlength=len(members))
+                linked = np.flatnonzero(100 * common >= percent * (sizes + r["n"] - common))
+                if len(linked):
+                    out.append((r["class"], members[linked[0]][0]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["x", "y"])
+
+    named = sets.join(comps, "class", "left").select("class", "n", "shared", F.coalesce("comp", "class").alias("comp"))
+    visitors = visits.groupBy("comp").agg(F.count("*").alias("visitors"))
+    sizes = stored(named.join(visitors, "comp").groupBy("comp").agg(
+        F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"), F.ceil(F.first("visitors") / PIECE_VISITORS).cast("int").alias("pieces")
+    ), "group-sizes")
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = named.join(sizes, "comp").withColumn("block", spread("class", "blocks")).withColumn("piece", each("pieces")).withColumn("visits", F.lit(False))
+    guests = visits.join(sizes, "comp").withColumnRenamed("x", "class").withColumn("piece", spread("class", "pieces")).withColumn("block", each("blocks"))
+    guests = guests.join(sets.select("class", "n", "shared"), "class").withColumn("visits", F.lit(True))
+    columns = ["comp", "block", "piece", "visits", "class", "n", "shared"]
+    stream = held.select(columns).unionByName(guests.select(columns)).repartition("comp", "block", "piece")
+    return stream.sortWithinPartitions("comp", "block", "piece", "visits").mapInArrow(run, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -32,7 +32,8 @@ LENGTH = 2048
 PART_PIECES = 4096
 LEAST_PARTS = 16
 ROUNDS = 4
-KNOWN_CHUNKS, KNOWN_WORDS = 700_000, 400_000
+# Remembered per Python worker: chunks within a task, words beyond it.
+KNOWN_CHUNKS, KNOWN_WORDS = 400_000, 250_000
 END = b"\0\0\0\0"
 
 
@@ -118,6 +119,7 @@ def tokenized_pieces(docs: DataFrame, source: str, length: int = LENGTH, with_id
                     ],
                     ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
+        tokens.clear()
 
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from platwork.llm.common import raw_bytes, table
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed ids.
-MAX_LABELLED = 16384
+MAX_LABELLED = 8192
 BITS = 18
 GRADES = 3  # 0 toxic, 1 poor, 2 good
 KEEP_FROM = 2
 MIN_PROBABILITY = 0.5
 # Words remembered per Python worker before it starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 _MASK = (1 << BITS) - 1
 _CAPS, _MARKS, _BARE = 1 << 60, 1 << 59, 1 << 58
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())

@@ -1,20 +1,24 @@
-"""License scan: TF-IDF cosine of lines to license notices, then inheritance along directories.
-
-Method, with DataFrame functions only. Every line of every text is a possible header. Document
-frequencies of the notices' terms are counted over all texts; a term outside the notices weighs as
-one that no text holds. A line can only reach the threshold if it holds one of a notice's heaviest
-terms (those without which the notice's remaining weight stays below the threshold), so other lines
-are passed over without loss. The rest become sparse vectors, one row per distinct line and term,
-joined with the terms of the notices. Files without a header of their own take the license of the
-nearest directory, at or above their own, that holds a license file: directories are joined with
-their ancestors' paths and the longest one that is licensed wins.
+"""License scan: TF-IDF cosine of lines, sentences and texts to licenses, then inheritance along directories.
+
+Method, with DataFrame functions only. Every line of every text is compared with the short notices, every
+sentence, across line breaks and comment marks, with the notices and the sentences of usual headers, and
+every whole text with the full license texts. Document frequencies of the templates' terms are counted
+over all texts; a term outside the templates weighs as one that no text holds. A line or sentence can only
+reach the threshold if it holds one of a template's heaviest terms (those without which its remaining
+weight stays below the threshold), and a text only if the squared weights of the license terms it holds
+sum up to the squared threshold, so others are passed over without loss. The rest become sparse vectors,
+one row per distinct piece and term, joined with the terms of the templates. Files without a license of
+their own take that of the nearest directory, at or above their own, that holds a license file, by name or
+by a match to a full text: directories are joined with their ancestors' paths and the longest one that is
+licensed wins.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from math import log, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +36,37 @@ NOTICES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Fixed values: (license, sentence of its usual header). Near neighbours are here to be told apart.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+     "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((name, f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the "
+       f"Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, thing, kind, version in (("AGPL-3.0", "program", "Affero General", "3"), ("GPL-2.0", "program", "General", "2"), ("GPL-3.0", "program", "General", "3"),
+                                         ("LGPL-2.1", "library", "Lesser General", "2.1"), ("LGPL-3.0", "library", "Lesser General", "3"))),
+    *((f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License.")
+      for short, long in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+                          ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-SA", "Attribution-ShareAlike"))),
+)
 THRESHOLD = 0.6
+WINDOW_THRESHOLD = 0.6  # sentences and whole texts need this, or the threshold of lines if it is higher
+LICENSE_TEXT = 0.9  # a text of this cosine to a full license text is that license, and its file a license file
 MAX_TERMS = 10_000  # distinct terms of all notices: their weights are broadcast
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(^|/)(copying|notice)[^/]*$"
 _BREAKS = "[^a-z0-9]+"
+# Between sentences: blanks after an end mark, or a line without letters and digits.
+_SENTENCES = r"(?<=[.!?])\s+|(?>\r\n|[\r\n])[^\p{L}\p{N}\r\n]*(?>\r\n|[\r\n])"
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(license, full text) of the files beside this module; only the driver reads them."""
+    return [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
 
 def terms_of(text: Column) -> Column:
@@ -62,42 +93,98 @@ def heavy_terms(vector: Mapping[str, float], threshold: float) -> set[str]:
     return out
 
 
-def line_licenses(files: DataFrame, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score): per path its best line of cosine ``threshold`` or more, ties to the first name."""
-    vocabulary = sorted({t for n in notices.values() for t in re.split(_BREAKS, n.lower()) if t})
-    if not vocabulary or len(vocabulary) > MAX_TERMS:
-        raise ValueError(f"The notices must have between 1 and {MAX_TERMS} terms")
-    spark = files.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    wanted = F.array(*(F.lit(t) for t in vocabulary))
-    present = files.select(F.explode(F.array_intersect(terms_of(text), wanted)).alias("term"))
-    # At most one row per term of the notices.
-    df = {r["term"]: r["n"] for r in present.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    total = files.count()
-    idf = {t: log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    outside = log(total + 1) + 1
-    vectors = {name: _vector(notice, idf) for name, notice in notices.items()}
-    heavy = sorted(set().union(*(heavy_terms(v, threshold) for v in vectors.values())))
-
-    lines = files.select("path", F.explode(F.split(text, r"[\r\n]+")).alias("line"))
-    chosen = lines.filter(F.lower("line").rlike("(?<![a-z0-9])(?:" + "|".join(heavy) + ")(?![a-z0-9])"))
-    keyed = stored(chosen.select("path", F.md5("line").alias("key"), "line"), "license-lines")
-    distinct = keyed.groupBy("key").agg(F.first("line").alias("line"))
-    words = distinct.select("key", F.explode(terms_of(F.col("line"))).alias("term")).filter("term <> ''")
+def _words(texts: Iterable[str]) -> list[str]:
+    return sorted({t for text in texts for t in re.split(_BREAKS, text.lower()) if t})
+
+
+def _has(text: Column, terms: Iterable[str]) -> Column:
+    return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(sorted(terms)) + ")(?![a-z0-9])")
+
+
+def _hits(
+    pieces: DataFrame, templates: Sequence[tuple[str, str]], idf: Mapping[str, float], outside: float, lowest: float, label: str
+) -> DataFrame:
+    """(path, score, license): the best template of each row of ``pieces`` (path, piece, need), if its score is ``need`` or more.
+
+    ``lowest`` is the least ``need``.
+    """
+    spark = pieces.sparkSession
+    keyed = stored(pieces.select("path", "need", F.md5("piece").alias("key"), "piece"), f"license-{label}")
+    distinct = keyed.groupBy("key").agg(F.first("piece").alias("piece"))
+    words = distinct.select("key", F.explode(terms_of(F.col("piece"))).alias("term")).filter("term <> ''")
     tf = words.groupBy("key", "term").agg(F.count("*").alias("tf"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     weighted = tf.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside)))
     norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows = [(t, name, w) for name, v in vectors.items() for t, w in v.items()]
-    notice_rows = F.broadcast(spark.createDataFrame(rows, "term string, license string, share double"))
-    dots = weighted.join(notice_rows, "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    rows = [(t, name, i, w) for i, (name, text) in enumerate(templates) for t, w in _vector(text, idf).items()]
+    template_rows = F.broadcast(spark.createDataFrame(rows, "term string, license string, template int, share double"))
+    dots = weighted.join(template_rows, "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    hits = scored.filter(F.col("score") >= threshold).groupBy("key").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
-    hits = stored(hits, "license-hits")
+    hits = scored.filter(F.col("score") >= lowest).groupBy("key").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
+    hits = stored(hits, f"license-{label}-hits")
     counts = keyed.groupBy("key").agg(F.count("*").alias("times"))
-    found = salted_join(keyed.select("path", "key"), hits, ["key"], counts, "times")
-    best = found.groupBy("path").agg(F.min("b").alias("b"))
-    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+    found = salted_join(keyed.select("path", "need", "key"), hits, ["key"], counts, "times")
+    found = found.select("path", "need", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
+    return found.filter(F.col("score") >= F.col("need")).drop("need")
+
+
+def _heavy(templates: Sequence[tuple[str, str]], idf: Mapping[str, float], threshold: float) -> set[str]:
+    return set().union(*(heavy_terms(_vector(text, idf), threshold) for _, text in templates))
+
+
+def own_licenses(
+    files: DataFrame, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD,
+    headers: Sequence[tuple[str, str]] = HEADERS, texts: Sequence[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """(path, license, score, whole): per path its best line, sentence or whole text, ties to the first name.
+
+    A whole text of cosine ``LICENSE_TEXT`` to a full license text comes before any part; ``whole`` tells it.
+    """
+    texts = license_texts() if texts is None else texts
+    line_terms, vocabulary = _words(notices.values()), _words(text for _, text in [*notices.items(), *headers, *texts])
+    if not line_terms or len(vocabulary) > MAX_TERMS:
+        raise ValueError(f"The notices must have a term, and all templates at most {MAX_TERMS}")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    present = F.array_intersect(terms_of(text), F.split(F.lit(" ".join(vocabulary)), " "))
+    # At most one row per term of the templates.
+    counted = files.select(F.explode(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
+    df = {r["term"]: r["n"] for r in counted}
+    total = files.count()
+    idf = {t: log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
+    outside = log(total + 1) + 1
+    wide = max(threshold, WINDOW_THRESHOLD)
+
+    # For the notices, only their own terms are inside.
+    line_idf = {t: idf[t] for t in line_terms}
+    pieces = lambda breaks, need: files.select("path", F.explode(F.split(text, breaks)).alias("piece"), F.lit(need).alias("need"))
+    lines, sentences = pieces(r"[\r\n]+", threshold), pieces(_SENTENCES, wide)
+    chosen = _has(F.col("piece"), _heavy(list(notices.items()), line_idf, threshold))
+    parts = _hits(lines.filter(chosen).unionByName(sentences.filter(chosen)), list(notices.items()), line_idf, outside, threshold, "notices")
+    if headers:
+        chosen = _has(F.col("piece"), _heavy(headers, idf, wide))
+        parts = parts.unionByName(_hits(sentences.filter(chosen), headers, idf, outside, wide, "headers"))
+    parts = parts.withColumn("whole", F.lit(False))
+    if texts:
+        whole = _whole_texts(files.select("path", text.alias("piece"), present.alias("present")), texts, idf, wide)
+        by_text = _hits(whole.withColumn("need", F.lit(wide)), texts, idf, outside, wide, "texts")
+        parts = parts.unionByName(by_text.withColumn("whole", F.col("score") >= LICENSE_TEXT))
+    best = parts.groupBy("path").agg(F.min(F.struct(~F.col("whole"), -F.col("score"), "license")).alias("b"))
+    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.col2")).alias("score"), (~F.col("b.col1")).alias("whole"))
+
+
+def _whole_texts(files: DataFrame, texts: Sequence[tuple[str, str]], idf: Mapping[str, float], threshold: float) -> DataFrame:
+    """Texts (path, piece) that may reach the threshold: no cosine is above the norm of the shared terms' shares."""
+    spark = files.sparkSession
+    key = F.md5("piece")
+    # Copies add up, so each also counts itself by the empty term.
+    rows = [("", -1, 1.0), *((t, i, w * w) for i, (_, text) in enumerate(texts) for t, w in _vector(text, idf).items())]
+    shares = F.broadcast(spark.createDataFrame(rows, "term string, template int, square double"))
+    held = files.select(key.alias("key"), F.explode(F.array_union(F.array(F.lit("")), F.col("present"))).alias("term"))
+    sums = held.join(shares, "term").groupBy("key", "template").agg(F.sum("square").alias("mass"))
+    sums = stored(sums.groupBy("key").agg(
+        F.max(F.when(F.col("template") >= 0, F.col("mass"))).alias("most"), F.max(F.when(F.col("template") < 0, F.col("mass"))).alias("copies")
+    ).filter(F.col("most") >= F.col("copies") * (threshold - 1e-5) ** 2).select("key"), "license-near-texts")
+    return files.withColumn("key", key).join(sums, "key", "left_semi").select("path", "piece")
 
 
 def directory_of(path: Column) -> Column:
@@ -113,14 +200,15 @@ def _ancestors(directory: Column) -> Column:
 
 
 def license_scan(
-    files: DataFrame, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD, is_license_file: Column | None = None
+    files: DataFrame, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD, is_license_file: Column | None = None,
+    headers: Sequence[tuple[str, str]] = HEADERS, texts: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Per row of ``files`` (path, text, ...): ``license``, ``score``, ``origin`` and ``from_dir``.
 
     ``origin`` is header, directory or none. A file's own header comes first; else the nearest
     directory at or above its own with a license file that was recognised. Of several license files
     in a directory the best score counts, then the first name. ``is_license_file`` is by default a
-    test of the file name. A null or empty text has no header but may inherit; a null path has
+    test of the file name; a file whose whole text is a full license text is one under any name. A null or empty text has no header but may inherit; a null path has
     neither. Rows of one path count as one file and get the same result; ``path`` and other columns
     stay, those named like a result are replaced.
     """
@@ -128,9 +216,9 @@ def license_scan(
     results = ["license", "score", "origin", "from_dir"]
     base = files.drop(*results).withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_dir", directory_of(F.col("path")))
     named = base.filter("path IS NOT NULL")
-    own = stored(line_licenses(named.select("path", "text"), notices, threshold), "license-own")
-    marked = named.filter("_flag").select("path", "_dir").distinct()
-    given = marked.join(own, "path").groupBy(F.col("_dir").alias("up")).agg(F.min(F.struct(-F.col("score"), "license")).alias("g"))
+    own = stored(own_licenses(named.select("path", "text"), notices, threshold, headers, texts), "license-own")
+    marked = named.groupBy("path", "_dir").agg(F.max("_flag").alias("_flag"))
+    given = marked.join(own, "path").filter("_flag OR whole").groupBy(F.col("_dir").alias("up")).agg(F.min(F.struct(-F.col("score"), "license")).alias("g"))
     given = stored(given.select("up", F.col("g.license").alias("given"), (-F.col("g.col1")).alias("given_score")), "license-dirs")
     dirs = stored(named.groupBy("_dir").agg(F.count("*").alias("times")), "dirs")
     upward = dirs.select("_dir", F.explode(_ancestors(F.col("_dir"))).alias("up"))
@@ -138,7 +226,7 @@ def license_scan(
     nearest = reach.groupBy("_dir").agg(F.max_by(F.struct("up", "given", "given_score"), F.length("up")).alias("near"))
     nearest = stored(nearest.select("_dir", "near.*"), "license-nearest")
     slim = base.drop("text") if "text" in base.columns else base
-    headed = salted_join(slim, own, ["path"], slim.groupBy("path").agg(F.count("*").alias("times")), "times", "left")
+    headed = salted_join(slim, own.drop("whole"), ["path"], slim.groupBy("path").agg(F.count("*").alias("times")), "times", "left")
     joined = salted_join(headed, nearest, ["_dir"], dirs, "times", "left")
     header, inherited = F.col("license").isNotNull(), F.col("given").isNotNull()
     return joined.select(

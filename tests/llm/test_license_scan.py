@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from platwork.llm.license_scan import NOTICES, heavy_terms, license_scan, op1_license_scan
+from platwork.llm.license_scan import NOTICES, heavy_terms, license_scan, license_texts, op1_license_scan
 
 FILES = [
     ("src/a/x.py", "Licensed under the Apache License, Version 2.0.\ncode here"),
@@ -84,3 +84,39 @@ def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "path string, text string")).collect() == []
     only = spark.createDataFrame([("a/b", "text")], "path string, text string")
     assert [r.origin for r in license_scan(only, is_license_file=F.lit(None).cast("boolean")).collect()] == ["none"]
+
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+GPL = """#!/bin/sh
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+run
+"""
+
+
+def test_headers_and_whole_license_texts(spark):
+    full = dict(license_texts())
+    mit = "Copyright (c) 2020 A. Person\n\n" + full["MIT"]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+    files = [
+        ("h/one_line.c", APACHE), ("h/gpl3.sh", GPL.format(3)), ("h/gpl2.sh", GPL.format(2)),
+        ("h/mit.js", "/*\n" + "".join(f" * {x}\n" for x in mit.splitlines()) + " */\n" + f"{words};\n" * 50),
+        ("h/prose.txt", f"{words} {words}. Released under the MIT License. {words}"),
+        ("w/whole_under_any_name", mit), ("w/sub/code.c", "int main"), ("b2/text", "Copyright 2021 B. Holder\n" + full["BSD-2-Clause"]), ("b2/x", "x"),
+        ("g/LICENSE", full["GPL-3.0"]), ("a/LICENSE", full["Apache-2.0"]), ("m/LICENSE", full["MPL-2.0"]), ("g/y", "y"), ("a/y", "y"), ("m/y", "y"),
+        ("h/plain.c", words), *((f"p/{i}", f"{words} the file {i} of the work, and you may use a copy of it") for i in range(40)),
+    ]
+    got = {r.path: r for r in license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    own = {p: r.license for p, r in got.items() if r.origin == "header"}
+    assert own == {
+        "h/one_line.c": "Apache-2.0", "h/gpl3.sh": "GPL-3.0", "h/gpl2.sh": "GPL-2.0", "h/mit.js": "MIT", "h/prose.txt": "MIT", "w/whole_under_any_name": "MIT",
+        "b2/text": "BSD-2-Clause", "g/LICENSE": "GPL-3.0", "a/LICENSE": "Apache-2.0", "m/LICENSE": "MPL-2.0",
+    }
+    inherited = {p: (r.license, r.from_dir) for p, r in got.items() if r.origin == "directory"}
+    assert inherited == {
+        "w/sub/code.c": ("MIT", "w"), "b2/x": ("BSD-2-Clause", "b2"), "g/y": ("GPL-3.0", "g"), "a/y": ("Apache-2.0", "a"), "m/y": ("MPL-2.0", "m"),
+    }

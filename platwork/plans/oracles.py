@@ -373,10 +373,6 @@ ORACLES: dict[str, str] = {
         "WHERE street_number = '150' AND street_name LIKE '%MAIN%' UNION ALL SELECT pid, situs_address, street_number, street_name, "
         "street_type, city, state, zip_code FROM fx_parcel WHERE street_name LIKE '%HILL%'",
     ),
-    "candidate_cap": _with(
-        [FX_L], [],
-        "SELECT street_name, pid FROM (SELECT street_name, pid, row_number() OVER (PARTITION BY street_name ORDER BY pid) AS rn FROM fx_parcel) WHERE rn <= 3",
-    ),
     "min_confidence_filter": _with(
         [FX_P, FX_L], [PERMIT, *_matching("permit")],
         "SELECT normalized, pid, confidence FROM scored WHERE confidence >= 90", recursive=True,

@@ -228,11 +228,6 @@ def _like_contains(t: Tables) -> DataFrame:
     return match.like_contains_filter(_parcels(t), "150", "MAIN").unionByName(match.like_contains_filter(_parcels(t), None, "HILL"))
 
 
-@register("candidate_cap")
-def _candidate_cap(t: Tables) -> DataFrame:
-    return match.candidate_cap(_parcels(t), ["street_name"], 3).select("street_name", "pid")
-
-
 def _scored(t: Tables) -> DataFrame:
     addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
     situs = match.situs_texts(_parcels(t))

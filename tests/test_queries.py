@@ -60,6 +60,10 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
 
 
+def test_no_query_consists_of_a_cap():
+    assert "candidate_cap" not in QUERIES
+
+
 def test_rank_limit_runs_before_the_shuffle(spark, folder):
     parcels = match.parcel_dimension(Tables(spark, folder).view("fx_parcel"))
     plan = plan_of(match.candidate_cap(parcels, ["street_number"], 100))

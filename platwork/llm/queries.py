@@ -7,6 +7,7 @@ from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from platwork.llm.jaccard import op9_jaccard
 from platwork.llm.language_model import op10_language_model
 from platwork.llm.license_scan import OP1_SQL, op1_license_scan
+from platwork.llm.merkle import op13_merkle
 from platwork.llm.packing import op7_packing
 from platwork.llm.quality import op4_quality
 from platwork.llm.topk import OP5_SQL, op5_topk
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_language_model": op10_language_model,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {

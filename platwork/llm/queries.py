@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from platwork.llm.byte_bpe import op8_byte_bpe
 from platwork.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from platwork.llm.filter_audit import OP12_SQL, op12_filter_audit
 from platwork.llm.jaccard import op9_jaccard
 from platwork.llm.language_model import op10_language_model
 from platwork.llm.license_scan import OP1_SQL, op1_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_language_model": op10_language_model,
+    "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }
 
@@ -34,4 +36,5 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op2_warc": OP2_SQL,
     "op3_url_filter": OP3_SQL,
+    "op12_filter_audit": OP12_SQL,
 }

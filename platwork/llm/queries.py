@@ -12,6 +12,7 @@ from platwork.llm.merkle import op13_merkle
 from platwork.llm.packing import op7_packing
 from platwork.llm.quality import op4_quality
 from platwork.llm.topk import OP5_SQL, op5_topk
+from platwork.llm.trie_bpe import op11_trie_bpe
 from platwork.llm.url_filter import OP3_SQL, op3_url_filter
 from platwork.llm.warc import OP2_SQL, op2_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard": op9_jaccard,
     "op10_language_model": op10_language_model,
+    "op11_trie_bpe": op11_trie_bpe,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }

@@ -2,7 +2,8 @@
 
 Method. The files of the document table are processed as available-now micro-batches. A document's
 own filters give a mask; whether it repeats a document of a smaller id depends on all files, so a
-state keyed by the text's digest holds the smallest id met so far, with what was counted for it.
+state keyed by the text's digest, in buckets of some hundred texts, holds the smallest id met so far,
+with what was counted for it.
 When a smaller id arrives, the earlier document's mask is taken back from its part's counters and
 counted anew as a repeat. A micro-batch adds its changes to the counters as a folder of its own, which
 a retried batch replaces. The sums of all batches, 32 masks per part, give every order of the filters.
@@ -17,10 +18,12 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import permutations
+from math import ceil
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -33,8 +36,12 @@ FILTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, UPPER_PERCENT, MARKS = 200, 50, 2, b"#$%&*|"
 UPPER = bytes(range(65, 91))
 REPEAT = 1 << FILTERS.index("E")
-# A text's digest; shorter keys carry counters.
-KEY_BYTES = 32
+# Texts in one state, by the table's rows, and micro-batches of a run where files are many.
+TEXTS_PER_STATE, MOST_BATCHES = 512, 16
+# A text's smallest id so far and what its rows were counted as.
+HELD = pa.schema(
+    [("text_key", pa.binary()), ("least", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())]
+)
 COUNTED = "part string, mask int, good int, toxic int, delta long"
 COUNTERS = "part string, mask int, rows long, good long, toxic long"
 
@@ -79,9 +86,9 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("doc_id", "part", "text_key", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
-def combined(rows: DataFrame) -> DataFrame:
-    """(text_key, least, part, mask, good, toxic, n): per Arrow batch the smallest id of each text,
-    and, under a key of the part, counters of all other rows."""
+def combined(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, text_key, least, part, mask, good, toxic, n): per Arrow batch the smallest id of each
+    text, in the text's bucket, and, without a text, counters of all other rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,67 +105,78 @@ def combined(rows: DataFrame) -> DataFrame:
                 elif number == least:
                     held[about] += 1
                 elif number > least:
-                    counted[(part, mask | REPEAT, good, toxic)] += 1
+                    counted[_repeat(about)] += 1
                 else:
-                    for (p, m, g, t), n in held.items():
-                        counted[(p, m | REPEAT, g, t)] += n
+                    for other, n in held.items():
+                        counted[_repeat(other)] += n
                     first[key] = number, Counter({about: 1})
-            out = [(key, least, *about, n) for key, (least, held) in first.items() for about, n in held.items()]
-            out += [(b"part:" + hashlib.sha256(about[0].encode()).digest()[:8], None, *about, n) for about, n in counted.items()]
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            names = ["text_key", "least", "part", "mask", "good", "toxic", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names)
+            out = [(int.from_bytes(key[:8]) % buckets, key, least, *about, n) for key, (least, held) in first.items() for about, n in held.items()]
+            out += [(i % buckets, None, 0, *about, n) for i, (about, n) in enumerate(counted.items())]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], ["bucket", *HELD.names])
 
-    return rows.mapInArrow(run, "text_key binary, least long, part string, mask int, good int, toxic int, n long")
+    return rows.mapInArrow(run, "bucket long, text_key binary, least long, part string, mask int, good int, toxic int, n long")
+
+
+def _repeat(about: tuple) -> tuple:
+    return about[0], about[1] | REPEAT, *about[2:]
 
 
 def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a text's new rows change in the counters; the state is its smallest id and that id's rows."""
+    """What a bucket's new rows change in the counters. The state holds, per text, its smallest id
+    and what that id's rows were counted as."""
     out: Counter = Counter()
-    rows = (r for frame in frames for r in frame[["least", "part", "mask", "good", "toxic", "n"]].itertuples(index=False, name=None))
-    if len(key[0]) < KEY_BYTES:
-        for _, *about, n in rows:
-            out[tuple(about)] += n
-    else:
-        least, held = None, Counter()
-        if state.exists:
-            least, parts, masks, goods, toxics, times = state.get
-            held = Counter(dict(zip(zip(parts, masks, goods, toxics), times)))
-        for number, *about, n in rows:
-            about, repeat = tuple(about), (about[0], about[1] | REPEAT, *about[2:])
-            if least is not None and number > least:
-                out[repeat] += n
+    texts: dict[bytes, tuple[int, Counter]] = {}
+    if state.exists:
+        with pa.ipc.open_stream(state.get[0]) as held:
+            for text, least, *about, n in zip(*(c.to_pylist() for c in held.read_all().columns)):
+                texts.setdefault(text, (least, Counter()))[1][tuple(about)] = n
+    for frame in frames:
+        for text, number, *about, n in frame[HELD.names].itertuples(index=False, name=None):
+            about = tuple(about)
+            if text is None:
+                out[about] += n
                 continue
-            if least is not None and number < least:
+            least, first = texts.get(text, (None, None))
+            if least is None or number < least:
                 # Counted as the first of its text so far, now taken back.
-                for (p, m, g, t), was in held.items():
-                    out[(p, m, g, t)] -= was
-                    out[(p, m | REPEAT, g, t)] += was
-                held = Counter()
-            least = number
-            held[about] += n
-            out[about] += n
-        kept = [list(c) for c in zip(*held)]
-        state.update((int(least), [str(p) for p in kept[0]], *([int(v) for v in c] for c in kept[1:]), [int(v) for v in held.values()]))
-    found = [(*about, n) for about, n in out.items() if n]
-    yield pd.DataFrame(found, columns=["part", "mask", "good", "toxic", "delta"])
-
-
-def part_counters(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+                for was, m in (first or {}).items():
+                    out[was] -= m
+                    out[_repeat(was)] += m
+                texts[text] = number, Counter({about: n})
+                out[about] += n
+            elif number == least:
+                first[about] += n
+                out[about] += n
+            else:
+                out[_repeat(about)] += n
+    rows = [(text, int(least), *about, int(n)) for text, (least, first) in texts.items() for about, n in first.items()]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 7, HELD)], schema=HELD))
+    state.update((sink.getvalue().to_pybytes(),))
+    yield pd.DataFrame([(*about, n) for about, n in out.items() if n], columns=["part", "mask", "good", "toxic", "delta"])
+
+
+def part_counters(
+    spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None, texts_per_state: int = TEXTS_PER_STATE
+) -> DataFrame:
     """(part, mask, rows, good, toxic) of all files of the document table at ``path``.
 
-    ``files_per_batch`` is one per core by default. State, counters and offsets lie in the folder of
-    ``spark.checkpoint.dir``; the state store's provider is the session's.
+    By default a micro-batch takes one file per core, or a sixteenth of all files if that is more:
+    each batch rewrites the state of the texts' buckets that it meets. State, counters and offsets
+    lie in the folder of ``spark.checkpoint.dir``; the state store's provider is the session's.
     """
     folder = shared_dir(spark, "audit")
     spark.createDataFrame([], COUNTERS).write.parquet(f"{folder}/counters/batch=-1")
-    files = files_per_batch or spark.sparkContext.defaultParallelism
+    known = spark.read.parquet(path)
+    files = files_per_batch or max(spark.sparkContext.defaultParallelism, ceil(len(known.inputFiles()) / MOST_BATCHES))
+    buckets = max(1, ceil(known.count() / texts_per_state))
     # A stream takes a table of a single file only by a pattern; this one matches the path alone.
     whole = path.rstrip("/")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
-    stream = reader.parquet(f"{whole[:-1]}[{whole[-1]}]")
-    changed = combined(labelled(profiles(stream), labels)).groupBy("text_key").applyInPandasWithState(
-        changes, COUNTED, "least long, parts array<string>, masks array<int>, goods array<int>, toxics array<int>, times array<long>", "append", "NoTimeout"
+    stream = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", files).parquet(f"{whole[:-1]}[{whole[-1]}]")
+    changed = combined(labelled(profiles(stream), labels), buckets).groupBy("bucket").applyInPandasWithState(
+        changes, COUNTED, "held binary", "append", "NoTimeout"
     )
 
     def add(batch: DataFrame, number: int) -> None:

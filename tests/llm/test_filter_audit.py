@@ -52,7 +52,8 @@ def text():
     return random.choice([" ", "\t", "\x0b ", " "]).join(words)
 
 
-def test_retraction_over_many_files(spark, tmp_path):
+@pytest.mark.parametrize("per_state", [512, 20])
+def test_retraction_over_many_files(spark, tmp_path, monkeypatch, per_state):
     texts = [text() for _ in range(12)] + [None, "", " ", "A" * 300 + "a" * 14_700, "A" * 301 + "a" * 14_700]
     rows = [(i, random.choice(texts), random.choice(["s", "t", None, ""])) for i in range(160)]
     rows += [(None, texts[0], "s"), (None, None, "t")] + [(3, rows[3][1], "t"), rows[3], (5, texts[1], "u")] * 2
@@ -63,6 +64,7 @@ def test_retraction_over_many_files(spark, tmp_path):
         # Larger ids come first as often as not; a file is one micro-batch.
         spark.createDataFrame([(*r, 7, "own", 9) for r in rows[k : k + 40]], SCHEMA).coalesce(1).write.mode("append").parquet(path)
     marks = spark.createDataFrame([(*r, 5) for r in labels], LABELS)
+    monkeypatch.setattr(filter_audit.part_counters, "__defaults__", (None, per_state))
     assert got(audit_filters(spark, path, marks, 1)) == plain(rows, labels)
 
 

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from platwork.llm.common import LOWER_ASCII, raw_bytes, slices, stored, table
 from platwork.operators.skew import salted_join
 
-KNOWN_WORDS = 300_000
-FLUSH_TOKENS = 1_500_000
-FLUSH_DOCS = 60_000
-BUCKET_BYTES = 24 << 20  # of text
+KNOWN_WORDS = 150_000
+FLUSH_TOKENS = 750_000
+FLUSH_DOCS = 30_000
+BUCKET_BYTES = 12 << 20  # of text
 LEAST_BUCKETS = 8
 MASK = np.uint64((1 << 48) - 1)
 STAR_ROUNDS = 2
@@ -115,7 +115,7 @@ def _packed(tokens: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = len(data) // 6
+    n = memoryview(data).nbytes // 6
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
@@ -134,13 +134,16 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
         tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), lengths)
         spot = ((tokens >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
         order = np.argsort(spot * len(held) + owner, kind="stable")
-        classes, sizes = np.array(names, np.int64).tobytes(), lengths.astype("<u4").tobytes()
+        classes = np.array(names, np.int64)
         for a, b in _cut(_starts(spot[order]), len(order)):
             own = order[a:b]
-            counts = np.bincount(owner[own], minlength=len(held)).astype("<u4").tobytes()
+            # Only the sets with a token in this bucket.
+            first = _starts(owner[own])
+            which = owner[own[first]]
+            counts = np.diff(np.r_[first, b - a]).astype("<u4")
+            held_here = classes[which].tobytes(), lengths[which].astype("<u4").tobytes(), counts.tobytes(), _packed(tokens[own] & MASK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(spot[own[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in (classes, sizes, counts, _packed(tokens[own] & MASK)))],
-                ["bucket", "classes", "sizes", "counts", "tokens"],
+                [pa.array([int(spot[own[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in held_here)], ["bucket", "classes", "sizes", "counts", "tokens"]
             )
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,24 +166,29 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
             yield from send(held, names)
 
     def count(group: pa.Table) -> pa.Table:
-        tokens, classes, sizes = [], [], []
-        for r in group.to_pylist():
-            own, n = np.frombuffer(r["counts"], "<u4"), np.frombuffer(r["sizes"], "<u4")
-            tokens.append(_unpacked(r["tokens"]))
-            classes.append(np.repeat(np.frombuffer(r["classes"], np.int64), own))
-            sizes.append(np.repeat(n, own))
-        tokens, classes, sizes = np.concatenate(tokens), np.concatenate(classes), np.concatenate(sizes)
-        order = np.lexsort((classes, tokens))
-        tokens, classes, sizes = tokens[order], classes[order], sizes[order]
-        once = _starts(tokens, classes)
-        tokens, classes, sizes = tokens[once], classes[once], sizes[once]
-        edges = _starts(tokens)
-        df = np.repeat(np.diff(np.r_[edges, len(tokens)]), np.diff(np.r_[edges, len(tokens)]))
+        def column(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in group.column(name)])
+
+        # Sets by number, so that a token carries 4 bytes of its set while they are sorted.
+        names, code = np.unique(column("classes", np.int64), return_inverse=True)
+        size_of = np.zeros(len(names), np.int64)
+        size_of[code] = column("sizes", "<u4")
+        owner = np.repeat(code.astype(np.int32), column("counts", "<u4"))
+        tokens = np.concatenate([_unpacked(v.as_buffer()) for v in group.column("tokens")])
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        del order
+        once = _starts(tokens, owner)
+        tokens, owner = tokens[once], owner[once]
+        spans = np.diff(np.r_[_starts(tokens), len(tokens)])
+        df = np.repeat(spans, spans).astype(np.int32)
         keep = df >= 2
-        tokens, classes, sizes, df = tokens[keep], classes[keep], sizes[keep], df[keep]
-        spot = classes.view(np.uint64) % np.uint64(buckets)
-        order = np.lexsort((classes, spot))
-        tokens, classes, sizes, df, spot = tokens[order], classes[order], sizes[order], df[order], spot[order]
+        tokens, owner, df = tokens[keep], owner[keep], df[keep]
+        del once, spans, keep
+        spot = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int32)[owner]
+        order = np.lexsort((owner, spot))
+        tokens, owner, df, spot = tokens[order], owner[order], df[order], spot[order]
+        classes, sizes = names[owner], size_of[owner]
         out = []
         for a, b in _cut(_starts(spot), len(spot)):
             first = _starts(classes[a:b])
@@ -218,7 +226,7 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], names=["class", "n", "prefix", "shared"])
 
     sent = rows.mapInArrow(scatter, "bucket int, classes binary, sizes binary, counts binary, tokens binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "spot int, classes binary, sizes binary, counts binary, tokens binary, df binary")
+    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, "spot int, classes binary, sizes binary, counts binary, tokens binary, df binary")
     return counted.groupBy("spot").applyInArrow(assemble, "class long, n long, prefix array<struct<token:long,left:long>>, shared binary")
 
 
@@ -331,17 +339,25 @@ def _star_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
 
 def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
     """(x, comp): the classes outside the largest group of some list, and the other groups in it
-    whose members they could link with."""
+    whose members they could link with.
+
+    Shingles of one shared passage have lists of the same classes. Such lists are one here, with the
+    most tokens that any of them leaves a class, so a passage is met once and not at every shingle.
+    """
+    seal = lambda salt: F.bit_xor(F.xxhash64("class", F.lit(salt)))
+    lists = labelled.groupBy("token").agg(F.count("*").alias("times"), seal(0).alias("s0"), seal(1).alias("s1"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    several = lists.filter("lo <> hi").select("token", F.struct("times", "s0", "s1").alias("list"))
+    merged = labelled.join(several, "token").groupBy("list", "class", "n", "comp").agg(F.max("left").alias("left"))
+    merged = stored(merged, "merged-lists")
     per = stored(
-        labelled.groupBy("token", "comp").agg(
+        merged.groupBy("list", "comp").agg(
             F.count("*").alias("times"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("lefty")
         ),
         "list-groups",
     )
-    lists = per.groupBy("token").agg(F.max_by("comp", F.struct("times", "comp")).alias("main"), F.count("*").alias("groups"))
-    mixed = stored(lists.filter("groups > 1").select("token", "main"), "lists")
-    probes = stored(labelled.join(mixed, "token").filter("comp <> main").select("token", "class", "n", "left", F.col("comp").alias("own")), "probes")
-    met = probes.join(per.join(mixed, "token"), "token")
+    mixed = stored(per.groupBy("list").agg(F.max_by("comp", F.struct("times", "comp")).alias("main")), "lists")
+    probes = stored(merged.join(mixed, "list").filter("comp <> main").select("list", "class", "n", "left", F.col("comp").alias("own")), "probes")
+    met = probes.join(per.join(mixed, "list"), "list")
     smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100.0 - 1e-9))
     near = (F.col("most_n") >= smallest) & (F.col("least_n") * percent <= F.col("n") * 100)
     room = F.least("left", "lefty") >= _needed(F.col("n"), smallest, percent)

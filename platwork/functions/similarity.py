@@ -123,6 +123,73 @@ def key_ratio(a: Column, b: Column) -> Column:
     )
 
 
+# The characters that a key can have; a key's masks are stored in this order.
+ALPHABET = " 0123456789_abcdefghijklmnopqrstuvwxyz"
+
+
+def key_form(key: Column) -> Column:
+    """What scoring needs of a key, made once for all its pairs: the ``key``, its ``codes``, the
+    places of its characters in the alphabet, read from the end, and ``masks``, per character of the
+    alphabet the bit set of its positions (null beyond one word)."""
+
+    def form(codes: Column) -> Column:
+        def bits(letter: Column) -> Column:
+            return F.aggregate(F.reverse(codes), _long(0), lambda acc, x: acc + acc + F.when(x == letter, _long(1)).otherwise(_long(0)))
+
+        letters = F.sequence(F.lit(1), F.lit(len(ALPHABET)))
+        return F.struct(key.alias("key"), codes.alias("codes"), F.when(F.length(key) <= WORD_BITS, F.transform(letters, bits)).alias("masks"))
+
+    spots = F.transform(chars_from_end(key), lambda ch: F.position(ch, F.lit(ALPHABET)).cast("tinyint"))
+    return _let(F.when(key == "", F.array().cast("array<tinyint>")).otherwise(spots), form)
+
+
+def _lcs_of_forms(masked: Column, scanned: Column) -> Column:
+    size = F.length(masked["key"])
+
+    def run(pair: Column) -> Column:
+        masks, ones = pair["masks"], pair["ones"]
+
+        def step(state: Column, code: Column) -> Column:
+            return _let(
+                state.bitwiseAND(F.element_at(masks, code.cast("int"))),
+                lambda hit: (state + hit).bitwiseOR(state - hit).bitwiseAND(ones),
+            )
+
+        return size - F.bit_count(F.aggregate(scanned["codes"], ones, step))
+
+    full = F.call_function("shiftleft", _long(1), size) - 1
+    return _let(F.struct(masked["masks"].alias("masks"), full.alias("ones")), run)
+
+
+def form_ratio(a: Column, b: Column) -> Column:
+    """As :func:`key_ratio`, of two values made by :func:`key_form`."""
+    la, lb = F.length(a["key"]), F.length(b["key"])
+    lcs = F.when(la <= WORD_BITS, _lcs_of_forms(a, b)).when(lb <= WORD_BITS, _lcs_of_forms(b, a)).otherwise(
+        _lcs_many_words(F.when(la >= lb, a["key"]).otherwise(b["key"]), F.when(la >= lb, b["key"]).otherwise(a["key"]))
+    )
+    return (
+        F.when((la == 0) | (lb == 0), 0)
+        .when(a["key"] == b["key"], 100)
+        .otherwise(F.bround(F.lit(200.0) * lcs / (la + lb), 0).cast("int"))
+    )
+
+
+# Kinds of characters counted in a key: texts whose counts agree share an upper bound of the ratio.
+KINDS = (" ", "[0-9]", "_", "[a-d]", "e", "[f-l]", "[m-p]", "[q-s]", "[t-z]")
+
+
+def kind_counts(key: Column) -> Column:
+    return F.array(*[F.regexp_count(key, F.lit(kind)) for kind in KINDS])
+
+
+def counts_bound(a: Column, b: Column) -> Column:
+    """The highest score of two keys with these :func:`kind_counts`."""
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda acc, n: acc + n)
+    common = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    length = total(a) + total(b)
+    return F.when(length == 0, 0).otherwise(F.bround(F.lit(200.0) * common / length, 0).cast("int"))
+
+
 def reachable(a: Column, b: Column, min_confidence: float) -> Column:
     """False where the lengths alone rule out ``min_confidence``; exact, so safe as a filter."""
     la, lb = F.length(a), F.length(b)

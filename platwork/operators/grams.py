@@ -7,10 +7,12 @@ among the grams of the texts, an equi-join, and the pair is then verified on the
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platwork.operators.blocks import first_hits, ordered_blocks
 from platwork.session import stored
 
 # Gram lengths. A query uses the longest one that fits: at least half of it, up to the longest.
@@ -89,6 +91,75 @@ def _grams_of(text: Column, size: Column) -> Column:
     )
 
 
+def query_grams(words: Column) -> Column:
+    """The distinct grams that a text with all of a query's ``words`` must have."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: _grams_of(w, _rare_size(w)))))
+
+
+@dataclass(frozen=True)
+class ListIndex:
+    """An inverted index: ``postings`` (item, place) of the texts' grams or words, and ``counts``
+    (item, n). A place is the struct that orders a text's row and ends in its key."""
+
+    postings: DataFrame
+    counts: DataFrame
+
+    def blocks(self, items: DataFrame) -> DataFrame:
+        """The lists of ``items`` in blocks of their order."""
+        return stored(ordered_blocks(self.postings.join(items, "item", "left_semi"), ["item"], "place"), "blocks")
+
+
+def _indexed(postings: DataFrame, wanted: DataFrame | None) -> ListIndex:
+    if wanted is None:
+        held = stored(postings.repartitionByRange("item", "place").sortWithinPartitions("item", "place"), "postings")
+    else:
+        held = stored(postings.join(wanted, "item", "left_semi"), "postings")
+    return ListIndex(held, stored(held.groupBy("item").agg(F.count("*").alias("n")), "posting-counts"))
+
+
+def gram_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) -> ListIndex:
+    """The grams of ``texts`` (``place`` and ``text``; null has none), made once.
+
+    ``wanted`` (item) keeps only what some query asks for. Without it the index holds all grams, its
+    files sorted by gram and place, and serves any number of lookups.
+    """
+    sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in RARE_SIZES]))
+    known = texts.filter(F.col(text).isNotNull())
+    return _indexed(known.select("place", F.explode(F.array_distinct(sizes)).alias("item")), wanted)
+
+
+def word_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) -> ListIndex:
+    """As :func:`gram_index`, of the words between spaces."""
+    words = F.array_distinct(F.filter(F.split(F.col(text), " "), lambda w: w != ""))
+    return _indexed(texts.filter(F.col(text).isNotNull()).select("place", F.explode(words).alias("item")), wanted)
+
+
+def rarest(asked: DataFrame, counts: DataFrame, query: Sequence[str], choice: str = "item") -> DataFrame:
+    """Per query the one ``choice`` (of rows query, choice, item) whose items have the fewest postings."""
+    sums = asked.join(counts, "item", "left").groupBy(*query, choice).agg(F.sum(F.coalesce("n", F.lit(0))).alias("_n"))
+    return sums.groupBy(*query).agg(F.min_by(choice, F.struct("_n", choice)).alias(choice))
+
+
+def first_containing(
+    lists: DataFrame, index: ListIndex, texts: DataFrame, text: str, query: Sequence[str], verify: Callable[[Column], Column], n: int
+) -> DataFrame:
+    """Per query (``lists`` has its columns and the items to read) the first ``n`` places whose text
+    passes ``verify``, as ``rank``.
+
+    The lists are read block by block in their order, and no further than the ``n``-th hit. Texts
+    are fetched for the places read, not carried in the lists.
+    """
+    blocks = index.blocks(lists.select("item").distinct())
+    open_blocks = lists.join(blocks.select("item", "block", "first"), "item").select(*query, F.col("first").alias("rank"), "item", "block")
+    held = texts.select(F.col("place").alias("rank"), text)
+
+    def read(taken: DataFrame) -> DataFrame:
+        met = taken.drop("rank").join(blocks, ["item", "block"]).select(*query, F.explode("entries.place").alias("rank"))
+        return met.join(held, "rank").filter(verify(F.col(text))).select(*query, "rank")
+
+    return first_hits(open_blocks, read, query, n)
+
+
 def rare_gram_join(
     queries: DataFrame, texts: DataFrame, words: Column, text: str, verify: Callable[[Column], Column]
 ) -> DataFrame:
@@ -96,17 +167,11 @@ def rare_gram_join(
 
     ``words`` is an array of non-empty pieces that ``verify`` implies to be parts of the text. Grams
     that any query asks for are counted over the texts first; a query is then joined under its
-    rarest one only, and only texts holding such a gram leave their task. Very common grams are
-    left to queries that have no rarer one, and split by the adaptive join. A query one of whose
-    grams occurs nowhere has no pairs.
+    rarest one only, and only texts holding such a gram leave their task. A query one of whose grams
+    occurs nowhere has no pairs.
     """
-    grams = F.array_distinct(F.flatten(F.transform(words, lambda w: _grams_of(w, _rare_size(w)))))
-    asked = queries.select(*queries.columns, F.explode(grams).alias("_gram"))
-    wanted = asked.select("_gram").distinct()
-    sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in RARE_SIZES]))
-    postings = texts.filter(F.col(text).isNotNull()).select(*texts.columns, F.explode(F.array_distinct(sizes)).alias("_gram"))
-    counts = postings.select("_gram").join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarity = F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))
-    chosen = asked.join(counts, "_gram", "left").groupBy(*queries.columns).agg(F.min_by("_gram", rarity).alias("_gram"))
-    chosen = stored(chosen, "rarest-grams")
-    return postings.join(chosen, "_gram").filter(verify(F.col(text))).drop("_gram")
+    asked = queries.select(*queries.columns, F.explode(query_grams(words)).alias("item"))
+    placed = texts.withColumn("place", F.struct(*texts.columns))
+    index = gram_index(placed, text, asked.select("item").distinct())
+    chosen = stored(rarest(asked, index.counts, queries.columns), "rarest-grams")
+    return index.postings.join(chosen, "item").select("place.*", *queries.columns).filter(verify(F.col(text)))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platwork.functions import format_situs, normalize_parcel_number, upper_trim
-from platwork.operators.grams import rare_gram_join
-from platwork.operators.match import first_per_key
+from platwork.operators.blocks import first_per_key
+from platwork.operators.grams import ListIndex, first_containing, gram_index, gram_join, query_grams, rarest, word_index
+from platwork.session import stored
 
 SEARCH_LIMIT = 10
 
@@ -20,32 +21,40 @@ def primary_owner(parcels: DataFrame, owners: DataFrame, key: str = "pid") -> Da
     return parcels.join(primary, key, "left")
 
 
-def _first_containing(queries: DataFrame, texts: DataFrame, text: str, key: str, order: str) -> DataFrame:
-    """Per distinct ``query``, the ``key`` of the text row lowest by ``order`` that contains it.
+def lookup_index(parcels: DataFrame, text: Column, key: str = "pid", number: str = "pid") -> ListIndex:
+    """A gram index of the parcels' ``text``, posting lists sorted by number, for many lookups:
+    build it once and pass it to :func:`parcel_by_address` or :func:`parcel_by_number` as ``index``."""
+    return gram_index(_places(parcels.withColumn("_text", text), key, number), "_text")
 
-    Only the order, key and text columns take part; the minimum is taken per task before its
-    shuffle, so a query found in very many texts sends one row per task. An empty query is
-    contained everywhere and takes the overall first row.
+
+def _places(texts: DataFrame, key: str, number: str) -> DataFrame:
+    return texts.filter(F.col("_text").isNotNull()).select(F.struct(F.col(number).alias("o"), F.col(key).alias("k")).alias("place"), "_text")
+
+
+def _first_containing(queries: DataFrame, texts: DataFrame, key: str, number: str, index: ListIndex | None) -> DataFrame:
+    """Per distinct ``query``, the ``key`` of the text row lowest by ``number`` that contains it.
+
+    A query reads the posting list of its rarest gram in blocks by number and stops at the first
+    text that contains it. An empty query is contained everywhere and takes the overall first row.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
-    known = texts.filter(F.col(text).isNotNull())
-    narrow = known.select(*dict.fromkeys([order, key, text]))
-    pairs = rare_gram_join(
-        queries.filter(F.col("query") != ""), narrow, F.array("query"), text, lambda t: F.contains(t, F.col("query"))
-    )
-    found = pairs.groupBy("query").agg(F.min(row).alias("hit"))
-    overall = queries.filter(F.col("query") == "").withColumn("hit", known.agg(F.min(row)).scalar())
-    hits = found.unionByName(overall.filter(F.col("hit").isNotNull()))
-    return hits.select("query", F.col("hit.k").alias(key))
+    places = _places(texts, key, number)
+    named = queries.filter(F.col("query") != "")
+    asked = stored(named.select("query", F.explode(query_grams(F.array("query"))).alias("item")), "query-grams")
+    index = index or gram_index(places, "_text", asked.select("item").distinct())
+    chosen = stored(rarest(asked, index.counts, ["query"]), "rarest-grams")
+    found = first_containing(chosen, index, places, "_text", ["query"], lambda t: F.contains(t, F.col("query")), 1)
+    overall = queries.filter(F.col("query") == "").withColumn("rank", places.agg(F.min("place")).scalar())
+    hits = found.unionByName(overall.filter(F.col("rank").isNotNull()))
+    return hits.select("query", F.col("rank.k").alias(key))
 
 
 def _lookup(
     requests: DataFrame, column: str, prepare: Callable[[str], Column], parcels: DataFrame, owners: DataFrame | None,
-    text: Column, key: str, number: str, payload: Sequence[str],
+    text: Column, key: str, number: str, payload: Sequence[str], index: ListIndex | None,
 ) -> DataFrame:
     queries = requests.filter(F.col(column).isNotNull()).select(prepare(column).alias("query")).distinct()
     texts = parcels.withColumn("_text", text)
-    hits = _first_containing(queries, texts, "_text", key, number)
+    hits = _first_containing(queries, texts, key, number, index)
     rows = parcels.select(*dict.fromkeys([key, number, *payload]))
     found = hits.join(rows, key).select("query", *rows.columns)
     if owners is None:
@@ -66,11 +75,13 @@ def parcel_by_address(
     number: str = "pid",
     payload: Sequence[str] = ("situs_address", "city", "state", "zip_code"),
     ignore_case: bool = True,
+    index: ListIndex | None = None,
 ) -> DataFrame:
     """Per distinct query (trimmed, upper case), the parcel with the lowest number whose situs
-    address contains it, with its primary owner. Queries without a hit give no row."""
+    address contains it, with its primary owner. Queries without a hit give no row. ``index`` is one
+    of the same text (:func:`lookup_index`); without it the grams asked for are indexed here."""
     text = F.upper(situs) if ignore_case else F.col(situs)
-    return _lookup(requests, address, upper_trim, parcels, owners, text, key, number, payload)
+    return _lookup(requests, address, upper_trim, parcels, owners, text, key, number, payload, index)
 
 
 def parcel_by_number(
@@ -82,11 +93,12 @@ def parcel_by_number(
     number: str = "pid",
     payload: Sequence[str] = ("situs_address", "city", "state", "zip_code"),
     normalize_stored: bool = False,
+    index: ListIndex | None = None,
 ) -> DataFrame:
     """As :func:`parcel_by_address`, on the parcel number. Hyphens are removed from the query;
     ``normalize_stored`` removes them from the stored number too."""
-    stored = normalize_parcel_number(number) if normalize_stored else F.upper(number)
-    return _lookup(requests, parcel_number, normalize_parcel_number, parcels, owners, stored, key, number, payload)
+    text = normalize_parcel_number(number) if normalize_stored else F.upper(number)
+    return _lookup(requests, parcel_number, normalize_parcel_number, parcels, owners, text, key, number, payload, index)
 
 
 def parcel_search(
@@ -109,12 +121,17 @@ def parcel_search(
     queries = queries.withColumn("_pattern", F.concat(F.lit("%"), F.replace(literal, F.lit(" "), F.lit("%")), F.lit("%")))
     words = F.filter(F.split(asked, " "), lambda w: w != "")
     columns = ["pid", "street_number", "street_name", "city", "state", "zip_code", "full_address"]
-    order = [F.col("street_number"), F.col("street_name"), F.col("pid")]
-    # Only ids and what the order needs travel with the postings; the rest comes in for the rows shown.
-    narrow = texts.select("pid", "street_number", "street_name", "_text")
-    found = rare_gram_join(queries.filter(F.size(words) > 0), narrow, words, "_text", lambda text: F.like(text, F.col("_pattern")))
-    shown = first_per_key(found.select("query", "pid", "street_number", "street_name"), ["query"], order, limit)
-    pairs = shown.select("query", "pid").join(texts.drop("_text"), "pid").select("query", *columns)
+    order = ["street_number", "street_name", "pid"]
+    places = texts.select(F.struct(*order).alias("place"), "_text")
+    # A query's word lies within one word of a text, so it is looked up among the distinct words.
+    spelled = stored(queries.filter(F.size(words) > 0).select("query", "_pattern", F.explode(F.array_distinct(words)).alias("word")), "query-words")
+    index = word_index(places, "_text")
+    known = gram_join(spelled.select("word").distinct(), index.counts.select("item"), F.col("word"), "item", lambda item: F.contains(item, F.col("word")))
+    known = stored(known, "known-words")
+    every = spelled.join(known, "word", "left")
+    chosen = rarest(every, index.counts, ["query", "_pattern"], "word").join(known, "word").select("query", "_pattern", "item")
+    found = first_containing(stored(chosen, "rarest-words"), index, places, "_text", ["query", "_pattern"], lambda t: F.like(t, F.col("_pattern")), limit)
+    pairs = found.select("query", F.col("rank.pid").alias("pid")).join(texts.drop("_text"), "pid").select("query", *columns)
     # A query without words matches every parcel; a constant number of rows answers it.
     head = texts.orderBy(*order).limit(limit).agg(F.collect_list(F.struct(*columns))).scalar()
     open_hits = (

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platwork.functions import normalize_address, parse_address, token_sort_key
-from platwork.functions.similarity import key_ratio, reachable
+from platwork.functions.similarity import counts_bound, form_ratio, key_form, kind_counts, reachable
 from platwork.functions.text import strip
 from platwork.functions.values import as_timestamp
+from platwork.operators.blocks import first_hits, first_per_key, ordered_blocks
 from platwork.operators.clean import blank
 from platwork.operators.grams import gram_join
 from platwork.operators.shape import ERRORS
@@ -41,13 +42,6 @@ def like_contains_filter(parcels: DataFrame, street_number: str | None = None, s
     return parcels
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each key. The rank limit also runs before the shuffle, so a hot key
-    sends at most ``n`` rows per input task."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-
-
 def candidate_cap(candidates: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The first ``n`` candidates of each key by parcel id."""
     return first_per_key(candidates, keys, [F.col("pid")], n)
@@ -94,50 +88,118 @@ def situs_texts(parcels: DataFrame) -> DataFrame:
     )
 
 
-def candidate_texts(addresses: DataFrame, situs: DataFrame) -> DataFrame:
-    """(normalized, text of parcels) pairs: same street number, parcel street name containing the
-    address's. An address without a number is looked up by its words in all street names.
+def distinct_texts(situs: DataFrame) -> DataFrame:
+    """One row per street number, street name and normalized situs of :func:`situs_texts`, with the
+    ``lowest`` parcel id. Parcels of one text score alike."""
+    return situs.groupBy(*TEXT_KEY).agg(F.min(F.struct("pid")).alias("lowest"))
+
 
-    ``situs`` comes from :func:`situs_texts`. All parcels of one number, street name and normalized
-    situs score alike, so pairs are made of distinct texts and none is left out. The substring join
-    runs between distinct names, within one number where there is one. What scoring needs of either
-    side is made once per address and once per text.
+def _asked(addresses: DataFrame) -> DataFrame:
+    """(normalized, q_number, q_name, address_form) of the addresses that name a street.
+
+    An address without a number is asked for by all its words but the street type.
     """
-    parts = F.struct(parse_address("normalized").alias("p"), parse_address(F.concat(F.lit("0 "), "normalized")).alias("u"), token_sort_key("normalized").alias("key"))
-    parsed = addresses.select("normalized", _after_grouping(parts).alias("q")).select(
+    parts = F.struct(
+        parse_address("normalized").alias("p"), parse_address(F.concat(F.lit("0 "), "normalized")).alias("u"), key_form(token_sort_key("normalized")).alias("form")
+    )
+    return addresses.select("normalized", _after_grouping(parts).alias("q")).select(
         "normalized",
         F.col("q.p.street_number").alias("q_number"),
         F.when(F.col("q.p.street_number") == "", F.col("q.u.street_name")).otherwise(F.col("q.p.street_name")).alias("q_name"),
-        F.col("q.key").alias("address_key"),
+        F.col("q.form").alias("address_form"),
     ).filter("q_name <> ''")
-    texts = situs.select(*TEXT_KEY).distinct().withColumn("situs_key", token_sort_key("situs_normalized"))
-    streets = situs.select(F.col("street_number").alias("q_number"), "street_name").distinct()
-    verify = lambda text: F.contains(text, F.col("q_name"))
-    asked = parsed.select("q_number", "q_name").distinct()
-    numbered = gram_join(asked.filter("q_number <> ''"), streets, F.col("q_name"), "street_name", verify, equal=["q_number"])
-    free = gram_join(
-        asked.filter("q_number = ''").select("q_name"), streets.select("street_name").distinct(), F.col("q_name"), "street_name", verify
-    )
-    everywhere = free.join(streets, "street_name").select(
-        F.lit("").alias("q_number"), "q_name", F.col("q_number").alias("street_number"), "street_name"
+
+
+def _names_containing(asked: DataFrame, streets: DataFrame, equal: list[str]) -> DataFrame:
+    return gram_join(asked, streets, F.col("q_name"), "street_name", lambda text: F.contains(text, F.col("q_name")), equal=equal)
+
+
+def numbered_candidates(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+    """(normalized, text of parcels) pairs of the addresses with a number: same street number, parcel
+    street name containing the address's.
+
+    ``texts`` come from :func:`distinct_texts`; no pair is left out. The substring join runs between
+    distinct names within one number. What scoring needs of either side is made once per address
+    and once per text.
+    """
+    parsed = _asked(addresses).filter("q_number <> ''")
+    formed = texts.select(*TEXT_KEY, key_form(token_sort_key("situs_normalized")).alias("situs_form"))
+    streets = texts.select(F.col("street_number").alias("q_number"), "street_name").distinct()
+    found = _names_containing(parsed.select("q_number", "q_name").distinct(), streets, ["q_number"]).select(
+        "q_number", "q_name", F.col("q_number").alias("street_number"), "street_name"
     )
-    found = numbered.select("q_number", "q_name", F.col("q_number").alias("street_number"), "street_name").unionByName(everywhere)
-    return parsed.join(found, ["q_number", "q_name"]).join(texts, ["street_number", "street_name"]).select(
-        "normalized", "address_key", *TEXT_KEY, "situs_key"
+    return parsed.join(found, ["q_number", "q_name"]).join(formed, ["street_number", "street_name"]).select(
+        "normalized", "address_form", *TEXT_KEY, "situs_form"
     )
 
 
+def unnumbered_candidates(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+    """As :func:`numbered_candidates` for addresses without a number: with every text of all streets
+    whose name contains their words. :func:`best_unnumbered` scores only those that can be among the
+    best."""
+    parsed = _asked(addresses).filter("q_number = ''")
+    formed = texts.select(*TEXT_KEY, key_form(token_sort_key("situs_normalized")).alias("situs_form"))
+    found = _names_containing(parsed.select("q_name").distinct(), texts.select("street_name").distinct(), [])
+    return parsed.join(found, "q_name").join(formed, "street_name").select("normalized", "address_form", *TEXT_KEY, "situs_form")
+
+
+def candidate_texts(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+    """All candidate pairs, of addresses with and without a number."""
+    return numbered_candidates(addresses, texts).unionByName(unnumbered_candidates(addresses, texts))
+
+
+def _method() -> Column:
+    return F.when(F.col("situs_normalized") == F.col("normalized"), "Exact").otherwise("Fuzzy").alias("match_method")
+
+
 def score_candidates(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Pairs of :func:`candidate_texts` with ``confidence`` and ``match_method``, those that reach
     ``min_confidence``."""
-    a, b = F.col("address_key"), F.col("situs_key")
+    a, b = F.col("address_form"), F.col("situs_form")
     # Scoring is the costly step, so the pairs left to score are spread evenly first.
-    near = candidates.filter(reachable(a, b, min_confidence)).repartition("normalized", *TEXT_KEY)
-    method = F.when(F.col("situs_normalized") == F.col("normalized"), "Exact").otherwise("Fuzzy")
-    scored = near.select("normalized", *TEXT_KEY, key_ratio(a, b).alias("confidence"), method.alias("match_method"))
+    near = candidates.filter(reachable(a["key"], b["key"], min_confidence)).repartition("normalized", *TEXT_KEY)
+    scored = near.select("normalized", *TEXT_KEY, form_ratio(a, b).alias("confidence"), _method())
     return min_confidence_filter(scored, min_confidence)
 
 
+def best_unnumbered(
+    addresses: DataFrame, texts: DataFrame, min_confidence: float = MIN_CONFIDENCE, n: int = MAX_RESULTS
+) -> DataFrame:
+    """As :func:`score_candidates` for the addresses without a number, each with its ``n`` best texts
+    only: by confidence, then by their parcels' lowest id. A ranking of ``n`` parcels needs no others.
+
+    The texts of a street whose keys have the same character counts share an upper bound of their
+    score with an address. They lie in blocks by parcel id. An address reads the blocks by descending
+    bound, then by id, and stops where they cannot beat its ``n``-th best text, so what is scored
+    does not grow with the street unless its scores do.
+    """
+    parsed = stored(_asked(addresses).filter("q_number = ''").withColumn("asked", kind_counts(F.col("address_form.key"))), "unnumbered")
+    if parsed.isEmpty():
+        none = "normalized string, street_number string, street_name string, situs_normalized string, confidence int, match_method string"
+        return texts.sparkSession.createDataFrame([], none)
+    found = _names_containing(parsed.select("q_name").distinct(), texts.select("street_name").distinct(), [])
+    reached = stored(parsed.select("normalized", "q_name", "asked").join(found, "q_name").select("normalized", "asked", "street_name"), "streets")
+    own = texts.join(reached.select("street_name").distinct(), "street_name", "left_semi")
+    formed = own.withColumn("situs_form", key_form(token_sort_key("situs_normalized"))).withColumn("counts", kind_counts(F.col("situs_form.key")))
+    blocks = stored(ordered_blocks(formed, ["street_name", "counts"], "lowest", ["street_number", "situs_normalized", "situs_form"]), "text-blocks")
+    bound = counts_bound(F.col("asked"), F.col("counts"))
+    open_blocks = reached.join(blocks.select("street_name", "counts", "block", "first"), "street_name").withColumn("bound", bound)
+    open_blocks = open_blocks.filter(F.col("bound") >= min_confidence).select(
+        "normalized", F.struct((-F.col("bound")).alias("score"), F.col("first").alias("lowest")).alias("rank"), "street_name", "counts", "block"
+    )
+
+    def read(taken: DataFrame) -> DataFrame:
+        met = taken.drop("rank").join(blocks, ["street_name", "counts", "block"]).join(parsed.select("normalized", "address_form"), "normalized")
+        pairs = met.select("normalized", "address_form", "street_name", F.explode("entries").alias("e")).select("normalized", "address_form", "street_name", "e.*")
+        a, b = F.col("address_form"), F.col("situs_form")
+        near = pairs.filter(reachable(a["key"], b["key"], min_confidence)).repartition("normalized", *TEXT_KEY)
+        scored = stored(near.select("normalized", *TEXT_KEY, form_ratio(a, b).alias("confidence"), _method(), "lowest"), "scored-pairs")
+        rank = F.struct((-F.col("confidence")).alias("score"), F.col("lowest"))
+        return min_confidence_filter(scored, min_confidence).withColumn("rank", rank).drop("lowest")
+
+    return first_hits(open_blocks, read, ["normalized"], n).select("normalized", *TEXT_KEY, "confidence", "match_method")
+
+
 def parcels_of_texts(scored: DataFrame, situs: DataFrame, n: int | None = None) -> DataFrame:
     """Scored texts with their parcels, or with the first ``n`` of each text by parcel id: a ranking
     of ``n`` by confidence, then id, can use no others."""
@@ -153,7 +215,9 @@ def match_distinct(
 ) -> DataFrame:
     """Ranked matches of a table from :func:`distinct_addresses`."""
     situs = situs_texts(parcels)
-    scored = score_candidates(candidate_texts(addresses, situs), min_confidence)
+    texts = stored(distinct_texts(situs), "texts")
+    scored = score_candidates(numbered_candidates(addresses, texts), min_confidence)
+    scored = scored.unionByName(best_unnumbered(addresses, texts, min_confidence, max_results))
     return rank_matches(parcels_of_texts(scored, situs, max_results), ["normalized"], max_results)
 
 
@@ -166,7 +230,7 @@ def match_addresses(
 ) -> DataFrame:
     """Up to ``max_results`` parcels per distinct normalized address: ``normalized``, the parcel
     columns, ``confidence``, ``match_method``, ``match_rank``. Blank addresses give no rows."""
-    addresses = distinct_addresses(spelled_addresses(requests, address))
+    addresses = stored(distinct_addresses(spelled_addresses(requests, address)), "addresses")
     return match_distinct(addresses, parcels, min_confidence, max_results)
 
 

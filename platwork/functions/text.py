@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-# Whitespace as the source data means it: every Unicode whitespace character.
-WHITESPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
-SPACE = f"[{WHITESPACE}]"
+# Whitespace as the source data means it: every Unicode whitespace character, as ranges of codes.
+SPACES = ((9, 13), (28, 32), (133, 133), (160, 160), (5760, 5760), (8192, 8202), (8232, 8233), (8239, 8239), (8287, 8287), (12288, 12288))
+WHITESPACE = "".join(chr(c) for first, last in SPACES for c in range(first, last + 1))
+# Patterns name ranges, not every character: the fewer members a class has, the faster it is tested.
+SPACE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SPACES) + "]"
+# Runs of whitespace other than one plain space, which stays as it is.
+RUNS = f"[{SPACE}&&[^ ]]{SPACE}*| {SPACE}+"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,7 +26,7 @@ def strip(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Strip, then turn each inner run of whitespace into one space."""
-    return F.regexp_replace(strip(c), f"{SPACE}+", " ")
+    return F.regexp_replace(strip(c), RUNS, " ")
 
 
 def clean_identifier(c: Column | str) -> Column:

@@ -11,15 +11,17 @@ from platwork.functions.text import strip
 
 # Accepted date layouts, each with the shape of the texts it reads. Single-letter
 # fields also accept two digits.
-DATE_LAYOUTS = (
+SLASH_LAYOUTS = (
     (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
     (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", "M/d/yyyy H:mm"),
     (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+)
+DASH_LAYOUTS = ((r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),)
+DIGIT_LAYOUTS = ((r"\d{8}", "yyyyMMdd"),)
+LETTER_LAYOUTS = (
     (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M", "M/d/yyyy h:mm a"),
     (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M", "M/d/yyyy h:mm:ss a"),
-    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
-    (r"\d{8}", "yyyyMMdd"),
     (r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "d-MMM-yyyy"),
     (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
 )
@@ -46,9 +48,10 @@ def as_timestamp(value: Column | datetime | str) -> Column:
 def read_date(c: Column | str) -> Column:
     """The timestamp of a text in one of the known layouts, else null; months and AM/PM in any case.
 
-    The shape of the text chooses the one layout that is tried.
+    Whether a text has letters, slashes or hyphens chooses the layouts whose shapes it is held
+    against, and its shape the one layout that is tried.
     """
-    text = F.regexp_replace(strip(c), r"\s+", " ")
+    text = F.regexp_replace(strip(c), r"\s{2,}|[\s&&[^ ]]", " ")
     named = F.when(text.rlike("[A-Za-z]{3}"), F.initcap(F.lower(text))).otherwise(F.upper(text))
     year = F.regexp_extract(text, SHORT_YEAR, 2)
     century = F.when(year.try_cast("int") >= PIVOT, "19").otherwise("20")
@@ -59,12 +62,21 @@ def read_date(c: Column | str) -> Column:
         month != "", F.concat(F.regexp_extract(named, r"^(\d{1,2}-)", 1), F.upper(month), F.regexp_extract(named, r"^\d{1,2}-[a-z](.*)$", 1))
     ).otherwise(named)
     full = F.regexp_replace(spelled, r"(\d)([AP]M)$", "$1 $2")
-    parsed = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz")).when(
-        text.rlike(SHORT_YEAR), F.try_to_timestamp(long_year, F.lit("M/d/yyyy")).cast("timestamp_ntz")
+
+    def tried(value: Column, layouts: tuple) -> Column:
+        parsed = F
+        for shape, layout in layouts:
+            parsed = parsed.when(value.rlike(f"^{shape}$"), F.try_to_timestamp(value, F.lit(layout)).cast("timestamp_ntz"))
+        return parsed
+
+    lettered = text.rlike("[A-Za-z]")
+    slashed = tried(text, SLASH_LAYOUTS).when(text.rlike(SHORT_YEAR), F.try_to_timestamp(long_year, F.lit("M/d/yyyy")).cast("timestamp_ntz"))
+    return (
+        F.when(lettered, F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz")).otherwise(tried(full, LETTER_LAYOUTS)))
+        .when(text.contains("/"), slashed)
+        .when(text.contains("-"), F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz")).otherwise(tried(text, DASH_LAYOUTS)))
+        .otherwise(tried(text, DIGIT_LAYOUTS))
     )
-    for shape, layout in DATE_LAYOUTS:
-        parsed = parsed.when(full.rlike(f"^{shape}$"), F.try_to_timestamp(full, F.lit(layout)).cast("timestamp_ntz"))
-    return parsed
 
 
 def parse_date(c: Column | str, as_of: Column | datetime | str) -> Column:

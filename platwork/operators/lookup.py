@@ -52,7 +52,7 @@ def _lookup(
     requests: DataFrame, column: str, prepare: Callable[[str], Column], parcels: DataFrame, owners: DataFrame | None,
     text: Column, key: str, number: str, payload: Sequence[str], index: ListIndex | None,
 ) -> DataFrame:
-    queries = requests.filter(F.col(column).isNotNull()).select(prepare(column).alias("query")).distinct()
+    queries = stored(requests.filter(F.col(column).isNotNull()).select(prepare(column).alias("query")).distinct(), "queries")
     texts = parcels.withColumn("_text", text)
     hits = _first_containing(queries, texts, key, number, index)
     rows = parcels.select(*dict.fromkeys([key, number, *payload]))
@@ -110,7 +110,7 @@ def parcel_search(
 ) -> DataFrame:
     """First ``limit`` parcels per query whose ``number street, city, state`` text contains the
     query's words in order, sorted by number, street, parcel id."""
-    queries = requests.filter(F.col(address).isNotNull()).select(F.col(address).alias("query")).distinct()
+    queries = stored(requests.filter(F.col(address).isNotNull()).select(F.col(address).alias("query")).distinct(), "queries")
     full = format_situs("street_number", "street_name", "city", "state")
     texts = parcels.select(
         "pid", "street_number", "street_name", "city", "state", "zip_code", full.alias("full_address")

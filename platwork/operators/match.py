@@ -90,11 +90,12 @@ def situs_texts(parcels: DataFrame) -> DataFrame:
 
 def distinct_texts(situs: DataFrame) -> DataFrame:
     """One row per street number, street name and normalized situs of :func:`situs_texts`, with the
-    ``lowest`` parcel id. Parcels of one text score alike."""
-    return situs.groupBy(*TEXT_KEY).agg(F.min(F.struct("pid")).alias("lowest"))
+    ``lowest`` parcel id and the text's ``situs_form``. Parcels of one text score alike."""
+    texts = situs.groupBy(*TEXT_KEY).agg(F.min(F.struct("pid")).alias("lowest"))
+    return texts.withColumn("situs_form", key_form(token_sort_key("situs_normalized")))
 
 
-def _asked(addresses: DataFrame) -> DataFrame:
+def asked_addresses(addresses: DataFrame) -> DataFrame:
     """(normalized, q_number, q_name, address_form) of the addresses that name a street.
 
     An address without a number is asked for by all its words but the street type.
@@ -114,16 +115,16 @@ def _names_containing(asked: DataFrame, streets: DataFrame, equal: list[str]) ->
     return gram_join(asked, streets, F.col("q_name"), "street_name", lambda text: F.contains(text, F.col("q_name")), equal=equal)
 
 
-def numbered_candidates(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+def numbered_candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """(normalized, text of parcels) pairs of the addresses with a number: same street number, parcel
     street name containing the address's.
 
-    ``texts`` come from :func:`distinct_texts`; no pair is left out. The substring join runs between
-    distinct names within one number. What scoring needs of either side is made once per address
-    and once per text.
+    ``asked`` come from :func:`asked_addresses`, ``texts`` from :func:`distinct_texts`; no pair is left
+    out. The substring join runs between distinct names within one number. What scoring needs of
+    either side is made once per address and once per text, best stored with them.
     """
-    parsed = _asked(addresses).filter("q_number <> ''")
-    formed = texts.select(*TEXT_KEY, key_form(token_sort_key("situs_normalized")).alias("situs_form"))
+    parsed = asked.filter("q_number <> ''")
+    formed = texts.select(*TEXT_KEY, "situs_form")
     streets = texts.select(F.col("street_number").alias("q_number"), "street_name").distinct()
     found = _names_containing(parsed.select("q_number", "q_name").distinct(), streets, ["q_number"]).select(
         "q_number", "q_name", F.col("q_number").alias("street_number"), "street_name"
@@ -133,19 +134,19 @@ def numbered_candidates(addresses: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def unnumbered_candidates(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+def unnumbered_candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """As :func:`numbered_candidates` for addresses without a number: with every text of all streets
     whose name contains their words. :func:`best_unnumbered` scores only those that can be among the
     best."""
-    parsed = _asked(addresses).filter("q_number = ''")
-    formed = texts.select(*TEXT_KEY, key_form(token_sort_key("situs_normalized")).alias("situs_form"))
+    parsed = asked.filter("q_number = ''")
+    formed = texts.select(*TEXT_KEY, "situs_form")
     found = _names_containing(parsed.select("q_name").distinct(), texts.select("street_name").distinct(), [])
     return parsed.join(found, "q_name").join(formed, "street_name").select("normalized", "address_form", *TEXT_KEY, "situs_form")
 
 
-def candidate_texts(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+def candidate_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """All candidate pairs, of addresses with and without a number."""
-    return numbered_candidates(addresses, texts).unionByName(unnumbered_candidates(addresses, texts))
+    return numbered_candidates(asked, texts).unionByName(unnumbered_candidates(asked, texts))
 
 
 def _method() -> Column:
@@ -163,7 +164,7 @@ def score_candidates(candidates: DataFrame, min_confidence: float = MIN_CONFIDEN
 
 
 def best_unnumbered(
-    addresses: DataFrame, texts: DataFrame, min_confidence: float = MIN_CONFIDENCE, n: int = MAX_RESULTS
+    asked: DataFrame, texts: DataFrame, min_confidence: float = MIN_CONFIDENCE, n: int = MAX_RESULTS
 ) -> DataFrame:
     """As :func:`score_candidates` for the addresses without a number, each with its ``n`` best texts
     only: by confidence, then by their parcels' lowest id. A ranking of ``n`` parcels needs no others.
@@ -173,14 +174,14 @@ def best_unnumbered(
     bound, then by id, and stops where they cannot beat its ``n``-th best text, so what is scored
     does not grow with the street unless its scores do.
     """
-    parsed = stored(_asked(addresses).filter("q_number = ''").withColumn("asked", kind_counts(F.col("address_form.key"))), "unnumbered")
-    if parsed.isEmpty():
-        none = "normalized string, street_number string, street_name string, situs_normalized string, confidence int, match_method string"
-        return texts.sparkSession.createDataFrame([], none)
+    parsed = stored(asked.filter("q_number = ''").withColumn("asked", kind_counts(F.col("address_form.key"))), "unnumbered")
     found = _names_containing(parsed.select("q_name").distinct(), texts.select("street_name").distinct(), [])
     reached = stored(parsed.select("normalized", "q_name", "asked").join(found, "q_name").select("normalized", "asked", "street_name"), "streets")
+    if reached.isEmpty():
+        none = "normalized string, street_number string, street_name string, situs_normalized string, confidence int, match_method string"
+        return texts.sparkSession.createDataFrame([], none)
     own = texts.join(reached.select("street_name").distinct(), "street_name", "left_semi")
-    formed = own.withColumn("situs_form", key_form(token_sort_key("situs_normalized"))).withColumn("counts", kind_counts(F.col("situs_form.key")))
+    formed = own.withColumn("counts", kind_counts(F.col("situs_form.key")))
     blocks = stored(ordered_blocks(formed, ["street_name", "counts"], "lowest", ["street_number", "situs_normalized", "situs_form"]), "text-blocks")
     bound = counts_bound(F.col("asked"), F.col("counts"))
     open_blocks = reached.join(blocks.select("street_name", "counts", "block", "first"), "street_name").withColumn("bound", bound)
@@ -216,8 +217,9 @@ def match_distinct(
     """Ranked matches of a table from :func:`distinct_addresses`."""
     situs = situs_texts(parcels)
     texts = stored(distinct_texts(situs), "texts")
-    scored = score_candidates(numbered_candidates(addresses, texts), min_confidence)
-    scored = scored.unionByName(best_unnumbered(addresses, texts, min_confidence, max_results))
+    asked = stored(asked_addresses(addresses), "asked")
+    scored = score_candidates(numbered_candidates(asked, texts), min_confidence)
+    scored = scored.unionByName(best_unnumbered(asked, texts, min_confidence, max_results))
     return rank_matches(parcels_of_texts(scored, situs, max_results), ["normalized"], max_results)
 
 
@@ -230,7 +232,7 @@ def match_addresses(
 ) -> DataFrame:
     """Up to ``max_results`` parcels per distinct normalized address: ``normalized``, the parcel
     columns, ``confidence``, ``match_method``, ``match_rank``. Blank addresses give no rows."""
-    addresses = stored(distinct_addresses(spelled_addresses(requests, address)), "addresses")
+    addresses = distinct_addresses(spelled_addresses(requests, address))
     return match_distinct(addresses, parcels, min_confidence, max_results)
 
 

@@ -231,7 +231,7 @@ def _like_contains(t: Tables) -> DataFrame:
 def _scored(t: Tables) -> DataFrame:
     addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
     situs = match.situs_texts(_parcels(t))
-    return match.parcels_of_texts(match.score_candidates(match.candidate_texts(addresses, match.distinct_texts(situs)), 40), situs)
+    return match.parcels_of_texts(match.score_candidates(match.candidate_texts(match.asked_addresses(addresses), match.distinct_texts(situs)), 40), situs)
 
 
 @register("min_confidence_filter")

@@ -26,7 +26,7 @@ def asked(spark, *texts):
 
 def full(addresses, parcels, least, n):
     situs = match.situs_texts(parcels)
-    scored = match.score_candidates(match.unnumbered_candidates(addresses, match.distinct_texts(situs)), least)
+    scored = match.score_candidates(match.unnumbered_candidates(match.asked_addresses(addresses), match.distinct_texts(situs)), least)
     return match.rank_matches(match.parcels_of_texts(scored, situs), ["normalized"], n)
 
 

@@ -319,6 +319,30 @@ def address_match_rows(
     )
 
 
+def match_stat_partials(matches: DataFrame) -> DataFrame:
+    """Per job and match method the sums that :func:`merged_match_stats` adds up. They are kept beside
+    the matches in folders per job, and replaced when a job is matched again."""
+    return matches.groupBy("ImportJobID", "MatchMethod").agg(
+        F.count("*").alias("matches"), F.count("ParcelNumber").alias("found"), F.count("ConfidenceScore").alias("scores"),
+        F.sum("ConfidenceScore").cast("decimal(28,2)").alias("score_sum"),
+    )
+
+
+def merged_match_stats(partials: DataFrame) -> DataFrame:
+    """The statistics of :func:`address_match_stats` from the partials of any set of jobs."""
+    sums = partials.groupBy("MatchMethod").agg(*(F.sum(c).alias(c) for c in ("matches", "found", "scores", "score_sum")))
+    total, found = F.col("matches"), F.col("found")
+    rate = (found * 100).cast("decimal(24,4)") / total.cast("decimal(20,0)")
+    return sums.select(
+        "MatchMethod",
+        total.alias("TotalMatches"),
+        F.when(F.col("scores") > 0, F.col("score_sum").cast("double") / F.col("scores")).alias("AvgConfidence"),
+        found.alias("SuccessfulMatches"),
+        (total - found).alias("FailedMatches"),
+        rate.cast("decimal(5,2)").alias("SuccessRate"),
+    )
+
+
 def address_match_stats(matches: DataFrame) -> DataFrame:
     """Per match method: count, average confidence, matched, unmatched and success percentage."""
     total, found = F.count("*"), F.count("ParcelNumber")

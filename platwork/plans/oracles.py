@@ -446,6 +446,63 @@ ORACLES: dict[str, str] = {
         "description AS Description, address AS ProjectAddress, valuation AS Valuation, status AS Status FROM permit "
         "ORDER BY permit.issue_date DESC, src_row LIMIT 100 OFFSET 50",
     ),
+    "read_permits_page_after": _with(
+        [FX_P], [PERMIT],
+        f"SELECT src_row AS PermitID, permit_number AS PermitNumber, {_iso('issue_date')} AS IssuedDate, permit_type AS PermitType, "
+        "description AS Description, address AS ProjectAddress, valuation AS Valuation, status AS Status FROM permit "
+        "WHERE permit.issue_date < TIMESTAMP '1996-01-02' OR permit.issue_date IS NULL OR (permit.issue_date = TIMESTAMP '1996-01-02' AND src_row > 300) "
+        "ORDER BY permit.issue_date DESC NULLS LAST, src_row LIMIT 100",
+    ),
+    "read_permits_page_indexed": _with(
+        [FX_P], [PERMIT],
+        f"SELECT src_row AS PermitID, permit_number AS PermitNumber, {_iso('issue_date')} AS IssuedDate, permit_type AS PermitType, "
+        "description AS Description, address AS ProjectAddress, valuation AS Valuation, status AS Status FROM permit "
+        "ORDER BY permit.issue_date DESC NULLS LAST, src_row LIMIT 100 OFFSET 700",
+    ),
+    "read_property_page_after": _with(
+        ["fx_personal_property", "fx_assessment"], [f"all_rows AS ({LATEST})"],
+        "SELECT PersonalPropertyID, AccountNumber, OwnerName, PropertyType, AssessmentYear, AssessedValue FROM all_rows "
+        "WHERE AccountNumber > 'PP00000040' OR (AccountNumber = 'PP00000040' AND PersonalPropertyID > 40) ORDER BY AccountNumber LIMIT 50",
+    ),
+    "duplicate_permit_pairs_of_job": _with(
+        ["fx_staging"], [STAGED],
+        "SELECT p1.StagingID, p1.PermitNumber, count(*) AS pair_count, 'Duplicate permit number found in system' AS DuplicateMessage "
+        "FROM staged p1 JOIN staged p2 ON p1.PermitNumber = p2.PermitNumber AND p1.StagingID <> p2.StagingID "
+        "WHERE p2.ProcessingStatus <> 'Failed' AND p1.ImportJobID = 4 GROUP BY 1, 2",
+    ),
+    "flag_duplicate_permits_of_job": _with(
+        ["fx_staging"],
+        [STAGED, "dup AS (SELECT p.StagingID FROM staged p WHERE p.ImportJobID = 4 AND EXISTS (SELECT 1 FROM staged q WHERE q.PermitNumber = p.PermitNumber "
+                 "AND q.StagingID <> p.StagingID AND q.ProcessingStatus <> 'Failed'))"],
+        "SELECT s.StagingID, s.PermitNumber, CASE WHEN d.StagingID IS NOT NULL THEN 'Warning' ELSE ValidationStatus END AS ValidationStatus, "
+        "CASE WHEN d.StagingID IS NOT NULL THEN coalesce(ValidationMessage, '') || 'Duplicate permit number found in system; ' "
+        "ELSE ValidationMessage END AS ValidationMessage FROM staged s LEFT JOIN dup d ON d.StagingID = s.StagingID",
+    ),
+    "complete_one_import_job": _with(
+        ["fx_import_job", "fx_staging"], [],
+        f"SELECT j.ImportJobID, j.ImportType, CASE WHEN j.ImportJobID = 4 THEN 'Completed' END AS Status, "
+        f"CASE WHEN j.ImportJobID = 4 THEN {_iso(AS_OF)} ELSE {_iso('max(j.CompletedDate)')} END AS CompletedDate, "
+        "CASE WHEN j.ImportJobID = 4 THEN count(s.StagingID) ELSE max(j.RecordsTotal) END AS RecordsTotal, "
+        "CASE WHEN j.ImportJobID = 4 THEN count(CASE WHEN s.ProcessingStatus = 'Processed' THEN 1 END) ELSE max(j.RecordsSuccessful) END AS RecordsSuccessful, "
+        "CASE WHEN j.ImportJobID = 4 THEN count(CASE WHEN s.ProcessingStatus IN ('Failed', 'Skipped') THEN 1 END) ELSE max(j.RecordsFailed) END AS RecordsFailed "
+        "FROM fx_import_job j LEFT JOIN fx_staging s ON s.ImportJobID = j.ImportJobID GROUP BY 1, 2",
+    ),
+    "address_match_stats_merged": _with(
+        [FX_P, FX_L], ATTACHED,
+        "SELECT coalesce(method, 'Fuzzy') AS MatchMethod, count(*) AS TotalMatches, avg(match_confidence) AS AvgConfidence, "
+        "count(nullif(parcel_id, '')) AS SuccessfulMatches, count(*) - count(nullif(parcel_id, '')) AS FailedMatches, "
+        + _half_up_percent("count(nullif(parcel_id, ''))", "count(*)")
+        + " AS SuccessRate FROM attached WHERE norm IS NOT NULL GROUP BY 1",
+        recursive=True,
+    ),
+    "stream_match_and_stage_property": _with(
+        [FX_A, FX_L], ATTACHED_PROPERTY,
+        "SELECT src_row, account_number AS TaxpayerID, nullif(parcel_id, '') AS ParcelNumber, "
+        + STATUS.replace("errors", "validation_errors")
+        + " AS ValidationStatus, nullif(validation_errors, '') AS ValidationMessage, "
+        "nullif(regexp_replace(validation_errors, '; $', ''), '') AS LoggedError FROM attached",
+        recursive=True,
+    ),
     "read_property_page": _with(
         ["fx_personal_property", "fx_assessment"], [f"all_rows AS ({LATEST})"],
         "SELECT PersonalPropertyID, AccountNumber, OwnerName, PropertyType, AssessmentYear, AssessedValue FROM all_rows "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ from platwork.operators import (
 )
 from platwork.plans import imports
 from platwork.plans.standins import Tables
-from platwork.session import shared_dir
+from platwork.session import shared_dir, stored
 from platwork.sources import feeds, jdbc, sinks
 from platwork.streaming import watch
 
 AS_OF = "2025-06-30 12:00:00"
 JOB = 77
+# A job of the import tables.
+ONE_JOB = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +282,13 @@ def _match_stats(t: Tables) -> DataFrame:
     return stats.withColumn("SuccessRate", F.col("SuccessRate").cast("double"))
 
 
+@register("address_match_stats_merged")
+def _merged_stats(t: Tables) -> DataFrame:
+    rows = match.address_match_rows(_matched(t), matched_at=AS_OF, job_id=F.pmod("src_row", F.lit(5)), record_type="Permit", record_id="src_row")
+    stats = match.merged_match_stats(stored(match.match_stat_partials(rows), "match-partials"))
+    return stats.withColumn("SuccessRate", F.col("SuccessRate").cast("double"))
+
+
 # Lookups.
 
 @register("parcel_by_address")
@@ -315,14 +325,29 @@ def _latest(t: Tables) -> DataFrame:
     return lookup.latest_assessment(t.view("fx_personal_property"), t.view("fx_assessment"))
 
 
-@register("read_permits_page")
-def _permits_page(t: Tables) -> DataFrame:
-    p = _permits(t).select(
+def _permit_table(t: Tables) -> DataFrame:
+    return _permits(t).select(
         F.col("src_row").alias("PermitID"), F.col("permit_number").alias("PermitNumber"), F.col("issue_date").alias("IssuedDate"),
         F.col("permit_type").alias("PermitType"), F.col("description").alias("Description"), F.col("address").alias("ProjectAddress"),
         F.col("valuation").alias("Valuation"), F.col("status").alias("Status"),
     )
-    return _day(paging.read_permits_page(p, limit=100, offset=50), "IssuedDate")
+
+
+@register("read_permits_page")
+def _permits_page(t: Tables) -> DataFrame:
+    return _day(paging.read_permits_page(_permit_table(t), limit=100, offset=50), "IssuedDate")
+
+
+@register("read_permits_page_after")
+def _permits_after(t: Tables) -> DataFrame:
+    seen = (datetime(1996, 1, 2), 300)
+    return _day(paging.read_permits_page(_permit_table(t), limit=100, after=seen), "IssuedDate")
+
+
+@register("read_permits_page_indexed")
+def _permits_indexed(t: Tables) -> DataFrame:
+    index = paging.page_index(_permit_table(t), paging.PERMIT_ORDER)
+    return _day(paging.read_permits_page(index.rows, limit=100, offset=700, index=index), "IssuedDate")
 
 
 @register("read_property_page")
@@ -330,6 +355,12 @@ def _property_page(t: Tables) -> DataFrame:
     return paging.read_property_page(t.view("fx_personal_property"), t.view("fx_assessment"), limit=100, offset=300)
 
 
+@register("read_property_page_after")
+def _property_after(t: Tables) -> DataFrame:
+    seen = ("PP00000040", 40)
+    return paging.read_property_page(t.view("fx_personal_property"), t.view("fx_assessment"), limit=50, after=seen)
+
+
 # Duplicates and jobs.
 
 def _staging(t: Tables) -> DataFrame:
@@ -351,6 +382,25 @@ def _flag(t: Tables) -> DataFrame:
     return duplicates.flag_duplicate_permits(_staging(t)).select("StagingID", "PermitNumber", "ValidationStatus", "ValidationMessage")
 
 
+@register("duplicate_permit_pairs_of_job")
+def _pairs_of_job(t: Tables) -> DataFrame:
+    return duplicates.duplicate_permit_pairs(_staging(t), job_id=ONE_JOB).select("StagingID", "PermitNumber", "pair_count", "DuplicateMessage")
+
+
+@register("flag_duplicate_permits_of_job")
+def _flag_of_job(t: Tables) -> DataFrame:
+    counts = stored(duplicates.permit_number_counts(_staging(t)), "number-counts")
+    flagged = duplicates.flag_duplicate_permits(_staging(t), job_id=ONE_JOB, counts=counts)
+    return flagged.select("StagingID", "PermitNumber", "ValidationStatus", "ValidationMessage")
+
+
+@register("complete_one_import_job")
+def _complete_one(t: Tables) -> DataFrame:
+    done = jobs.complete_import_job(t.view("fx_import_job"), t.view("fx_staging"), t.view("fx_staging"), AS_OF, job_id=ONE_JOB)
+    done = done.filter((F.col("ImportJobID") == ONE_JOB) | F.col("Status").isNull())
+    return _day(done, "CompletedDate").select("ImportJobID", "ImportType", "Status", "CompletedDate", "RecordsTotal", "RecordsSuccessful", "RecordsFailed")
+
+
 @register("complete_import_job")
 def _complete(t: Tables) -> DataFrame:
     done = jobs.complete_import_job(t.view("fx_import_job"), t.view("fx_staging"), t.view("fx_staging"), AS_OF)
@@ -562,6 +612,22 @@ def _stage_stream(t: Tables) -> DataFrame:
     )
 
 
+@register("stream_match_and_stage_property")
+def _stage_property(t: Tables) -> DataFrame:
+    folder, out, errors, state = (shared_dir(t.spark, label) for label in ("watch", "staged", "errors", "stage-state"))
+    raw = t.view("fx_property_raw").withColumnRenamed("src_row", watch.RECORD)
+    raw.repartition(4, watch.RECORD).write.options(header=True, **sinks.CSV_WRITE).csv(folder)
+    rows = watch.stream_watch_folder(t.spark, folder, raw.columns)
+    rows = rows.withColumn(watch.RECORD, F.col(watch.RECORD).cast("bigint"))
+    query = watch.stream_match_and_stage(rows, lambda: _parcels(t), watch.PROPERTY, out, errors, state, AS_OF)
+    query.awaitTermination()
+    staged = sinks.read_staging(t.spark, out)
+    logged = t.spark.read.parquet(errors).select(F.col("RecordIndex").alias("PersonalPropertyStagingID"), F.col("ErrorMessage").alias("LoggedError"))
+    return staged.join(logged, "PersonalPropertyStagingID", "left").select(
+        F.col("PersonalPropertyStagingID").alias("src_row"), "TaxpayerID", "ParcelNumber", "ValidationStatus", "ValidationMessage", "LoggedError"
+    )
+
+
 # Flows.
 
 @register("import_permits")

@@ -341,8 +341,39 @@ def test_pages(spark):
     assert [r.PermitID for r in paging.read_permits_page(df, 5, 10).collect()] == whole[10:15]
 
 
+def test_pages_of_accounts_continue_behind_nulls(spark):
+    rows = [(i, None if i % 4 == 0 else f"A{i % 5}") for i in range(40)]
+    accounts = spark.createDataFrame(rows, "PersonalPropertyID int, AccountNumber string")
+    table = spark.createDataFrame([(1, 2023, 6.0)], "PersonalPropertyID int, AssessmentYear int, AssessedValue double")
+    whole = [i for i, n in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))]
+    seen, after = [], None
+    while part := paging.read_property_page(accounts, table, 9, after=after).collect():
+        seen += [r.PersonalPropertyID for r in part]
+        after = (part[-1].AccountNumber, part[-1].PersonalPropertyID)
+    assert seen == whole
+    index = paging.page_index(accounts.repartition(3), paging.PROPERTY_ORDER)
+    for offset in (0, 13, 36, 40, 99):
+        assert [r.PersonalPropertyID for r in paging.read_property_page(accounts, table, 9, offset, index=index).collect()] == whole[offset : offset + 9]
+    assert paging.read_property_page(accounts, table, 9, index=paging.page_index(accounts.limit(0), paging.PROPERTY_ORDER)).collect() == []
+
+
+def test_kept_number_counts(spark):
+    rows = [(i, i % 3, f"P{i % 4}" if i % 5 else None, "Failed" if i % 7 == 0 else "Processed") for i in range(60)]
+    staging = spark.createDataFrame(rows, "StagingID int, ImportJobID int, PermitNumber string, ProcessingStatus string")
+    counts = duplicates.permit_number_counts(staging)
+    for job in (None, 1, 9):
+        plain = sorted(duplicates.duplicate_permit_pairs(staging, job).collect())
+        assert plain == sorted(duplicates.duplicate_permit_pairs(staging, job, counts=counts).collect())
+        alive = [r for r in rows if r[3] != "Failed"]
+        want = {r[0]: sum(o[2] == r[2] and o[0] != r[0] for o in alive) for r in rows if r[2] and job in (None, r[1])}
+        assert {r.StagingID: r.pair_count for r in plain} == {i: n for i, n in want.items() if n}
+
+
 def test_match_stats_keep_manual_matches(spark):
     rows = spark.createDataFrame([("Fuzzy", "1", 90), ("Fuzzy", None, 0), ("Manual", "2", 100)], "MatchMethod string, ParcelNumber string, c int")
     rows = rows.withColumn("ConfidenceScore", F.col("c").cast("decimal(5,2)"))
     got = {r.MatchMethod: (r.TotalMatches, r.AvgConfidence, r.SuccessfulMatches, r.FailedMatches, float(r.SuccessRate)) for r in match.address_match_stats(rows).collect()}
     assert got == {"Fuzzy": (2, 45.0, 1, 1, 50.0), "Manual": (1, 100.0, 1, 0, 100.0)}
+    partials = match.match_stat_partials(rows.withColumn("ImportJobID", F.col("c") % 3))
+    merged = {r.MatchMethod: (r.TotalMatches, r.AvgConfidence, r.SuccessfulMatches, r.FailedMatches, float(r.SuccessRate)) for r in match.merged_match_stats(partials).collect()}
+    assert merged == got

@@ -3,10 +3,10 @@
 Method, with DataFrame functions only. Every line of every text is compared with the short notices, every
 sentence, across line breaks and comment marks, with the notices and the sentences of usual headers, and
 every whole text with the full license texts. Document frequencies of the templates' terms are counted
-over all texts; a term outside the templates weighs as one that no text holds. A line or sentence can only
+over all texts; a term outside the templates weighs as one that no text holds, and is summed up in its row. A line or sentence can only
 reach the threshold if it holds one of a template's heaviest terms (those without which its remaining
-weight stays below the threshold), and a text only if the squared weights of the license terms it holds
-sum up to the squared threshold, so others are passed over without loss. The rest become sparse vectors,
+weight stays below the threshold), and a text only if it holds as many license terms, and as much of their
+squared weights, as the threshold asks for, so others are passed over without loss. The rest become sparse vectors,
 one row per distinct piece and term, joined with the terms of the templates. Files without a license of
 their own take that of the nearest directory, at or above their own, that holds a license file, by name or
 by a match to a full text: directories are joined with their ancestors' paths and the longest one that is
@@ -57,7 +57,7 @@ HEADERS = (
 THRESHOLD = 0.6
 WINDOW_THRESHOLD = 0.6  # sentences and whole texts need this, or the threshold of lines if it is higher
 LICENSE_TEXT = 0.9  # a text of this cosine to a full license text is that license, and its file a license file
-MAX_TERMS = 10_000  # distinct terms of all notices: their weights are broadcast
+MAX_TERMS = 50_000  # distinct terms of all templates: their weights are broadcast, a few MB
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(^|/)(copying|notice)[^/]*$"
 _BREAKS = "[^a-z0-9]+"
 # Between sentences: blanks after an end mark, or a line without letters and digits.
@@ -101,21 +101,47 @@ def _has(text: Column, terms: Iterable[str]) -> Column:
     return F.lower(text).rlike("(?<![a-z0-9])(?:" + "|".join(sorted(terms)) + ")(?![a-z0-9])")
 
 
+def _in(known: Iterable[str]) -> str:
+    """SQL: the term t is ``known``, by a look into a hash set. Terms have no quotes; one text is
+    parsed faster than thousands of literals are made."""
+    return "t IN (" + ", ".join(f"'{t}'" for t in sorted(known)) + ")"
+
+
+def _among(terms: str, known: Iterable[str]) -> Column:
+    """The elements of an array column that are ``known``."""
+    return F.expr(f"filter({terms}, t -> {_in(known)})")
+
+
+def _square_sum(terms: Column) -> Column:
+    """The sum of the squared numbers of times of an array's terms."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(state: Column, term: Column) -> Column:
+        run = F.when(term == state["last"], state["run"] + 1).otherwise(F.lit(1).cast("long"))
+        # 1 + 3 + 5 + ...: the odd numbers of a run sum up to its square.
+        return F.struct(term.alias("last"), run.alias("run"), (state["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(terms), start, step, lambda state: state["sum"].cast("double"))
+
+
 def _hits(
     pieces: DataFrame, templates: Sequence[tuple[str, str]], idf: Mapping[str, float], outside: float, lowest: float, label: str
 ) -> DataFrame:
     """(path, score, license): the best template of each row of ``pieces`` (path, piece, need), if its score is ``need`` or more.
 
-    ``lowest`` is the least ``need``.
+    ``lowest`` is the least ``need``. Only the terms of ``idf`` become rows; what the others add to a
+    piece's norm is summed up within its row.
     """
     spark = pieces.sparkSession
     keyed = stored(pieces.select("path", "need", F.md5("piece").alias("key"), "piece"), f"license-{label}")
     distinct = keyed.groupBy("key").agg(F.first("piece").alias("piece"))
-    words = distinct.select("key", F.explode(terms_of(F.col("piece"))).alias("term")).filter("term <> ''")
-    tf = words.groupBy("key", "term").agg(F.count("*").alias("tf"))
+    split = distinct.select("key", F.filter(terms_of(F.col("piece")), lambda t: t != "").alias("terms"))
+    foreign = F.expr(f"filter(terms, t -> NOT {_in(idf)})")
+    split = split.select("key", F.explode(_among("terms", idf)).alias("term"), (_square_sum(foreign) * F.lit(outside * outside)).alias("rest"))
+    tf = split.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("rest").alias("rest"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    weighted = tf.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(outside)))
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = tf.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("rest")).alias("norm"))
     rows = [(t, name, i, w) for i, (name, text) in enumerate(templates) for t, w in _vector(text, idf).items()]
     template_rows = F.broadcast(spark.createDataFrame(rows, "term string, license string, template int, share double"))
     dots = weighted.join(template_rows, "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
@@ -132,6 +158,17 @@ def _heavy(templates: Sequence[tuple[str, str]], idf: Mapping[str, float], thres
     return set().union(*(heavy_terms(_vector(text, idf), threshold) for _, text in templates))
 
 
+def fewest_terms(vector: Mapping[str, float], threshold: float) -> int:
+    """The fewest terms of a unit vector whose norm reaches the threshold: no text with fewer of them
+    has that cosine."""
+    rest, number = (threshold - 1e-5) ** 2, 0
+    for w in sorted(vector.values(), reverse=True):
+        if rest <= 0:
+            break
+        rest, number = rest - w * w, number + 1
+    return number
+
+
 def own_licenses(
     files: DataFrame, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD,
     headers: Sequence[tuple[str, str]] = HEADERS, texts: Sequence[tuple[str, str]] | None = None,
@@ -139,15 +176,18 @@ def own_licenses(
     """(path, license, score, whole): per path its best line, sentence or whole text, ties to the first name.
 
     A whole text of cosine ``LICENSE_TEXT`` to a full license text comes before any part; ``whole`` tells it.
+    The texts are read twice: to count the templates' terms, and to keep the texts that hold enough of
+    them; lines and sentences are only made of those.
     """
     texts = license_texts() if texts is None else texts
     line_terms, vocabulary = _words(notices.values()), _words(text for _, text in [*notices.items(), *headers, *texts])
     if not line_terms or len(vocabulary) > MAX_TERMS:
         raise ValueError(f"The notices must have a term, and all templates at most {MAX_TERMS}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    present = F.array_intersect(terms_of(text), F.split(F.lit(" ".join(vocabulary)), " "))
+    split = files.select("path", text.alias("text"), F.array_distinct(terms_of(text)).alias("terms"))
+    rows = split.select("path", "text", _among("terms", vocabulary).alias("present"))
     # At most one row per term of the templates.
-    counted = files.select(F.explode(present).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
+    counted = rows.select(F.explode("present").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
     df = {r["term"]: r["n"] for r in counted}
     total = files.count()
     idf = {t: log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
@@ -156,16 +196,27 @@ def own_licenses(
 
     # For the notices, only their own terms are inside.
     line_idf = {t: idf[t] for t in line_terms}
-    pieces = lambda breaks, need: files.select("path", F.explode(F.split(text, breaks)).alias("piece"), F.lit(need).alias("need"))
-    lines, sentences = pieces(r"[\r\n]+", threshold), pieces(_SENTENCES, wide)
-    chosen = _has(F.col("piece"), _heavy(list(notices.items()), line_idf, threshold))
-    parts = _hits(lines.filter(chosen).unionByName(sentences.filter(chosen)), list(notices.items()), line_idf, outside, threshold, "notices")
+    noticed, headed = _heavy(list(notices.items()), line_idf, threshold), _heavy(headers, idf, wide) if headers else set()
+    holds = lambda known: F.expr(f"exists(present, t -> {_in(known)})") if known else F.lit(False)
+    near = F.lit(False)
+    for _, full in texts:
+        vector = _vector(full, idf)
+        near = near | (F.size(_among("present", vector)) >= fewest_terms(vector, wide))
+    rows = rows.select("path", "text", "present", holds(noticed).alias("noticed"), holds(headed).alias("headed"), near.alias("near"))
+    held = stored(rows.filter("noticed OR headed OR near"), "license-candidates")
+
+    def pieces(flag: str, breaks: str, need: float) -> DataFrame:
+        return held.filter(flag).select("path", F.explode(F.split("text", breaks)).alias("piece"), F.lit(need).alias("need"))
+
+    chosen = _has(F.col("piece"), noticed)
+    parts = pieces("noticed", r"[\r\n]+", threshold).filter(chosen).unionByName(pieces("noticed", _SENTENCES, wide).filter(chosen))
+    parts = _hits(parts, list(notices.items()), line_idf, outside, threshold, "notices")
     if headers:
-        chosen = _has(F.col("piece"), _heavy(headers, idf, wide))
-        parts = parts.unionByName(_hits(sentences.filter(chosen), headers, idf, outside, wide, "headers"))
+        spoken = pieces("headed", _SENTENCES, wide).filter(_has(F.col("piece"), headed))
+        parts = parts.unionByName(_hits(spoken, headers, idf, outside, wide, "headers"))
     parts = parts.withColumn("whole", F.lit(False))
     if texts:
-        whole = _whole_texts(files.select("path", text.alias("piece"), present.alias("present")), texts, idf, wide)
+        whole = _whole_texts(held.filter("near").select("path", F.col("text").alias("piece"), "present"), texts, idf, wide)
         by_text = _hits(whole.withColumn("need", F.lit(wide)), texts, idf, outside, wide, "texts")
         parts = parts.unionByName(by_text.withColumn("whole", F.col("score") >= LICENSE_TEXT))
     best = parts.groupBy("path").agg(F.min(F.struct(~F.col("whole"), -F.col("score"), "license")).alias("b"))
@@ -208,13 +259,18 @@ def license_scan(
     ``origin`` is header, directory or none. A file's own header comes first; else the nearest
     directory at or above its own with a license file that was recognised. Of several license files
     in a directory the best score counts, then the first name. ``is_license_file`` is by default a
-    test of the file name; a file whose whole text is a full license text is one under any name. A null or empty text has no header but may inherit; a null path has
-    neither. Rows of one path count as one file and get the same result; ``path`` and other columns
-    stay, those named like a result are replaced.
+    test of the file name; a file whose whole text is a full license text is one under any name. A null
+    or empty text has no header but may inherit; a null path has neither. Rows of one path count as one
+    file and get the same result. All columns but ``text`` stay, whatever their names; those named like
+    a result are replaced.
     """
     flag = F.col("path").rlike(LICENSE_FILE) if is_license_file is None else is_license_file
     results = ["license", "score", "origin", "from_dir"]
-    base = files.drop(*results).withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_dir", directory_of(F.col("path")))
+    own_columns = [F.col("`" + c.replace("`", "``") + "`") for c in files.columns if c not in (*results, "text")]
+    # The caller's columns travel in one struct, so that none of their names meets one of these.
+    base = files.select(
+        F.struct(*own_columns).alias("_row"), "path", "text", F.coalesce(flag, F.lit(False)).alias("_flag"), directory_of(F.col("path")).alias("_dir")
+    )
     named = base.filter("path IS NOT NULL")
     own = stored(own_licenses(named.select("path", "text"), notices, threshold, headers, texts), "license-own")
     marked = named.groupBy("path", "_dir").agg(F.max("_flag").alias("_flag"))
@@ -225,12 +281,12 @@ def license_scan(
     reach = salted_join(upward, given, ["up"], upward.groupBy("up").agg(F.count("*").alias("times")), "times")
     nearest = reach.groupBy("_dir").agg(F.max_by(F.struct("up", "given", "given_score"), F.length("up")).alias("near"))
     nearest = stored(nearest.select("_dir", "near.*"), "license-nearest")
-    slim = base.drop("text") if "text" in base.columns else base
+    slim = base.select("_row", "path", "_dir")
     headed = salted_join(slim, own.drop("whole"), ["path"], slim.groupBy("path").agg(F.count("*").alias("times")), "times", "left")
     joined = salted_join(headed, nearest, ["_dir"], dirs, "times", "left")
     header, inherited = F.col("license").isNotNull(), F.col("given").isNotNull()
     return joined.select(
-        *[c for c in slim.columns if not c.startswith("_")],
+        "_row.*",
         F.coalesce("license", "given").alias("license"), F.coalesce("score", "given_score").alias("score"),
         F.when(header, "header").when(inherited, "directory").otherwise("none").alias("origin"),
         F.when(~header & inherited, F.col("up")).alias("from_dir"),

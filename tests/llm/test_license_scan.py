@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from platwork.llm.license_scan import NOTICES, heavy_terms, license_scan, license_texts, op1_license_scan
+from platwork.llm.license_scan import NOTICES, fewest_terms, heavy_terms, license_scan, license_texts, op1_license_scan
 
 FILES = [
     ("src/a/x.py", "Licensed under the Apache License, Version 2.0.\ncode here"),
@@ -120,3 +120,17 @@ def test_headers_and_whole_license_texts(spark):
     assert inherited == {
         "w/sub/code.c": ("MIT", "w"), "b2/x": ("BSD-2-Clause", "b2"), "g/y": ("GPL-3.0", "g"), "a/y": ("Apache-2.0", "a"), "m/y": ("MPL-2.0", "m"),
     }
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["up", "given", "given_score", "_dir", "_row", "_flag", "times", "a.b", "present", "key"]
+    rows = [("d/LICENSE", "Released under the MIT License.", *names), ("d/x", "x", *names)]
+    files = spark.createDataFrame(rows, "path string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = license_scan(files)
+    assert got.columns == ["path", *names, "license", "score", "origin", "from_dir"]
+    assert sorted((r.path, r.license, r["_dir"], r["a.b"], r["up"]) for r in got.collect()) == [("d/LICENSE", "MIT", "_dir", "a.b", "up"), ("d/x", "MIT", "_dir", "a.b", "up")]
+
+
+def test_fewest_terms():
+    vector = {"a": 0.8, "b": 0.48, "c": 0.36}
+    assert [fewest_terms(vector, t) for t in (0.5, 0.8, 0.9, 0.99)] == [1, 1, 2, 3]

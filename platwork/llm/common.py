@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,3 +37,12 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         held += n or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return memory that a finished task has freed to the system: Python workers live on between
+    tasks, and what they keep adds up with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platwork.llm.common import LOWER_ASCII, raw_bytes, slices, stored, table
+from platwork.llm.common import LOWER_ASCII, give_back, raw_bytes, slices, stored, table
 from platwork.operators.skew import salted_join
 
 KNOWN_WORDS = 150_000
@@ -85,6 +85,8 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
                     [part.column("doc_id"), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64())],
                     ["doc_id", "class", "n_shingles"],
                 )
+        del known
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return _texts(docs).mapInArrow(run, f"doc_id {kind}, class long, n_shingles long")
@@ -164,6 +166,8 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
                         held, names, total, seen = [], [], 0, set()
         if held:
             yield from send(held, names)
+        del known, seen, held, names
+        give_back()
 
     def count(group: pa.Table) -> pa.Table:
         def column(name: str, kind) -> np.ndarray:
@@ -201,6 +205,8 @@ def shared_sets(docs: DataFrame, width: int, percent: int, bucket_bytes: int = B
             )
         kinds = [pa.int32(), *[pa.binary()] * 5]
         names = ["spot", "classes", "sizes", "counts", "tokens", "df"]
+        del tokens, classes, sizes, df, spot, order, owner
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
 
     def assemble(group: pa.Table) -> pa.Table:

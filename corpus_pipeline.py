@@ -8,6 +8,7 @@ count as empty, an empty table gives an empty one, and columns of any name pass
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ from platwork.llm.quality import MIN_PROBABILITY, fit_on_sample, graded, grader
 
 # Near duplicates share 80 percent or more of their shingles of five words.
 WORDS, PERCENT = 5, 80
+# Rows that tasks hand to Python at once: texts of some MB, where the session's 10,000 would be ten times as much.
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Fewer decisions than this (about 100 bytes each) are broadcast to the documents, more are joined.
 BROADCAST_ROWS = 100_000
 
@@ -35,7 +38,7 @@ def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     marks = stored(marks.select(F.col("id.doc_id").alias("_id"), F.col("id.sha").alias("_sha"), F.col("kept").alias("_kept")), "decisions")
     counts = marks.agg(F.count("*"), F.count_if("_kept")).first()
     side = F.broadcast(marks) if counts[0] < BROADCAST_ROWS else marks
-    own = F.struct(*docs.columns)
+    own = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
     rows = docs.select(own.alias("_doc"), _identity().alias("_key"))
     met = rows.join(side, F.col("_key.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.sha") == F.col("_sha")), "left")
     if counts[1]:
@@ -46,24 +49,41 @@ def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return met.select("_doc.*")
 
 
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session whose batches are no larger than ``BATCH_ROWS``, which stays so: the
+    stage's result is computed when it is written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+            spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the rated ones among them, takes for good."""
     model = fit_on_sample(docs, graded(table(spark, sf_dir, "labels")))
     return docs.filter(grader(spark, model)(F.col("text"))["tail_probability"] >= MIN_PROBABILITY)
 
 
+@small_batches
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal without blanks the longest, then the one with the smallest id."""
     decided = exact_duplicates(docs.select(_identity().alias("doc_id"), "text"))
     return _keep(docs, decided.select(F.col("doc_id").alias("id"), "kept"))
 
 
+@small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by the similarity of their shingles the one with the smallest id."""
     decided = near_duplicates(docs.select(_identity().alias("doc_id"), "text"), WORDS, PERCENT)
     return _keep(docs, decided.select(F.col("doc_id").alias("id"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
+@small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents and their places in training sequences."""
     packed = pack_documents(docs, tokenizer_source(public_tokenizers.path(TOKENIZER)))

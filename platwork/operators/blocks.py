@@ -54,13 +54,13 @@ def first_hits(
     """The first ``n`` hits of each query by ``rank``.
 
     ``open_blocks`` has the query's columns, ``rank``, the lowest rank that a hit in the block can
-    have, and what names the block. ``read`` makes hits of some of its rows: the query's columns,
+    have, and what names the block; it is read twice. ``read`` makes hits of some of its rows: the query's columns,
     ``rank`` and what else is wanted; a hit met in two blocks counts once. The result is exact; reading ends for a query when the best
     open block ranks behind its last hit.
     """
     named = [c for c in open_blocks.columns if c not in query and c != "rank"]
     place = F.struct("rank", *named)
-    waiting, best, take = stored(open_blocks, "open"), None, first_blocks
+    waiting, best, take = open_blocks, None, first_blocks
     while True:
         taken = stored(first_per_key(waiting, query, [place], take), "taken")
         found = read(taken)

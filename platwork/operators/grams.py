@@ -120,10 +120,12 @@ def _indexed(postings: DataFrame, wanted: DataFrame | None) -> ListIndex:
 def gram_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) -> ListIndex:
     """The grams of ``texts`` (``place`` and ``text``; null has none), made once.
 
-    ``wanted`` (item) keeps only what some query asks for. Without it the index holds all grams, its
-    files sorted by gram and place, and serves any number of lookups.
+    ``wanted`` (item) keeps only what some query asks for, and only grams of such lengths are made.
+    Without it the index holds all grams, its files sorted by gram and place, and serves any number
+    of lookups.
     """
-    sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in RARE_SIZES]))
+    lengths = RARE_SIZES if wanted is None else [r[0] for r in wanted.select(F.length("item")).distinct().collect()]
+    sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in lengths] or [F.array().cast("array<string>")]))
     known = texts.filter(F.col(text).isNotNull())
     return _indexed(known.select("place", F.explode(F.array_distinct(sizes)).alias("item")), wanted)
 
@@ -136,6 +138,9 @@ def word_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) ->
 
 def rarest(asked: DataFrame, counts: DataFrame, query: Sequence[str], choice: str = "item") -> DataFrame:
     """Per query the one ``choice`` (of rows query, choice, item) whose items have the fewest postings."""
+    if choice == "item":
+        known = asked.join(counts, "item", "left")
+        return known.groupBy(*query).agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
     sums = asked.join(counts, "item", "left").groupBy(*query, choice).agg(F.sum(F.coalesce("n", F.lit(0))).alias("_n"))
     return sums.groupBy(*query).agg(F.min_by(choice, F.struct("_n", choice)).alias(choice))
 

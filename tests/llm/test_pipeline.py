@@ -4,6 +4,7 @@ import re
 
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpus_pipeline import STAGES, exact_dedup, near_dedup, packing, quality, run
@@ -49,6 +50,15 @@ def test_empty_tables(spark, folder):
         assert stage(spark, empty, folder).collect() == []
 
 
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "a b", "p"), (2, "ab", "q"), (3, "c", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` string").withColumn("a`b", F.lit(1))
+    for stage in (exact_dedup, near_dedup):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and sorted(r["x.y"] for r in out.collect())[0] == "p"
+    assert int(spark.conf.get(corpus_pipeline.BATCH_SETTING)) <= corpus_pipeline.BATCH_ROWS
+
+
 def test_many_decisions_are_joined(spark, monkeypatch):
     rows = [(i, f"text {i // 2}") for i in range(40)]
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 0)

@@ -142,10 +142,11 @@ class Merges:
 
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each distinct word, as little-endian unsigned 32-bit integers."""
-        ends, length, text, ids = self.ends, self.length, self.text, self.ids
-        out: dict[bytes, bytes] = {}
+        step, ends, length, ids, apart, kept_whole = self.step, self.ends, self.length, self.ids, self.apart, self.kept_whole
+        begins = [step[byte] for byte in range(256)]
+        order, flat, edges = sorted(words), [], [0]
         path, last, opened = b"", [], [[]]
-        for word in sorted(words):
+        for word in order:
             # The trie's branch up to where this word leaves the one before.
             depth = 0
             for x, y in zip(path, word):
@@ -161,23 +162,37 @@ class Merges:
                 for byte in word[max(0, depth - self.longest) : depth]:
                     states = self._open(states, byte)
             for d in range(depth, len(word)):
-                states = self._open(states, word[d])
+                byte = word[d]
+                states = [s for at in states if (s := step.get(at << 8 | byte)) is not None]
+                states.append(begins[byte])
                 if d + 1 < KEPT_DEPTH:
                     opened.append(states)
                 for s in states:
                     token = ends[s]
-                    if token >= 0 and self.whole(token):
+                    if token < 0:
+                        continue
+                    whole = kept_whole[token]
+                    if whole or whole is None and self.whole(token):
                         start = d + 1 - length[token]
-                        if not start or self.stay_apart(last[start - 1], token):
-                            last.append(token)
-                            break
+                        if start:
+                            before = last[start - 1]
+                            fits = apart.get(before << 32 | token)
+                            if fits is None:
+                                fits = self.stay_apart(before, token)
+                            if not fits:
+                                continue
+                        last.append(token)
+                        break
             path, at, spelled = word, len(word), []
             while at:
                 token = last[at - 1]
                 spelled.append(ids[token])
                 at -= length[token]
-            out[word] = np.array(spelled[::-1], "<u4").tobytes()
-        return out
+            spelled.reverse()
+            flat += spelled
+            edges.append(4 * len(flat))
+        packed = np.array(flat, "<u4").tobytes()
+        return {word: packed[a:b] for word, a, b in zip(order, edges, edges[1:])}
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -53,13 +53,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_stored(spark: SparkSession) -> None:
-    """Delete all tables that :func:`stored` and :func:`shared_dir` have put under ``spark.checkpoint.dir``.
+def remove_stored(spark: SparkSession, root: str | None = None) -> None:
+    """Delete all tables that :func:`stored` and :func:`shared_dir` have put under ``root``, by default
+    ``spark.checkpoint.dir``.
 
     For the end of a session, or between jobs whose results are written elsewhere: results that are
     still to be computed from such tables fail afterwards.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/platwork")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -202,7 +202,9 @@ def own_licenses(
     for _, full in texts:
         vector = _vector(full, idf)
         near = near | (F.size(_among("present", vector)) >= fewest_terms(vector, wide))
-    rows = rows.select("path", "text", "present", holds(noticed).alias("noticed"), holds(headed).alias("headed"), near.alias("near"))
+    # A column that no rule may compute twice keeps the filter above this projection; below it, the
+    # terms of every text would be made anew for each flag.
+    rows = rows.select("path", "text", "present", holds(noticed).alias("noticed"), holds(headed).alias("headed"), near.alias("near"), F.spark_partition_id().alias("part"))
     held = stored(rows.filter("noticed OR headed OR near"), "license-candidates")
 
     def pieces(flag: str, breaks: str, need: float) -> DataFrame:

@@ -5,8 +5,8 @@ sentence, across line breaks and comment marks, with the notices and the sentenc
 every whole text with the full license texts. Document frequencies of the templates' terms are counted
 over all texts; a term outside the templates weighs as one that no text holds, and is summed up in its row. A line or sentence can only
 reach the threshold if it holds one of a template's heaviest terms (those without which its remaining
-weight stays below the threshold), and a text only if it holds as many license terms, and as much of their
-squared weights, as the threshold asks for, so others are passed over without loss. The rest become sparse vectors,
+weight stays below the threshold), and a text only if the squared weights of the license terms it holds
+sum up to the squared threshold, so others are passed over without loss. The rest become sparse vectors,
 one row per distinct piece and term, joined with the terms of the templates. Files without a license of
 their own take that of the nearest directory, at or above their own, that holds a license file, by name or
 by a match to a full text: directories are joined with their ancestors' paths and the longest one that is
@@ -158,15 +158,14 @@ def _heavy(templates: Sequence[tuple[str, str]], idf: Mapping[str, float], thres
     return set().union(*(heavy_terms(_vector(text, idf), threshold) for _, text in templates))
 
 
-def fewest_terms(vector: Mapping[str, float], threshold: float) -> int:
-    """The fewest terms of a unit vector whose norm reaches the threshold: no text with fewer of them
-    has that cosine."""
-    rest, number = (threshold - 1e-5) ** 2, 0
-    for w in sorted(vector.values(), reverse=True):
-        if rest <= 0:
-            break
-        rest, number = rest - w * w, number + 1
-    return number
+def _masses(terms: str, vectors: Sequence[Mapping[str, float]]) -> Column:
+    """Per vector the squared weights of an array column's distinct terms, summed up: an array. The
+    weights are one constant map from term to all vectors' squares."""
+    known = sorted(set().union(*vectors))
+    squares = (f"'{t}', array({', '.join(f'{v.get(t, 0.0) ** 2!r}D' for v in vectors)})" for t in known)
+    zero = "array(" + ", ".join(["0.0D"] * len(vectors)) + ")"
+    held = f"try_element_at(map({', '.join(squares)}), t)"
+    return F.expr(f"aggregate({terms}, {zero}, (sums, t) -> coalesce(zip_with(sums, {held}, (a, b) -> a + b), sums))")
 
 
 def own_licenses(
@@ -198,10 +197,8 @@ def own_licenses(
     line_idf = {t: idf[t] for t in line_terms}
     noticed, headed = _heavy(list(notices.items()), line_idf, threshold), _heavy(headers, idf, wide) if headers else set()
     holds = lambda known: F.expr(f"exists(present, t -> {_in(known)})") if known else F.lit(False)
-    near = F.lit(False)
-    for _, full in texts:
-        vector = _vector(full, idf)
-        near = near | (F.size(_among("present", vector)) >= fewest_terms(vector, wide))
+    # No cosine is above the norm of the shared terms' shares.
+    near = F.array_max(_masses("present", [_vector(full, idf) for _, full in texts])) >= (wide - 1e-5) ** 2 if texts else F.lit(False)
     # A column that no rule may compute twice keeps the filter above this projection; below it, the
     # terms of every text would be made anew for each flag.
     rows = rows.select("path", "text", "present", holds(noticed).alias("noticed"), holds(headed).alias("headed"), near.alias("near"), F.spark_partition_id().alias("part"))
@@ -218,28 +215,13 @@ def own_licenses(
         parts = parts.unionByName(_hits(spoken, headers, idf, outside, wide, "headers"))
     parts = parts.withColumn("whole", F.lit(False))
     if texts:
-        whole = _whole_texts(held.filter("near").select("path", F.col("text").alias("piece"), "present"), texts, idf, wide)
-        by_text = _hits(whole.withColumn("need", F.lit(wide)), texts, idf, outside, wide, "texts")
+        whole = held.filter("near").select("path", F.col("text").alias("piece"), F.lit(wide).alias("need"))
+        by_text = _hits(whole, texts, idf, outside, wide, "texts")
         parts = parts.unionByName(by_text.withColumn("whole", F.col("score") >= LICENSE_TEXT))
     best = parts.groupBy("path").agg(F.min(F.struct(~F.col("whole"), -F.col("score"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.col2")).alias("score"), (~F.col("b.col1")).alias("whole"))
 
 
-def _whole_texts(files: DataFrame, texts: Sequence[tuple[str, str]], idf: Mapping[str, float], threshold: float) -> DataFrame:
-    """Texts (path, piece) that may reach the threshold: no cosine is above the norm of the shared terms' shares."""
-    spark = files.sparkSession
-    key = F.md5("piece")
-    # Copies add up, so each also counts itself by the empty term.
-    rows = [("", -1, 1.0), *((t, i, w * w) for i, (_, text) in enumerate(texts) for t, w in _vector(text, idf).items())]
-    shares = F.broadcast(spark.createDataFrame(rows, "term string, template int, square double"))
-    held = files.select(key.alias("key"), F.explode(F.array_union(F.array(F.lit("")), F.col("present"))).alias("term"))
-    sums = held.join(shares, "term").groupBy("key", "template").agg(F.sum("square").alias("mass"))
-    sums = stored(sums.groupBy("key").agg(
-        F.max(F.when(F.col("template") >= 0, F.col("mass"))).alias("most"), F.max(F.when(F.col("template") < 0, F.col("mass"))).alias("copies")
-    ).filter(F.col("most") >= F.col("copies") * (threshold - 1e-5) ** 2).select("key"), "license-near-texts")
-    return files.withColumn("key", key).join(sums, "key", "left_semi").select("path", "piece")
-
-
 def directory_of(path: Column) -> Column:
     """All before the last slash; empty for a file at the top."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from platwork.llm.license_scan import NOTICES, fewest_terms, heavy_terms, license_scan, license_texts, op1_license_scan
+from platwork.llm.license_scan import NOTICES, _masses, heavy_terms, license_scan, license_texts, op1_license_scan
 
 FILES = [
     ("src/a/x.py", "Licensed under the Apache License, Version 2.0.\ncode here"),
@@ -131,6 +131,7 @@ def test_columns_of_any_name_stay(spark):
     assert sorted((r.path, r.license, r["_dir"], r["a.b"], r["up"]) for r in got.collect()) == [("d/LICENSE", "MIT", "_dir", "a.b", "up"), ("d/x", "MIT", "_dir", "a.b", "up")]
 
 
-def test_fewest_terms():
-    vector = {"a": 0.8, "b": 0.48, "c": 0.36}
-    assert [fewest_terms(vector, t) for t in (0.5, 0.8, 0.9, 0.99)] == [1, 1, 2, 3]
+def test_masses(spark):
+    rows = spark.createDataFrame([(["a", "c", "x"],), ([],), (["b"],)], "terms array<string>")
+    got = [r[0] for r in rows.select(_masses("terms", [{"a": 0.8, "b": 0.6}, {"c": 1.0}])).collect()]
+    assert [[round(v, 9) for v in r] for r in got] == [[0.64, 1.0], [0.0, 0.0], [0.36, 0.0]]

@@ -10,7 +10,8 @@ An index list is cut into blocks by set size; a probe opens only the blocks whos
 the threshold, and passes over postings with too few shared tokens from there on (index skipping).
 The answers of a class are derived from those of classes similar to it (answer skipping): each block
 first compares its members with one of them, links found join classes into groups, and from then on
-only classes of different groups are compared: every member of a list's smaller groups visits the
+only classes of different groups are compared. The members of a list's smaller groups first visit one
+block of the list's largest group, as long as that joins many of them to it; those left over visit all
 other groups of the list. What is skipped is linked already, so the groups are the exact ones.
 """
 
@@ -37,6 +38,8 @@ MASK = np.uint64((1 << 48) - 1)
 STAR_ROUNDS = 2
 # Sets per block of a visited group, and visitors per piece.
 BLOCK_SETS, PIECE_VISITORS = 256, 4096
+# Short visits go on while they join at least this share of the visitors.
+JOINED_SHARE = 1 / 8
 
 
 class Shingles(dict):
@@ -326,7 +329,18 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
         # Labels between the rounds only save comparisons.
         comps = connected(edges, 3)
         labelled = stored(postings.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "labelled")
-    visits = stored(_remaining_visits(labelled, percent), "visits")
+    lists = stored(_mixed_lists(labelled), "merged-lists")
+    while True:
+        groups = _list_groups(lists, comps)
+        short = stored(_visits(*groups, percent, largest_only=True), "short-visits")
+        links = stored(_visited_links(short, sets, comps, percent, one_block=True), "links")
+        joined, asked = links.select("x").distinct().count(), short.select("x").distinct().count()
+        if joined:
+            edges = edges.unionByName(links)
+            comps = connected(edges, 3)
+        if joined <= asked * JOINED_SHARE:
+            break
+    visits = stored(_visits(*(_list_groups(lists, comps) if joined else groups), percent), "visits")
     rest = stored(_visited_links(visits, sets, comps, percent), "links")
     # A visitor may link with any member of a group, so the labels' own links count as well.
     return connected(edges.unionByName(rest))
@@ -343,9 +357,8 @@ def _star_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
     return met.filter((F.col("compx") != F.col("compy")) & _can_link("x", "y", percent)).select(F.col("classx").alias("x"), F.col("classy").alias("y"))
 
 
-def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
-    """(x, comp): the classes outside the largest group of some list, and the other groups in it
-    whose members they could link with.
+def _mixed_lists(labelled: DataFrame) -> DataFrame:
+    """(list, class, n, left): the lists that hold several groups.
 
     Shingles of one shared passage have lists of the same classes. Such lists are one here, with the
     most tokens that any of them leaves a class, so a passage is met once and not at every shingle.
@@ -353,8 +366,12 @@ def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
     seal = lambda salt: F.bit_xor(F.xxhash64("class", F.lit(salt)))
     lists = labelled.groupBy("token").agg(F.count("*").alias("times"), seal(0).alias("s0"), seal(1).alias("s1"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     several = lists.filter("lo <> hi").select("token", F.struct("times", "s0", "s1").alias("list"))
-    merged = labelled.join(several, "token").groupBy("list", "class", "n", "comp").agg(F.max("left").alias("left"))
-    merged = stored(merged, "merged-lists")
+    return labelled.join(several, "token").groupBy("list", "class", "n").agg(F.max("left").alias("left"))
+
+
+def _list_groups(lists: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of lists outside the list's largest group, and the groups of each list."""
+    merged = stored(lists.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "list-members")
     per = stored(
         merged.groupBy("list", "comp").agg(
             F.count("*").alias("times"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("lefty")
@@ -363,7 +380,13 @@ def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
     )
     mixed = stored(per.groupBy("list").agg(F.max_by("comp", F.struct("times", "comp")).alias("main")), "lists")
     probes = stored(merged.join(mixed, "list").filter("comp <> main").select("list", "class", "n", "left", F.col("comp").alias("own")), "probes")
-    met = probes.join(per.join(mixed, "list"), "list")
+    return probes, per.join(mixed, "list")
+
+
+def _visits(probes: DataFrame, groups: DataFrame, percent: int, largest_only: bool = False) -> DataFrame:
+    """(x, comp): the members of :func:`_list_groups`, and the other groups of their lists, or only
+    the largest ones, whose members they could link with."""
+    met = probes.join(groups.filter("comp = main") if largest_only else groups, "list")
     smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100.0 - 1e-9))
     near = (F.col("most_n") >= smallest) & (F.col("least_n") * percent <= F.col("n") * 100)
     room = F.least("left", "lefty") >= _needed(F.col("n"), smallest, percent)
@@ -371,8 +394,9 @@ def _remaining_visits(labelled: DataFrame, percent: int) -> DataFrame:
     return met.filter((F.col("own") != F.col("comp")) & once & near & room).select(F.col("class").alias("x"), "comp").distinct()
 
 
-def _visited_links(visits: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """One link for each visiting class and block of the visited group, where there is one.
+def _visited_links(visits: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, one_block: bool = False) -> DataFrame:
+    """One link for each visiting class and block of the visited group, where there is one; of all
+    blocks, or of one only.
 
     Groups are cut into blocks of members and their visitors into pieces, so that a task holds one
     block and meets its visitors one after the other.
@@ -412,7 +436,7 @@ def _visited_links(visits: DataFrame, sets: DataFrame, comps: DataFrame, percent
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = named.join(sizes, "comp").withColumn("block", spread("class", "blocks")).withColumn("piece", each("pieces")).withColumn("visits", F.lit(False))
-    guests = visits.join(sizes, "comp").withColumnRenamed("x", "class").withColumn("piece", spread("class", "pieces")).withColumn("block", each("blocks"))
+    guests = visits.join(sizes, "comp").withColumnRenamed("x", "class").withColumn("piece", spread("class", "pieces")).withColumn("block", spread("class", "blocks") if one_block else each("blocks"))
     guests = guests.join(sets.select("class", "n", "shared"), "class").withColumn("visits", F.lit(True))
     columns = ["comp", "block", "piece", "visits", "class", "n", "shared"]
     stream = held.select(columns).unionByName(guests.select(columns)).repartition("comp", "block", "piece")

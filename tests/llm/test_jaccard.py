@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from platwork.llm import jaccard
 from platwork.llm.jaccard import Shingles, near_duplicates
 
 random.seed(11)
@@ -82,3 +83,22 @@ def test_sets():
     known = Shingles(4)
     for _, text in corpus():
         assert len(known.of((text or "").encode())) == len(shingles(text, 4))
+
+
+def test_visits_do_not_grow_with_the_square_of_near_copies(spark, monkeypatch):
+    counts, held = [], jaccard.stored
+
+    def counting(df, label):
+        out = held(df, label)
+        if label.endswith("visits"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    random.seed(7)
+    words = [f"w{i}" for i in range(150)]
+    rows = list(enumerate([changed(words, random.choice([1, 1, 2, 2])) for _ in range(400)]))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = plain(rows, 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(want)
+    assert sum(counts) < 4 * len(rows)

@@ -6,8 +6,8 @@ every whole text with the full license texts. Document frequencies of the templa
 over all texts; a term outside the templates weighs as one that no text holds, and is summed up in its row. A line or sentence can only
 reach the threshold if it holds one of a template's heaviest terms (those without which its remaining
 weight stays below the threshold), and a text only if the squared weights of the license terms it holds
-sum up to the squared threshold, so others are passed over without loss. The rest become sparse vectors,
-one row per distinct piece and term, joined with the terms of the templates. Files without a license of
+sum up to the squared threshold, so others are passed over without loss. The rest are compared with all
+templates within their row, once per distinct piece. Files without a license of
 their own take that of the nearest directory, at or above their own, that holds a license file, by name or
 by a match to a full text: directories are joined with their ancestors' paths and the longest one that is
 licensed wins.
@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from math import log, sqrt
 from pathlib import Path
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,7 @@ THRESHOLD = 0.6
 WINDOW_THRESHOLD = 0.6  # sentences and whole texts need this, or the threshold of lines if it is higher
 LICENSE_TEXT = 0.9  # a text of this cosine to a full license text is that license, and its file a license file
 MAX_TERMS = 50_000  # distinct terms of all templates: their weights are broadcast, a few MB
+PARTS = 64  # maps that a look-up of a term is cut into
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[sc]e[^/]*$|(^|/)(copying|notice)[^/]*$"
 _BREAKS = "[^a-z0-9]+"
 # Between sentences: blanks after an end mark, or a line without letters and digits.
@@ -112,16 +114,43 @@ def _among(terms: str, known: Iterable[str]) -> Column:
     return F.expr(f"filter({terms}, t -> {_in(known)})")
 
 
-def _square_sum(terms: Column) -> Column:
-    """The sum of the squared numbers of times of an array's terms."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+def _held(values: Mapping[str, str]) -> str:
+    """SQL: the value of the term t, null for others. The terms are dealt to constant maps by their
+    checksum, because a look into a map goes through its terms."""
+    parts: list[list[str]] = [[] for _ in range(PARTS)]
+    for term, value in sorted(values.items()):
+        parts[crc32(term.encode()) % PARTS].append(f"'{term}', {value}")
+    # No term is empty; this one gives maps without terms their type.
+    filler = f"'', {next(iter(values.values()))}"
+    maps = ", ".join(f"map({', '.join(part or [filler])})" for part in parts)
+    return f"try_element_at(element_at(array({maps}), CAST(crc32(CAST(t AS BINARY)) % {PARTS} AS INT) + 1), t)"
 
-    def step(state: Column, term: Column) -> Column:
-        run = F.when(term == state["last"], state["run"] + 1).otherwise(F.lit(1).cast("long"))
+
+def _square_sum(terms: str, weights: Mapping[str, float], outside: float) -> Column:
+    """The sum of the squared (number of times * weight) of an array column's terms; those without a
+    weight weigh ``outside``."""
+    weighted = F.expr(f"transform(sort_array({terms}), t -> struct(t AS term, coalesce({_held({t: f'{w!r}D' for t, w in weights.items()})}, {outside!r}D) AS w))")
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, item: Column) -> Column:
+        run = F.when(item["term"] == state["last"], state["run"] + 1).otherwise(F.lit(1).cast("long"))
         # 1 + 3 + 5 + ...: the odd numbers of a run sum up to its square.
-        return F.struct(term.alias("last"), run.alias("run"), (state["sum"] + 2 * run - 1).alias("sum"))
+        return F.struct(item["term"].alias("last"), run.alias("run"), (state["sum"] + (2 * run - 1) * item["w"] * item["w"]).alias("sum"))
+
+    return F.aggregate(weighted, start, step, lambda state: state["sum"])
+
+
+def _sums(terms: str, vectors: Sequence[Mapping[str, float]]) -> Column:
+    """Per vector the sum of its values over an array column's terms: an array."""
+    known = sorted(set().union(*vectors))
+    held = _held({t: f"array({', '.join(f'{v.get(t, 0.0)!r}D' for v in vectors)})" for t in known})
+    zero = "array(" + ", ".join(["0.0D"] * len(vectors)) + ")"
+    return F.expr(f"aggregate({terms}, {zero}, (sums, t) -> coalesce(zip_with(sums, {held}, (a, b) -> a + b), sums))")
 
-    return F.aggregate(F.array_sort(terms), start, step, lambda state: state["sum"].cast("double"))
+
+def _masses(terms: str, vectors: Sequence[Mapping[str, float]]) -> Column:
+    """Per vector the squared weights of an array column's distinct terms, summed up: an array."""
+    return _sums(terms, [{t: w**2 for t, w in v.items()} for v in vectors])
 
 
 def _hits(
@@ -129,25 +158,27 @@ def _hits(
 ) -> DataFrame:
     """(path, score, license): the best template of each row of ``pieces`` (path, piece, need), if its score is ``need`` or more.
 
-    ``lowest`` is the least ``need``. Only the terms of ``idf`` become rows; what the others add to a
-    piece's norm is summed up within its row.
+    ``lowest`` is the least ``need``. A piece's norm and its products with all templates are summed up
+    within its row, so that a piece stays one row whatever its number of terms.
     """
-    spark = pieces.sparkSession
     keyed = stored(pieces.select("path", "need", F.md5("piece").alias("key"), "piece"), f"license-{label}")
     distinct = keyed.groupBy("key").agg(F.first("piece").alias("piece"))
     split = distinct.select("key", F.filter(terms_of(F.col("piece")), lambda t: t != "").alias("terms"))
-    foreign = F.expr(f"filter(terms, t -> NOT {_in(idf)})")
-    split = split.select("key", F.explode(_among("terms", idf)).alias("term"), (_square_sum(foreign) * F.lit(outside * outside)).alias("rest"))
-    tf = split.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("rest").alias("rest"))
-    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    weighted = tf.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("rest")).alias("norm"))
-    rows = [(t, name, i, w) for i, (name, text) in enumerate(templates) for t, w in _vector(text, idf).items()]
-    template_rows = F.broadcast(spark.createDataFrame(rows, "term string, license string, template int, share double"))
-    dots = weighted.join(template_rows, "term").groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    hits = scored.filter(F.col("score") >= lowest).groupBy("key").agg(F.min(F.struct(-F.col("score"), "license")).alias("b"))
-    hits = stored(hits, f"license-{label}-hits")
+    shares = [_vector(text, idf) for _, text in templates]
+    split = split.select("key", "terms", _among("terms", set().union(*shares)).alias("known"))
+    # A term that comes n times adds its weight n times to a product.
+    products = _sums("known", [{t: w * idf[t] for t, w in v.items()} for v in shares])
+    norm = F.nullif(F.sqrt(_square_sum("terms", idf, outside)), F.lit(0.0))
+    names = F.array(*[F.lit(name) for name, _ in templates])
+
+    def best(row: Column) -> Column:
+        scored = F.zip_with(row["products"], names, lambda dot, name: F.struct(-F.round(dot / row["norm"], 6), name.alias("license")))
+        return F.array_min(F.filter(scored, lambda s: (s["col1"] < 0) & (s["col1"] <= -lowest)))
+
+    # An array of one, so that products and norm are made once per row.
+    hit = F.element_at(F.transform(F.array(F.struct(products.alias("products"), norm.alias("norm"))), best), 1)
+    hits = split.select("key", hit.alias("b"))
+    hits = stored(hits, f"license-{label}-hits").filter("b IS NOT NULL")
     counts = keyed.groupBy("key").agg(F.count("*").alias("times"))
     found = salted_join(keyed.select("path", "need", "key"), hits, ["key"], counts, "times")
     found = found.select("path", "need", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from platwork.llm import license_scan as license_scan_module
 from platwork.llm.license_scan import NOTICES, _masses, heavy_terms, license_scan, license_texts, op1_license_scan
 
 FILES = [
@@ -135,3 +136,27 @@ def test_masses(spark):
     rows = spark.createDataFrame([(["a", "c", "x"],), ([],), (["b"],)], "terms array<string>")
     got = [r[0] for r in rows.select(_masses("terms", [{"a": 0.8, "b": 0.6}, {"c": 1.0}])).collect()]
     assert [[round(v, 9) for v in r] for r in got] == [[0.64, 1.0], [0.0, 0.0], [0.36, 0.0]]
+
+
+def test_products_and_norms_within_the_row(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", "x", "x", "y"],), ([],)], "terms array<string>")
+    known = F.filter("terms", lambda t: t.isin("a", "b", "c"))
+    sums = license_scan_module._sums("known", [{"a": 0.5, "b": 2.0}, {"c": 1.0}])
+    squares = license_scan_module._square_sum("terms", {"a": 3.0, "b": 0.5}, 2.0)
+    got = rows.withColumn("known", known).select(sums, squares).collect()
+    assert [r[0] for r in got] == [[3.0, 0.0], [0.0, 0.0]]
+    assert [r[1] for r in got] == [36 + 0.25 + 16 + 4, 0.0]
+
+
+def test_pieces_are_scored_without_a_row_per_term(spark, monkeypatch):
+    plans, held = [], license_scan_module.stored
+
+    def looking(df, label):
+        if label.endswith("-hits"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return held(df, label)
+
+    monkeypatch.setattr(license_scan_module, "stored", looking)
+    files = spark.createDataFrame(FILES, "path string, text string")
+    assert license_scan(files).filter("origin = 'header'").count()
+    assert len(plans) == 3 and not [p for p in plans if "explode" in p]

@@ -72,15 +72,14 @@ def gram_join(
     return postings.join(asked, keys).filter(verify(F.col(text))).drop("_gram", "_piece")
 
 
-# Gram lengths of the rarest-gram join; a word uses the longest one that fits it.
-RARE_SIZES = (1, 2, 4, 8)
+# Longest gram of the rarest-gram join. A word of at most this length is one gram, so the list of
+# that gram holds the texts that contain it and no others.
+RARE_LENGTH = 8
+RARE_SIZES = tuple(range(1, RARE_LENGTH + 1))
 
 
 def _rare_size(text: Column) -> Column:
-    chain = F.when(F.length(text) >= RARE_SIZES[-1], RARE_SIZES[-1])
-    for size in reversed(RARE_SIZES[:-1]):
-        chain = chain.when(F.length(text) >= size, size)
-    return chain.otherwise(0)
+    return F.least(F.length(text), F.lit(RARE_LENGTH))
 
 
 def _grams_of(text: Column, size: Column) -> Column:
@@ -124,10 +123,24 @@ def gram_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) ->
     Without it the index holds all grams, its files sorted by gram and place, and serves any number
     of lookups.
     """
+    return _indexed(_gram_postings(texts, text, wanted), wanted)
+
+
+def _gram_postings(texts: DataFrame, text: str, wanted: DataFrame | None) -> DataFrame:
     lengths = RARE_SIZES if wanted is None else [r[0] for r in wanted.select(F.length("item")).distinct().collect()]
     sizes = F.flatten(F.array(*[_grams_of(F.col(text), F.lit(s)) for s in lengths] or [F.array().cast("array<string>")]))
-    known = texts.filter(F.col(text).isNotNull())
-    return _indexed(known.select("place", F.explode(F.array_distinct(sizes)).alias("item")), wanted)
+    # A text becomes many rows here, so the texts of a few large files are spread evenly first.
+    known = texts.filter(F.col(text).isNotNull()).select("place", text).repartition("place")
+    return known.select("place", F.explode(F.array_distinct(sizes)).alias("item"))
+
+
+def first_places(wanted: DataFrame, texts: DataFrame, text: str, index: ListIndex | None = None) -> DataFrame:
+    """(item, rank): the lowest place of the texts that contain the gram, per distinct ``wanted`` (item).
+
+    One grouping of the grams of the lengths asked for, or of the ``index``; no list is read.
+    """
+    postings = _gram_postings(texts, text, wanted) if index is None else index.postings
+    return postings.join(wanted, "item", "left_semi").groupBy("item").agg(F.min("place").alias("rank"))
 
 
 def word_index(texts: DataFrame, text: str, wanted: DataFrame | None = None) -> ListIndex:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platwork.functions import format_situs, normalize_parcel_number, upper_trim
 from platwork.operators.blocks import first_per_key
-from platwork.operators.grams import ListIndex, first_containing, gram_index, gram_join, query_grams, rarest, word_index
+from platwork.operators.grams import RARE_LENGTH, ListIndex, first_containing, first_places, gram_index, gram_join, query_grams, rarest, word_index
 from platwork.session import stored
 
 SEARCH_LIMIT = 10
@@ -34,17 +34,21 @@ def _places(texts: DataFrame, key: str, number: str) -> DataFrame:
 def _first_containing(queries: DataFrame, texts: DataFrame, key: str, number: str, index: ListIndex | None) -> DataFrame:
     """Per distinct ``query``, the ``key`` of the text row lowest by ``number`` that contains it.
 
-    A query reads the posting list of its rarest gram in blocks by number and stops at the first
-    text that contains it. An empty query is contained everywhere and takes the overall first row.
+    A query that is one gram takes the first place of that gram's list, in one grouping for all of
+    them. A longer one reads the posting list of its rarest gram in blocks by number and stops at the
+    first text that contains it. An empty query is contained everywhere and takes the overall first row.
     """
     places = _places(texts, key, number)
-    named = queries.filter(F.col("query") != "")
+    size = F.length("query")
+    grams = queries.filter((size > 0) & (size <= RARE_LENGTH)).select(F.col("query").alias("item"))
+    whole = first_places(grams, places, "_text", index).withColumnRenamed("item", "query")
+    named = queries.filter(size > RARE_LENGTH)
     asked = stored(named.select("query", F.explode(query_grams(F.array("query"))).alias("item")), "query-grams")
     index = index or gram_index(places, "_text", asked.select("item").distinct())
     chosen = stored(rarest(asked, index.counts, ["query"]), "rarest-grams")
     found = first_containing(chosen, index, places, "_text", ["query"], lambda t: F.contains(t, F.col("query")), 1)
     overall = queries.filter(F.col("query") == "").withColumn("rank", places.agg(F.min("place")).scalar())
-    hits = found.unionByName(overall.filter(F.col("rank").isNotNull()))
+    hits = whole.unionByName(found).unionByName(overall.filter(F.col("rank").isNotNull()))
     return hits.select("query", F.col("rank.k").alias(key))
 
 

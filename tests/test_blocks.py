@@ -130,3 +130,28 @@ def test_search_reads_words(spark, monkeypatch):
         hits = [r for r in rows if fits(f"{r[1] or ''} {r[2]}, {r[3]}, {r[4]}", q.upper().split(" "))]
         want = sorted((r[1] is not None, r[1] or "", r[2], r[0]) for r in hits)[:6]
         assert sorted((r.street_number is not None, r.street_number or "", r.street_name, r.pid) for r in got if r.query == q) == want
+
+
+def test_short_queries_read_no_lists(spark, monkeypatch):
+    taken, held = [], blocks.stored
+
+    def counting(df, label):
+        out = held(df, label)
+        if label == "taken":
+            taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocks, "stored", counting)
+    numbers = [f"{i * 7919 % 3001:08d}" for i in range(400)] + ["0000123456", None]
+    parcels = spark.createDataFrame([(n,) for n in numbers], "pid string")
+    texts = [n[a:b] for n in numbers[:120] for a, b in ((0, 8), (1, 6), (4, 8), (7, 8))] + ["5-99", "x", "", None, "000012345", "99999999"]
+    asked = spark.createDataFrame([(t,) for t in texts], "parcel_number string")
+    keys = {t.replace("-", "").strip().upper() for t in texts if t is not None}
+    known = [n for n in numbers if n is not None]
+    want = sorted((q, min(n for n in known if q in n)) for q in keys if any(q in n for n in known))
+    index = lookup.lookup_index(parcels, F.col("pid"))
+    for given in (None, index):
+        got = lookup.parcel_by_number(asked, parcels, payload=("pid",), index=given).select("query", "pid").collect()
+        assert sorted(map(tuple, got)) == want
+    # Only the query longer than a gram reads a list.
+    assert max(taken) == 1

@@ -88,6 +88,11 @@ def situs_texts(parcels: DataFrame) -> DataFrame:
     )
 
 
+def stored_situs(parcels: DataFrame) -> DataFrame:
+    """:func:`situs_texts` made once by all tasks and stored, for the several steps that read them."""
+    return stored(situs_texts(parcels.repartition("pid")), "situs")
+
+
 def distinct_texts(situs: DataFrame) -> DataFrame:
     """One row per street number, street name and normalized situs of :func:`situs_texts`, with the
     ``lowest`` parcel id and the text's ``situs_form``. Parcels of one text score alike."""
@@ -215,7 +220,7 @@ def match_distinct(
     max_results: int = MAX_RESULTS,
 ) -> DataFrame:
     """Ranked matches of a table from :func:`distinct_addresses`."""
-    situs = situs_texts(parcels)
+    situs = stored_situs(parcels)
     texts = stored(distinct_texts(situs), "texts")
     asked = stored(asked_addresses(addresses), "asked")
     scored = score_candidates(numbered_candidates(asked, texts), min_confidence)

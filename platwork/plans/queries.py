@@ -233,8 +233,11 @@ def _like_contains(t: Tables) -> DataFrame:
 
 def _scored(t: Tables) -> DataFrame:
     addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
-    situs = match.situs_texts(_parcels(t))
-    return match.parcels_of_texts(match.score_candidates(match.candidate_texts(match.asked_addresses(addresses), match.distinct_texts(situs)), 40), situs)
+    situs = match.stored_situs(_parcels(t))
+    texts = stored(match.distinct_texts(situs), "texts")
+    asked = stored(match.asked_addresses(addresses), "asked")
+    scored = stored(match.score_candidates(match.candidate_texts(asked, texts), 40), "scored")
+    return match.parcels_of_texts(scored, situs)
 
 
 @register("min_confidence_filter")

@@ -95,3 +95,9 @@ def test_bench_prints_one_json_line(folder):
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, **env}, capture_output=True, text=True, timeout=300)
     line = json.loads(out.stdout.strip().splitlines()[-1])
     assert line["unit"] == "sec" and set(line["queries"]) == {"permit_import_stats"}
+
+
+@pytest.mark.parametrize("name", ["min_confidence_filter"])
+def test_scored_queries_read_the_tables_before_the_last_join(spark, folder, name):
+    files = QUERIES[name](spark, folder).inputFiles()
+    assert files and not [f for f in files if "customer" in f or "orders" in f]

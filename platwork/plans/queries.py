@@ -231,13 +231,13 @@ def _like_contains(t: Tables) -> DataFrame:
     return match.like_contains_filter(_parcels(t), "150", "MAIN").unionByName(match.like_contains_filter(_parcels(t), None, "HILL"))
 
 
-def _scored(t: Tables) -> DataFrame:
+def _scored(t: Tables, n: int | None = None) -> DataFrame:
     addresses = match.distinct_addresses(match.spelled_addresses(_permits(t), "address"))
     situs = match.stored_situs(_parcels(t))
     texts = stored(match.distinct_texts(situs), "texts")
     asked = stored(match.asked_addresses(addresses), "asked")
     scored = stored(match.score_candidates(match.candidate_texts(asked, texts), 40), "scored")
-    return match.parcels_of_texts(scored, situs)
+    return match.parcels_of_texts(scored, situs, n)
 
 
 @register("min_confidence_filter")
@@ -247,7 +247,7 @@ def _min_confidence(t: Tables) -> DataFrame:
 
 @register("rank_matches")
 def _rank_matches(t: Tables) -> DataFrame:
-    return match.rank_matches(_scored(t), ["normalized"], 2).select("normalized", "pid", "confidence", "match_rank")
+    return match.rank_matches(_scored(t, 2), ["normalized"], 2).select("normalized", "pid", "confidence", "match_rank")
 
 
 @register("match_addresses")

@@ -10,6 +10,7 @@ from compare import ROOT, compare, connect
 from __spark_entry__ import entry
 from platwork.operators import match
 from platwork.plans.oracles import ORACLES
+from platwork.plans import queries
 from platwork.plans.queries import AS_OF, QUERIES, Tables
 from platwork.plans.imports import import_permits
 from platwork.session import shared_dir
@@ -97,7 +98,14 @@ def test_bench_prints_one_json_line(folder):
     assert line["unit"] == "sec" and set(line["queries"]) == {"permit_import_stats"}
 
 
-@pytest.mark.parametrize("name", ["min_confidence_filter"])
+@pytest.mark.parametrize("name", ["min_confidence_filter", "rank_matches"])
 def test_scored_queries_read_the_tables_before_the_last_join(spark, folder, name):
     files = QUERIES[name](spark, folder).inputFiles()
     assert files and not [f for f in files if "customer" in f or "orders" in f]
+
+
+def test_ranks_of_first_parcels_equal_the_full_ranking(spark, folder):
+    columns = ["normalized", "pid", "confidence", "match_rank"]
+    full = match.rank_matches(queries._scored(Tables(spark, folder)), ["normalized"], 2).select(*columns)
+    got = QUERIES["rank_matches"](spark, folder)
+    assert got.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))

@@ -145,10 +145,15 @@ def _hashed(rows: DataFrame, hashing: Hashing, sha: bool = True) -> DataFrame:
 KEY = ["n_bytes", "h1", "h2"]
 
 
+def _spot(n_bytes: Column | int, h1: Column | int, h2: Column | int, bits: int) -> Column | int:
+    """The bit of a fingerprint; both hashes are below 2^31 and spread by themselves."""
+    return (n_bytes + h1 + h2) % bits
+
+
 def _filter_bits(shared: DataFrame, bits: int) -> bytes:
     """A bitmap with the bit of every shared fingerprint set; ``bits`` / 8 bytes at most."""
     # The bitmap functions count from 1.
-    spot = shared.select((F.pmod(F.xxhash64(*KEY), F.lit(bits)) + 1).alias("b"))
+    spot = shared.select((_spot(*map(F.col, KEY), bits) + 1).alias("b"))
     words = spot.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     out = bytearray(bits // 8)
     for row in words.toLocalIterator():  # at most bits / 32768 rows
@@ -159,51 +164,37 @@ def _filter_bits(shared: DataFrame, bits: int) -> bytes:
 
 
 def differing(docs: DataFrame, shared: DataFrame, hashing: Hashing = Hashing(), bits: int = FILTER_BITS) -> DataFrame:
-    """Of the ``shared`` fingerprints those under which the chunks of the texts are not all the same."""
+    """Of the ``shared`` fingerprints those under which the chunks of the texts are not all the same.
+
+    Texts are hashed, filtered and cut in one Python pass: a second one in the same task would be a
+    worker of its own for every core, which lives on and keeps its memory in all later stages.
+    """
     # The filter is a bitmap of fixed size: a set bit lets a text through, and most texts have no partner.
     kept = _filter_bits(shared, bits)
     bitmap = docs.sparkSession.sparkContext.broadcast(kept)
     chunk = hashing.chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, have = hashing.powers(), bitmap.value
         for batch in batches:
-            spots = batch.column("_bit").to_numpy()
-            have = np.frombuffer(bitmap.value, np.uint8)
-            keep = np.flatnonzero(have[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
-            chosen = batch.take(pa.array(keep))
-            for part in slices(chosen, "text"):
-                rows = part.select(KEY).to_pylist()
-                cut = [
-                    (r["n_bytes"], r["h1"], r["h2"], i, data[at : at + chunk])
-                    for r, text in zip(rows, part.column("text").to_pylist())
-                    for data in (text.translate(None, _DROP),)
-                    for i, at in enumerate(range(0, len(data), chunk))
-                ]
+            for part in slices(batch, "text"):
+                cut = []
+                for text in part.column("text").to_pylist():
+                    data = text.translate(None, _DROP)
+                    key = part_hash(data, hashing, powers)
+                    spot = _spot(*key, bits)
+                    if have[spot >> 3] >> (spot & 7) & 1:
+                        cut += [(*key, i, data[at : at + chunk]) for i, at in enumerate(range(0, len(data), chunk))]
                 if cut:
                     kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut), kinds)], [*KEY, "at", "chunk"])
 
-    keyed = keyed_texts(docs, hashing).select(*KEY, F.pmod(F.xxhash64(*KEY), F.lit(bits)).alias("_bit"), "text")
-    chunks = keyed.mapInArrow(run, "n_bytes long, h1 long, h2 long, at int, chunk binary")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    chunks = docs.select(text).mapInArrow(run, "n_bytes long, h1 long, h2 long, at int, chunk binary")
     ranges = chunks.groupBy(*KEY, "at").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
     return ranges.filter("a <> b").select(*KEY).distinct()
 
 
-def keyed_texts(docs: DataFrame, hashing: Hashing) -> DataFrame:
-    """The fingerprint beside every text, for passes that need both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = hashing.powers()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                own = [part_hash(t.translate(None, _DROP), hashing, powers) for t in part.column("text").to_pylist()]
-                cols = list(zip(*own)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), part.column("text")], [*KEY, "text"])
-
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    return docs.select(text).mapInArrow(run, "n_bytes long, h1 long, h2 long, text binary")
-
-
 def exact_duplicates(
     docs: DataFrame, hashing: Hashing = Hashing(), huge: int = HUGE, bits: int = FILTER_BITS
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from platwork.llm.exact_dedup import Hashing, combine, exact_duplicates, part_hash
+from platwork.llm.exact_dedup import Hashing, combine, differing, exact_duplicates, part_hash
 
 BLANKS = str.maketrans("", "", " \t\n\x0b\x0c\r")
 WEAK = Hashing(primes=(3, 2), radixes=(1, 1), chunk=8)
@@ -57,3 +57,23 @@ def test_hash_of_a_text_follows_from_its_parts():
 
 def test_empty_table(spark):
     assert exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("hashing", [Hashing(), SHORT, WEAK])
+@pytest.mark.parametrize("bits", [8, 1 << 16])
+def test_filter_of_any_size(spark, hashing, bits):
+    """With 8 bits most texts pass without a partner."""
+    made = exact_duplicates(spark.createDataFrame(ROWS, "doc_id long, text string"), hashing, bits=bits)
+    rows = [tuple(r) for r in made.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert sorted(rows, key=repr) == sorted(plain(ROWS), key=repr)
+
+
+def test_differing_is_one_python_pass(spark, capsys):
+    """Two passes in one task are two workers for every core, for the rest of the session."""
+    docs = spark.createDataFrame([(1, "ab"), (2, "ba"), (3, "c")], "doc_id long, text string")
+    weak = Hashing(primes=(3, 2), radixes=(1, 1), chunk=8)
+    shared = spark.createDataFrame([(2, *part_hash(b"ab", weak, weak.powers())[1:])], "n_bytes long, h1 long, h2 long")
+    found = differing(docs, shared, weak)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert found.collect() == shared.collect()
